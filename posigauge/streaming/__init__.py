@@ -1,0 +1,5 @@
+"""Intentionally empty: the workload is batch only.
+
+The nearest idea, "what was known on that day", is a batch column of
+``posigauge.operators.people``.
+"""
