@@ -38,7 +38,11 @@ from posigauge.operators import (
 from posigauge.plans import panels
 from posigauge.sources import dims
 
-N = F.count(F.lit(1)).alias("n")
+
+
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
+
 LOG, LOG_REGION = f"with {log_sql()}", f"with {log_sql(region=True)}"
 
 
@@ -415,7 +419,7 @@ def window_counts(spark, sf_dir):
 )
 def keep_multi_type(spark, sf_dir):
     kept = pairs.keep_multi_type(sparse_log(spark, sf_dir))
-    return kept.groupBy("patientId").agg(N, F.min("date").alias("first"))
+    return kept.groupBy("patientId").agg(n_rows(), F.min("date").alias("first"))
 
 
 @register(
@@ -540,7 +544,7 @@ def union_by_name(spark, sf_dir):
         F.col("event_type").alias("testType"), F.col("ts").cast("date").alias("date"), F.col("user_id").alias("patientId")
     )
     both = cleaning.union_by_name(events, sparse_log(spark, sf_dir).select("date", "testType"))
-    return both.groupBy("testType", "date").agg(F.count("patientId").alias("with_id"), N)
+    return both.groupBy("testType", "date").agg(F.count("patientId").alias("with_id"), n_rows())
 
 
 @register(
@@ -550,7 +554,7 @@ def union_by_name(spark, sf_dir):
 )
 def union_strict(spark, sf_dir):
     both = cleaning.union_by_name(sparse_log(spark, sf_dir), dense_log(spark, sf_dir), strict=True)
-    return both.groupBy("testType", "result").agg(N, F.min("date").alias("first"))
+    return both.groupBy("testType", "result").agg(n_rows(), F.min("date").alias("first"))
 
 
 @register("distinct_rows", f"{LOG} select distinct * from log")

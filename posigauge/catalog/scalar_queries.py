@@ -32,7 +32,11 @@ from posigauge.operators import cleaning
 from posigauge.operators.counts import positive_counts, row_counts
 from posigauge.sources.files import stamp_snapshot
 
-N = F.count(F.lit(1)).alias("n")
+
+
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
+
 WIDE = f"with {log_sql()}, {wide_sql()}, {rolling_sql()}"
 
 
@@ -61,7 +65,7 @@ def parse_local_ts(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(local.alias("local"))
     return events.groupBy(
         F.col("local").cast("date").alias("date"), F.hour("local").cast("long").alias("hour")
-    ).agg(N)
+    ).agg(n_rows())
 
 
 @register(
@@ -70,7 +74,7 @@ def parse_local_ts(spark, sf_dir):
 )
 def clean_labels(spark, sf_dir):
     cleaned = cleaning.clean_labels(raw_tests(spark, sf_dir))
-    return cleaned.groupBy("region", "ageRange", "result").agg(N)
+    return cleaned.groupBy("region", "ageRange", "result").agg(n_rows())
 
 
 @register(
@@ -78,7 +82,7 @@ def clean_labels(spark, sf_dir):
     f"with {RAW_SQL} select result, count(*) as n from raw group by 1",
 )
 def classify_result(spark, sf_dir):
-    return raw_tests(spark, sf_dir).groupBy(text.classify_result(F.col("result")).alias("result")).agg(N)
+    return raw_tests(spark, sf_dir).groupBy(text.classify_result(F.col("result")).alias("result")).agg(n_rows())
 
 
 _EVENT_DATE = f"""case when extract(year from collected) between {FIRST_YEAR} and {AS_OF.year}
@@ -99,7 +103,7 @@ def resolve_event_date(spark, sf_dir):
     return raw.groupBy(
         times.event_date(*args).alias("date"),
         times.event_date(*args, clamp_future=True).alias("clamped_date"),
-    ).agg(N)
+    ).agg(n_rows())
 
 
 @register(
@@ -138,7 +142,7 @@ def age_parse(spark, sf_dir):
         "ageRange",
         ages.age_start(F.col("ageRange")).alias("age_start"),
         ages.age_end(F.col("ageRange")).alias("age_end"),
-    ).agg(N)
+    ).agg(n_rows())
 
 
 AGE_BIN_SQL = """case when a >= 75 then '75+' when a >= 65 then '65 to 74' when a >= 40 then '40 to 64'
@@ -170,7 +174,7 @@ def domain_check(spark, sf_dir):
             text.domain_index(age, levels).cast("int").alias("position"),
             text.in_domain(age, FIVE_YEAR_LABELS).isNotNull().alias("five_year"),
         )
-        .agg(N)
+        .agg(n_rows())
     )
 
 
@@ -180,7 +184,7 @@ def domain_check(spark, sf_dir):
 )
 def project_rename(spark, sf_dir):
     log = sparse_log(spark, sf_dir).drop("patientId").withColumnRenamed("testType", "channel")
-    return log.withColumn("hit", rates.is_positive(F.col("result"))).groupBy("channel", "date", "hit").agg(N)
+    return log.withColumn("hit", rates.is_positive(F.col("result"))).groupBy("channel", "date", "hit").agg(n_rows())
 
 
 @register(
@@ -206,7 +210,7 @@ def filter_period(spark, sf_dir):
         times.in_period(F.col("date"), dt.date(1996, 1, 1), dt.date(2002, 1, 1))
     )
     return log.groupBy(times.period_label(F.col("date"), PERIODS).alias("period")).agg(
-        F.min("date").alias("first"), F.max("date").alias("last"), N
+        F.min("date").alias("first"), F.max("date").alias("last"), n_rows()
     )
 
 
@@ -228,7 +232,7 @@ def weekday_label(spark, sf_dir):
     day = F.col("date")
     return dense_log(spark, sf_dir).groupBy(
         times.weekday_name(day).alias("weekday"), times.weekday_number(day).alias("wday")
-    ).agg(N)
+    ).agg(n_rows())
 
 
 ROUND_WEEK_SQL = """cast(case when dayofweek(date) <= 3 then date - cast(dayofweek(date) as integer)
@@ -237,7 +241,7 @@ ROUND_WEEK_SQL = """cast(case when dayofweek(date) <= 3 then date - cast(dayofwe
 
 @register("round_week", f"with {log_sql()} select date, {ROUND_WEEK_SQL} as week, count(*) as n from log group by 1, 2")
 def round_week(spark, sf_dir):
-    return dense_log(spark, sf_dir).groupBy("date", times.round_week(F.col("date")).alias("week")).agg(N)
+    return dense_log(spark, sf_dir).groupBy("date", times.round_week(F.col("date")).alias("week")).agg(n_rows())
 
 
 @register(
@@ -256,7 +260,7 @@ def normalize_test_type(spark, sf_dir):
 
 @register("short_label", f"with {SPARSE_SQL} select left(testType, 1) as label, count(*) as n from log group by 1")
 def short_label(spark, sf_dir):
-    return sparse_log(spark, sf_dir).groupBy(text.short_label(F.col("testType")).alias("label")).agg(N)
+    return sparse_log(spark, sf_dir).groupBy(text.short_label(F.col("testType")).alias("label")).agg(n_rows())
 
 
 @register(
@@ -307,7 +311,7 @@ def report_lag(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     lag = times.report_lag(F.col("o_orderdate").cast("date"), F.col("l_shipdate").cast("date"))
-    return lines.join(orders, "l_orderkey").groupBy(lag.cast("long").alias("lag")).agg(N)
+    return lines.join(orders, "l_orderkey").groupBy(lag.cast("long").alias("lag")).agg(n_rows())
 
 
 @register(
@@ -386,7 +390,7 @@ def parse_mdy(spark, sf_dir):
 
     death = times.death_date(written(day), written(later), dt.date(1996, 1, 1), AS_OF)
     legacy = times.parse_mdy(F.date_format(day, "M/d/yyyy"))
-    return table(spark, sf_dir, "orders").groupBy(legacy.alias("legacy_date"), death.alias("date")).agg(N)
+    return table(spark, sf_dir, "orders").groupBy(legacy.alias("legacy_date"), death.alias("date")).agg(n_rows())
 
 
 @register(
@@ -407,7 +411,7 @@ def conditional_offset(spark, sf_dir):
         y_val.alias("y_val"),
         (y_val - 1).alias("bottom"),
         (y_val + 1).alias("top"),
-    ).agg(N)
+    ).agg(n_rows())
 
 
 @register(

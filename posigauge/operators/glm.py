@@ -8,6 +8,7 @@ aggregate of a handful of sums and a 2x2 solve on the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from posigauge.functions.tails import chi2_tail, normal_two_sided
 from posigauge.operators.correlation import Z_975
@@ -31,13 +33,23 @@ QUALITY_SCHEMA = (
 )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _log_choose(n: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series(
         [math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1) for a, b in zip(n, k)]
     )
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    """Sums over the rows at one pair of coefficients."""
+
+    score: tuple[float, float]
+    info: tuple[tuple[float, float], tuple[float, float]]
+    deviance: float
+    pearson: float
+
+
 @dataclass(frozen=True)
 class BinomialFit:
     link: str
@@ -111,98 +123,122 @@ def _fit_logit(rows: DataFrame) -> tuple[float, float]:
     return float(model.intercept), float(model.coefficients[0])
 
 
-def _fit_log(rows: DataFrame, max_steps: int = 50, tol: float = 1e-12) -> tuple[float, float]:
-    """Iteratively reweighted least squares; a step that leaves means >= 1 or
-    raises the deviance is halved."""
-    y, w, x = F.col("y"), F.col("w"), F.col("x")
-
-    def sums(b0: float, b1: float):
-        eta = F.lit(b0) + F.lit(b1) * x
-        mu = F.exp(eta)
-        weight = w * mu / (1 - mu)
-        z = eta + (y - mu) / mu
-        row = rows.agg(
-            F.max(eta).alias("top"),
-            F.sum(F.when(eta < 0, weight)).alias("s"),
-            F.sum(F.when(eta < 0, weight * x)).alias("sx"),
-            F.sum(F.when(eta < 0, weight * x * x)).alias("sxx"),
-            F.sum(F.when(eta < 0, weight * z)).alias("sz"),
-            F.sum(F.when(eta < 0, weight * x * z)).alias("sxz"),
-            F.sum(F.when(eta < 0, _deviance(y, mu, w))).alias("deviance"),
-        ).first()
-        return row if row["top"] is not None and row["top"] < 0 else None
-
-    start = rows.agg((F.sum(w * y) / F.sum(w)).alias("share")).first()["share"]
-    here = (math.log(start), 0.0)
-    now = sums(*here)
-    for _ in range(max_steps):
-        det = now["s"] * now["sxx"] - now["sx"] ** 2
-        goal = (
-            (now["sxx"] * now["sz"] - now["sx"] * now["sxz"]) / det,
-            (now["s"] * now["sxz"] - now["sx"] * now["sz"]) / det,
+def evaluate(
+    rows: DataFrame, link: str, candidates: Sequence[tuple[float, float]]
+) -> list[Evaluation | None]:
+    """Score, information and deviance at each (intercept, slope), in one job.
+
+    The candidates are a literal array that is exploded next to the rows, so
+    the generated code is the same for every call and is compiled once. A
+    candidate that leaves a mean at or above 1 gives None.
+    """
+    points = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(float(b0)).alias("b0"), F.lit(float(b1)).alias("b1"))
+            for i, (b0, b1) in enumerate(candidates)
+        ]
+    )
+    x, y, w, eta, mu = (F.col(c) for c in ("x", "y", "w", "eta", "mu"))
+    placed = (
+        rows.select("x", "y", "w", F.explode(points).alias("c"))
+        .select("x", "y", "w", "c.i", (F.col("c.b0") + F.col("c.b1") * x).alias("eta"))
+        .select("*", (F.when(eta < 0, F.exp(eta)) if link == "log" else _mean(link, eta)).alias("mu"))
+        .withColumn("d", _slope_of_mean(link, mu))
+        .withColumn("g", w * (y - mu) * F.col("d") / (mu * (1 - mu)))
+        .withColumn("h", w * F.col("d") * F.col("d") / (mu * (1 - mu)))
+    )
+    found = {
+        r["i"]: r
+        for r in placed.groupBy("i")
+        .agg(
+            F.count_if(mu.isNull()).alias("outside"),
+            F.sum("g").alias("g0"),
+            F.sum(F.col("g") * x).alias("g1"),
+            F.sum("h").alias("s"),
+            F.sum(F.col("h") * x).alias("sx"),
+            F.sum(F.col("h") * x * x).alias("sxx"),
+            F.sum(_deviance(y, mu, w)).alias("deviance"),
+            F.sum(w * (y - mu) ** 2 / (mu * (1 - mu))).alias("pearson"),
         )
-        step = 1.0
+        .collect()  # one row per candidate
+    }
+    out: list[Evaluation | None] = []
+    for i in range(len(candidates)):
+        r = found[i]
+        out.append(
+            None
+            if r["outside"]
+            else Evaluation(
+                score=(r["g0"], r["g1"]),
+                info=((r["s"], r["sx"]), (r["sx"], r["sxx"])),
+                deviance=r["deviance"],
+                pearson=r["pearson"],
+            )
+        )
+    return out
+
+
+def _fit_log(
+    rows: DataFrame, share: float, max_steps: int = 50, halvings: int = 4
+) -> tuple[float, float]:
+    """Fisher scoring. Each job looks at the full step and its halves at once
+    and takes the longest that keeps means below 1 and lowers the deviance."""
+    here = np.array([math.log(share), 0.0])
+    now = evaluate(rows, "log", [tuple(here)])[0]
+    for _ in range(max_steps):
+        step = np.linalg.solve(now.info, now.score)
+        error = np.sqrt(np.diag(np.linalg.inv(now.info)))
+        if np.all(np.abs(step) <= 1e-10 * error):
+            break
+        scale = 1.0
         while True:
-            there = tuple(a + step * (b - a) for a, b in zip(here, goal))
-            new = sums(*there)
-            if new and new["deviance"] <= now["deviance"] * (1 + 1e-12):
+            tries = [here + step * scale / 2**i for i in range(halvings)]
+            results = evaluate(rows, "log", [tuple(t) for t in tries])
+            limit = now.deviance * (1 + 1e-12)
+            good = [(t, r) for t, r in zip(tries, results) if r and r.deviance <= limit]
+            if good:
+                here, now = good[0]
                 break
-            step /= 2
-            if step < 1e-10:
-                return here
-        done = abs(new["deviance"] - now["deviance"]) <= tol * (abs(new["deviance"]) + 0.1)
-        small = all(abs(b - a) <= 1e-9 * (abs(b) + 1e-3) for a, b in zip(here, there))
-        here, now = there, new
-        if done and small:
-            break
-    return here
+            scale /= 2**halvings
+            if scale < 1e-8:
+                return float(here[0]), float(here[1])
+    return float(here[0]), float(here[1])
 
 
 def fit_binomial(rows: DataFrame, x: str, link: str = "logit") -> BinomialFit:
     """Fit rows made by :func:`model_rows`; ``x`` names the predictor later on."""
+    y, w, k, n = (F.col(c) for c in ("y", "w", "k", "n"))
+    share = rows.agg((F.sum(w * y) / F.sum(w)).alias("share")).first()["share"]
     if link == "logit":
         b0, b1 = _fit_logit(rows)
     elif link == "log":
-        b0, b1 = _fit_log(rows)
+        b0, b1 = _fit_log(rows, share)
     else:
         raise ValueError(f"unknown link {link!r}")
-    y, w, xc = F.col("y"), F.col("w"), F.col("x")
-    mu = _mean(link, F.lit(b0) + F.lit(b1) * xc)
-    info = w * _slope_of_mean(link, mu) ** 2 / (mu * (1 - mu))
-    share = rows.agg((F.sum(w * y) / F.sum(w)).alias("share")).first()["share"]
-    k, n = F.col("k"), F.col("n")
+    null = (math.log(share) if link == "log" else math.log(share / (1 - share)), 0.0)
+    at_fit, at_null = evaluate(rows, link, [(b0, b1), null])
+    mu = _mean(link, F.lit(b0) + F.lit(b1) * F.col("x"))
     log_density = (
         _log_choose(F.round(n), F.round(k))
         + F.when(k > 0, k * F.ln(mu)).otherwise(0.0)
         + F.when(n > k, (n - k) * F.ln(1 - mu)).otherwise(0.0)
     )
-    sums = (
-        rows.withColumn("_ld", F.col("prior") * log_density)
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(info).alias("s"),
-            F.sum(info * xc).alias("sx"),
-            F.sum(info * xc * xc).alias("sxx"),
-            F.sum(_deviance(y, mu, w)).alias("deviance"),
-            F.sum(_deviance(y, F.lit(share), w)).alias("null_deviance"),
-            F.sum(w * (y - mu) ** 2 / (mu * (1 - mu))).alias("pearson"),
-            F.sum("_ld").alias("ld"),
-        )
-        .first()
-    )
-    det = sums["s"] * sums["sxx"] - sums["sx"] ** 2
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("prior") * log_density).alias("ld")
+    ).first()
+    cov = np.linalg.inv(at_fit.info)
     return BinomialFit(
         link=link,
         x=x,
         intercept=b0,
         slope=b1,
-        v00=sums["sxx"] / det,
-        v01=-sums["sx"] / det,
-        v11=sums["s"] / det,
+        v00=float(cov[0, 0]),
+        v01=float(cov[0, 1]),
+        v11=float(cov[1, 1]),
         observations=sums["rows"],
-        null_deviance=sums["null_deviance"],
-        deviance=sums["deviance"],
-        pearson_chi2=sums["pearson"],
+        null_deviance=at_null.deviance,
+        deviance=at_fit.deviance,
+        pearson_chi2=at_fit.pearson,
         aic=-2 * sums["ld"] + 4,
     )
 
@@ -308,48 +344,35 @@ def profile_interval(
     is one aggregate that moves the other coefficient to its best value and,
     once there, the bound itself along the signed root of the deviance.
     """
-    y, w, x = F.col("y"), F.col("w"), F.col("x")
     best = np.array([fit.intercept, fit.slope])
     cov = np.array([[fit.v00, fit.v01], [fit.v01, fit.v11]])
     se = np.sqrt(np.diag(cov))
     probes = []
     for j in (0, 1):
         for side in (-1.0, 1.0):
-            probes.append({"j": j, "side": side, "prev": (best[j], 0.0), "done": False})
-            _move(probes[-1], best[j] + side * Z_975 * se[j], best, cov)
+            probe = {"j": j, "side": side, "prev": (best[j], 0.0), "done": False}
+            _move(probe, best[j] + side * Z_975 * se[j], best, cov)
+            probes.append(probe)
     for _ in range(rounds):
         live = [p for p in probes if not p["done"]]
         if not live:
             break
-        aggs = []
-        for i, p in enumerate(live):
-            other = F.lit(1.0) if p["j"] == 1 else x
-            eta = F.lit(float(p["beta"][0])) + F.lit(float(p["beta"][1])) * x
-            mu = _mean(fit.link, eta)
-            inside = F.lit(True) if fit.link == "logit" else eta < 0
-            d = _slope_of_mean(fit.link, mu)
-            aggs += [
-                F.max(eta).alias(f"top{i}"),
-                F.sum(F.when(inside, w * (y - mu) * d / (mu * (1 - mu)) * other)).alias(f"g{i}"),
-                F.sum(F.when(inside, w * d * d / (mu * (1 - mu)) * other * other)).alias(f"h{i}"),
-                F.sum(F.when(inside, _deviance(y, mu, w))).alias(f"dev{i}"),
-            ]
-        row = rows.agg(*aggs).first()
-        for i, p in enumerate(live):
+        results = evaluate(rows, fit.link, [tuple(p["beta"]) for p in live])
+        for p, now in zip(live, results):
             j, o = p["j"], 1 - p["j"]
-            if fit.link == "log" and row[f"top{i}"] >= 0:
-                # a mean reached 1: come back halfway to the fit
+            if now is None:  # a mean reached 1: come back halfway to the fit
                 _move(p, (p["beta"][j] + best[j]) / 2, best, cov)
                 continue
-            step = row[f"g{i}"] / row[f"h{i}"]
+            step = now.score[o] / now.info[o][o]
+            # the deviance still falls by about step * score before the best point
+            low = now.deviance - step * now.score[o]
             p["beta"][o] += step
-            if abs(step) > 1e-6 * se[o]:
+            if abs(step) > 1e-3 * se[o]:
                 continue
             b = p["beta"][j]
-            root = p["side"] * math.sqrt(max(row[f"dev{i}"] - fit.deviance, 0.0))
-            goal = p["side"] * Z_975
+            root = p["side"] * math.sqrt(max(low - fit.deviance, 0.0))
             b_old, root_old = p["prev"]
-            target = b + (goal - root) * (b - b_old) / (root - root_old)
+            target = b + (p["side"] * Z_975 - root) * (b - b_old) / (root - root_old)
             p["prev"] = (b, root)
             p["done"] = abs(target - b) <= tol * se[j]
             _move(p, target, best, cov, from_beta=p["beta"])
