@@ -36,7 +36,7 @@ SEED = "posigauge"
 _DAILY = f"with {log_sql()}, {wide_sql()}"
 
 
-def _model_rows_sql(x: str, k: str, n: str, source: str = "rolled", weight: str = "1", total: str = "") -> str:
+def model_rows_sql(x: str, k: str, n: str, source: str = "rolled", weight: str = "1", total: str = "") -> str:
     total = total or n
     return (
         f"rows as materialized (select {x} as x, cast({k} as double) / ({total}) as y, cast(({total}) * {weight} as double) as w, "
@@ -45,9 +45,9 @@ def _model_rows_sql(x: str, k: str, n: str, source: str = "rolled", weight: str
     )
 
 
-WEEK_ROWS = _model_rows_sql(Y, f"k7_{LAB}", f"n7_{LAB}")
-DAY_ROWS = _model_rows_sql(f"p_{HOME}", f"k_{LAB}", f"n_{LAB}", weight=f"n_{HOME}")
-DAY_LOG_ROWS = _model_rows_sql(f"p_{HOME}", f"k_{LAB}", f"n_{LAB}")
+WEEK_ROWS = model_rows_sql(Y, f"k7_{LAB}", f"n7_{LAB}")
+DAY_ROWS = model_rows_sql(f"p_{HOME}", f"k_{LAB}", f"n_{LAB}", weight=f"n_{HOME}")
+DAY_LOG_ROWS = model_rows_sql(f"p_{HOME}", f"k_{LAB}", f"n_{LAB}")
 
 
 def week_rows(spark, sf_dir, compat=False):
@@ -140,10 +140,10 @@ def violin_density(spark, sf_dir):
 
 
 # --- correlation and lines -------------------------------------------------------
-_PERIOD = """case when date >= date '1996-01-01' and date < date '1998-01-01' then 'early'
+PERIOD_SQL = """case when date >= date '1996-01-01' and date < date '1998-01-01' then 'early'
   when date >= date '1998-01-01' and date < date '2000-01-01' then 'middle'
   when date >= date '2000-01-01' and date < date '2002-01-01' then 'late' end"""
-_PAIRS = f"{WIDE}, pairs as (select {_PERIOD} as period, {X} as x, {Y} as y from rolled where {X} is not null and {Y} is not null)"
+_PAIRS = f"{WIDE}, pairs as (select {PERIOD_SQL} as period, {X} as x, {Y} as y from rolled where {X} is not null and {Y} is not null)"
 
 
 @register(
@@ -211,7 +211,7 @@ def linear_fit(spark, sf_dir):
 
 @register(
     "linear_band",
-    f"""{WIDE}, pairs as (select date, {_PERIOD} as period, {X} as x, {Y} as y from rolled where {X} is not null and {Y} is not null),
+    f"""{WIDE}, pairs as (select date, {PERIOD_SQL} as period, {X} as x, {Y} as y from rolled where {X} is not null and {Y} is not null),
     {LINE_SQL},
     b as (select date, intercept + slope * x as centre, t_crit * sigma * sqrt(1.0 / pairs + (x - x_mean) * (x - x_mean) / sxx) as half
       from pairs join lines using (period) join critl using (period))
@@ -261,7 +261,7 @@ def _fit_row(df, fit, **labels):
     return df.sparkSession.createDataFrame([tuple(values.values())], schema)
 
 
-_COMPAT_ROWS = _model_rows_sql(Y, f"k7_{LAB}", f"n7_{LAB}", total=f"n7_{LAB} + k7_{LAB}").replace("rows as", "rows2 as")
+_COMPAT_ROWS = model_rows_sql(Y, f"k7_{LAB}", f"n7_{LAB}", total=f"n7_{LAB} + k7_{LAB}").replace("rows as", "rows2 as")
 
 
 @register(

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posigauge.constants import FIRST_YEAR
 from posigauge.functions import text, times
 from posigauge.operators import cleaning
 
@@ -14,6 +15,7 @@ from posigauge.operators import cleaning
 def clean_tests(
     *raw: DataFrame,
     as_of: dt.date,
+    first_year: int = FIRST_YEAR,
     bin_ages: bool = False,
     domain: list[str] | None = None,
     normalize_types: bool = False,
@@ -32,7 +34,7 @@ def clean_tests(
         log = log.withColumn("ageRange", text.in_domain(F.col("ageRange"), domain))
     if bin_ages:
         log = cleaning.add_age_bins(log)
-    log = cleaning.resolve_dates(log, as_of, mode=mode, clamp_future=clamp_future)
+    log = cleaning.resolve_dates(log, as_of, mode, first_year, clamp_future=clamp_future)
     return cleaning.distinct_rows(log)
 
 
@@ -59,3 +61,24 @@ def clean_death_summary(
 def entry_dates(log: DataFrame) -> DataFrame:
     """Day on which a record entered the system."""
     return log.withColumn("entry_date", F.col("orderCreatedAt").cast("date"))
+
+
+def _as_numbers(df: DataFrame, skip: set[str], kind: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).try_cast(kind) for c in df.columns if c not in skip})
+
+
+def clean_hospital(beds: DataFrame) -> DataFrame:
+    """Daily bed counters as numbers, keyed by ``date``."""
+    dated = beds.withColumn("date", F.col("FE_REPORTE").try_cast("date")).drop("FE_REPORTE")
+    return _as_numbers(dated, {"date"}, "bigint")
+
+
+def clean_legacy_hospital(beds: DataFrame) -> DataFrame:
+    """The older bed table, whose dates are month/day/year text."""
+    dated = beds.withColumn("date", times.parse_mdy(F.col("Fecha"))).drop("Fecha")
+    return _as_numbers(dated, {"date"}, "bigint")
+
+
+def clean_vaccines(vaccines: DataFrame) -> DataFrame:
+    dated = vaccines.withColumn("date", F.col("date").try_cast("date"))
+    return _as_numbers(dated, {"date", "location"}, "double")

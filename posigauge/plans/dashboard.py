@@ -22,6 +22,7 @@ from posigauge.operators.episodes import first_day_per_person, first_per_episode
 from posigauge.operators.joins import left_join_all, left_join_fill
 from posigauge.operators.people import add_week_rates, trailing_week_counts
 from posigauge.operators.rolling import rolling_mean, rolling_sum, series
+from posigauge.session import materialize
 
 KEYS = ("testType", "date")
 
@@ -108,7 +109,8 @@ def dashboard(
 ) -> DataFrame:
     """Tests, cases and negatives on one row per test type and day."""
     known = dashboard_log(log, first_day, members)
-    tests = dashboard_tests(known, first_day, entry)
+    # used three times below and small: one row per test type and day
+    tests = materialize(dashboard_tests(known, first_day, entry))
     panel = left_join_all(
         tests,
         unique_cases(known, tests, gap_days, mode),

@@ -6,11 +6,13 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from posigauge.constants import FIRST_DAY, HOME, LAB, OUTLIER_DAYS
 from posigauge.functions.rates import logit, ratio
+from posigauge.functions.times import round_week
 from posigauge.operators.cleaning import exclude_days, fill_zero
 from posigauge.operators.counts import channel_counts, select_tests
 from posigauge.operators.glm import (
@@ -23,7 +25,6 @@ from posigauge.operators.glm import (
 from posigauge.operators.ordering import hash_halves
 from posigauge.operators.reshape import unpivot_long, weekday_one_hot
 from posigauge.operators.rolling import centered_mean, rolling_mean_fill0, series
-from posigauge.functions.times import round_week
 from posigauge.session import materialize
 
 MODEL_NAMES = {
@@ -71,14 +72,17 @@ def rolling_table(
     wide = _shares(
         channel_counts(select_tests(log, start, end), ["date"]).withColumnsRenamed(MODEL_NAMES)
     )
-    w = series()
     means = wide.withColumns(
-        {
-            "TRMean": rolling_mean_fill0(F.col("MolecularAvgDaily"), w),
-            "HTRMean": rolling_mean_fill0(F.col("HTAvgDaily"), w),
-        }
+        {"TRMean": _own_days_mean("MolecularAvgDaily"), "HTRMean": _own_days_mean("HTAvgDaily")}
     )
-    return means.withColumn("HTRMean", centered_mean(F.col("HTRMean"), w))
+    return means.withColumn("HTRMean", centered_mean(F.col("HTRMean"), series()))
+
+
+def _own_days_mean(share: str) -> Column:
+    """Trailing mean of a channel over the days it has tests on."""
+    present = F.col(share).isNotNull()
+    w = Window.partitionBy(present).orderBy("date")
+    return F.when(present, rolling_mean_fill0(F.col(share), w))
 
 
 def _shares(wide: DataFrame) -> DataFrame:
