@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from posigauge.functions.shipping import ship_by_value
+
+ship_by_value(__name__)
+
 _REACH = 12.0  # standard deviations kept around the mode; the rest is < 1e-30
 
 

@@ -19,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from posigauge.functions.shipping import ship_by_value
 from posigauge.functions.tails import chi2_tail, normal_two_sided
 from posigauge.operators.correlation import Z_975
 from posigauge.session import materialize
 
+ship_by_value(__name__)
+
 SUMMARY_SCHEMA = (
     "term string, estimate double, std_error double, z double, p_value double"
 )

@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posigauge.functions.shipping import ship_by_value
+
+ship_by_value(__name__)
+
 
 def _loess(x: np.ndarray, y: np.ndarray, span: float, degree: int) -> np.ndarray:
     """Local polynomial at every x, tricube weights over the nearest share."""
