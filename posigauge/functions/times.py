@@ -19,19 +19,28 @@ from posigauge.constants import (
     PERIODS,
 )
 
-OFFSET_PATTERN = r"(Z|[+-](?:0\d|1[0-7]):?[0-5]\d)$"
-CLOCK_PATTERN = r"\d{1,2}:\d{1,2}:\d{1,2}"
+def _offset(text: Column) -> Column:
+    """Trailing ``Z``, ``+hh:mm`` or ``+hhmm``; NULL without one."""
+    long_tail, short_tail = F.substring(text, -6, 6), F.substring(text, -5, 5)
+    return (
+        F.when(text.endswith("Z"), "Z")
+        .when(F.substring(text, -6, 1).isin("+", "-"), long_tail)
+        .when(F.substring(text, -5, 1).isin("+", "-"), short_tail)
+    )
 
 
 def local_timestamp(text: Column, zone: str = LOCAL_ZONE) -> Column:
     """Wall clock in ``zone``; NULL where the text has no date and clock.
 
     Text that ends in an offset is converted, other text already is local.
+    The cast reads the wall clock and leaves the offset aside.
     """
-    wall = F.regexp_replace(text, OFFSET_PATTERN, "").try_cast("timestamp_ntz")
-    offset = F.regexp_extract(text, OFFSET_PATTERN, 1)
-    moved = F.convert_timezone(F.nullif(offset, F.lit("")), F.lit(zone), wall)
-    return F.when(text.rlike(CLOCK_PATTERN), F.when(offset == "", wall).otherwise(moved))
+    wall = text.try_cast("timestamp_ntz")
+    offset = _offset(text)
+    local = F.when(offset.isNull(), wall).otherwise(
+        F.convert_timezone(offset, F.lit(zone), wall)
+    )
+    return F.when(text.contains(":"), local)
 
 
 def local_date(text: Column, zone: str = LOCAL_ZONE) -> Column:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posigauge.constants import (
@@ -21,11 +21,23 @@ from posigauge.functions import ages, text, times
 TIME_COLUMNS = ("collectedDate", "reportedDate", "orderCreatedAt", "resultCreatedAt")
 
 
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add or replace columns that are evaluated once per row.
+
+    A plain projection is copied into every later filter and expression that
+    uses it. The result of a generator is not, which matters for text parsing.
+    """
+    packed = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    kept = [c for c in df.columns if c not in columns]
+    order = [*df.columns, *[c for c in columns if c not in df.columns]]
+    return df.select(*kept, F.inline(packed)).select(*order)
+
+
 def parse_times(
     df: DataFrame, columns: Sequence[str] = TIME_COLUMNS, zone: str = LOCAL_ZONE
 ) -> DataFrame:
     present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: times.local_timestamp(F.col(c), zone) for c in present})
+    return compute_once(df, {c: times.local_timestamp(F.col(c), zone) for c in present})
 
 
 def clean_labels(df: DataFrame) -> DataFrame:

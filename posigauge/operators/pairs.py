@@ -26,13 +26,13 @@ def attach_group_counts(df: DataFrame, by: Sequence[str] = ("testType", "date"))
 def multi_type_people(
     df: DataFrame, person: str = "patientId", test_type: str = "testType"
 ) -> DataFrame:
-    """Ids seen with more than one test type: two running extremes, no sets."""
-    spread = df.where(F.col(person).isNotNull()).groupBy(person)
-    return (
-        spread.agg(F.min(test_type).alias("_lo"), F.max(test_type).alias("_hi"))
-        .where("_lo <> _hi")
-        .select(person)
-    )
+    """Ids seen with more than one test type.
+
+    Distinct (id, type) rows first: a busy id leaves each task as one row per
+    type, and no set is built.
+    """
+    types = df.where(F.col(person).isNotNull()).select(person, test_type).distinct()
+    return types.groupBy(person).count().where("count > 1").select(person)
 
 
 def keep_multi_type(
@@ -48,23 +48,20 @@ def paired_days(
     test_type: str = "testType",
     date: str = "date",
 ) -> DataFrame:
-    """(person, day) with another test type within ``days`` of it.
+    """(person, type, day) cells with a cell of another type within ``days``.
 
-    Folded to one row per person-day first; around a day the types differ
-    exactly when the smallest and the largest do, and then every type of the
-    day has a partner.
+    The log is folded to distinct cells first, so a window partition holds at
+    most one row per day and type of a person. Around a day the types differ
+    exactly when the smallest and the largest do.
     """
-    per_day = (
-        df.where(F.col(person).isNotNull())
-        .groupBy(person, date)
-        .agg(F.min(test_type).alias("_lo"), F.max(test_type).alias("_hi"))
-        .withColumn("_day", F.unix_date(date))
+    cells = df.where(F.col(person).isNotNull()).select(person, test_type, date).distinct()
+    around = (
+        Window.partitionBy(person).orderBy(F.unix_date(date)).rangeBetween(-days, days)
     )
-    around = Window.partitionBy(person).orderBy("_day").rangeBetween(-days, days)
     return (
-        per_day.withColumns({"_lo": F.min("_lo").over(around), "_hi": F.max("_hi").over(around)})
+        cells.withColumns({"_lo": F.min(test_type).over(around), "_hi": F.max(test_type).over(around)})
         .where("_lo <> _hi")
-        .select(person, date)
+        .select(person, test_type, date)
     )
 
 
@@ -75,9 +72,12 @@ def interval_semi(
     test_type: str = "testType",
     date: str = "date",
 ) -> DataFrame:
-    """Rows that have a row of another type of the same person within ``days``."""
+    """Rows that have a row of another type of the same person within ``days``.
+
+    Joining by person, type and day spreads the rows of a busy person.
+    """
     hits = paired_days(df, days, person, test_type, date)
-    return df.join(hits, [person, date], "left_semi")
+    return df.join(hits, [person, test_type, date], "left_semi")
 
 
 def interval_pairs(

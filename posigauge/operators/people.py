@@ -69,15 +69,16 @@ def daily_people(
     )
 
 
-def _first_uncovered(start: str, end: str, keys: Sequence[str]) -> Column:
+def _first_uncovered(start: str, end: str, keys: Sequence[str], order: str) -> Column:
     """First day of ``[start, end)`` that no earlier interval of the person covers.
 
     With intervals in order of their start, what the earlier ones cover from
-    this start on reaches exactly to their largest end.
+    this start on reaches exactly to their largest end. Rows without an
+    interval have no end and do not count.
     """
     before = (
         Window.partitionBy(*keys)
-        .orderBy(F.col(start).asc_nulls_last())
+        .orderBy(F.col(order).asc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return F.greatest(F.col(start), F.max(end).over(before))
@@ -133,8 +134,10 @@ def trailing_week_counts(
     for m, start in starts.items():
         counts = start < end
         frame = frame.withColumns({f"s_{m}": F.when(counts, start), f"e_{m}": F.when(counts, end)})
+    # without entry days a start is the day itself: one sort serves both metrics
+    order = {m: f"s_{m}" if m in AS_KNOWN else date for m in metrics}
     frame = frame.withColumns(
-        {f"o_{m}": _first_uncovered(f"s_{m}", f"e_{m}", keys) for m in metrics}
+        {f"o_{m}": _first_uncovered(f"s_{m}", f"e_{m}", keys, order[m]) for m in metrics}
     )
     daily = _daily_values(person, count_missing)
 

@@ -13,6 +13,7 @@ from posigauge.functions.text import short_label
 from posigauge.operators.counts import positive_counts
 from posigauge.operators.ordering import dense_index, first_entities
 from posigauge.operators.pairs import paired_days
+from posigauge.session import materialize
 
 
 def agreement(
@@ -30,7 +31,8 @@ def agreement(
     """
     known = log.where(is_known(F.col("result")))
     daily = positive_counts(known, ["testType", "date"])
-    hits = paired_days(known, days)
+    # needed twice, for the index and for the rows: written down once
+    hits = materialize(paired_days(known, days))
     if sample_n is None:
         people = dense_index(hits, "patientId", "patientIndex")
         hits = hits.join(people, "patientId")
@@ -41,7 +43,7 @@ def agreement(
     rows = (
         known.where(F.col("date") >= F.lit(start))
         .select("patientId", "testType", "date", "result")
-        .join(hits, ["patientId", "date"])
+        .join(hits, ["patientId", "testType", "date"])
     )
     lane = type_offset(F.col("testType"), base)
     return (

@@ -22,9 +22,12 @@ def clean_tests(
     mode: str = "impute",
     clamp_future: bool = False,
 ) -> DataFrame:
-    """Union, parse, classify, repair dates, keep valid days, drop copies.
+    """Union, parse, classify, drop copies, repair dates, keep valid days.
 
-    Rows come back unordered; sort at output with :func:`cleaning.sort_log`.
+    Copies are dropped before the columns that follow from others are added,
+    which keeps the shuffled rows narrow; Spark still moves the day filter in
+    front of the shuffle. Rows come back unordered; sort at output with
+    :func:`posigauge.operators.cleaning.sort_log`.
     """
     log = cleaning.union_by_name(*raw)
     if normalize_types:
@@ -32,10 +35,9 @@ def clean_tests(
     log = cleaning.clean_labels(cleaning.parse_times(log))
     if domain is not None:
         log = log.withColumn("ageRange", text.in_domain(F.col("ageRange"), domain))
-    if bin_ages:
-        log = cleaning.add_age_bins(log)
+    log = cleaning.distinct_rows(log)
     log = cleaning.resolve_dates(log, as_of, mode, first_year, clamp_future=clamp_future)
-    return cleaning.distinct_rows(log)
+    return cleaning.add_age_bins(log) if bin_ages else log
 
 
 def clean_deaths(deaths: DataFrame, separator: str = " to ") -> DataFrame:
