@@ -129,12 +129,12 @@ def positivity_excluding_unreported(spark, sf_dir):
     "period_correlation",
     f"""with {log_sql()}, {wide_sql('date', SINCE)}, {rolling_sql()},
     pairs as (select {PERIOD_SQL} as period, {X} as x, {Y} as y from rolled where {X} is not null and {Y} is not null),
-    {LINE_SQL}, c as (select period, count(*) as pairs, corr(y, x) as r from pairs where period is not null group by 1),
-    t as (select *, r * sqrt(pairs - 2) / sqrt(1 - r * r) as t, pairs - 2 as dof from c),
+    {LINE_SQL}, c as (select period, count(*) as pairs, case when count(*) >= 3 then corr(y, x) end as r from pairs where period is not null group by 1),
+    t as (select *, r * sqrt(greatest(pairs - 2, 0)) / nullif(sqrt(1 - r * r), 0) as t, pairs - 2 as dof from c),
     {sp.t_tail_ctes('t', 'period', 't', 'dof', 'a')}
-    select period, t.pairs, r, t, p as p_value, tanh(atanh(r) - {sp.Z} / sqrt(t.pairs - 3)) as lower,
-      tanh(atanh(r) + {sp.Z} / sqrt(t.pairs - 3)) as upper, {LINE_COLUMNS.replace(' ', ', ')}
-    from t join taila using (period) join lines using (period) join critl using (period)""",
+    select period, t.pairs, r, t, p as p_value, tanh(atanh(r) - {sp.Z} / sqrt(nullif(greatest(t.pairs - 3, 0), 0))) as lower,
+      tanh(atanh(r) + {sp.Z} / sqrt(nullif(greatest(t.pairs - 3, 0), 0))) as upper, {LINE_COLUMNS.replace(' ', ', ')}
+    from t left join taila using (period) join lines using (period) left join critl using (period)""",
     f"r t p_value lower upper {LINE_COLUMNS}",
 )
 def period_correlation(spark, sf_dir):

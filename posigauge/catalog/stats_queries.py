@@ -180,11 +180,11 @@ def pearson_by_stratum(spark, sf_dir):
 
 @register(
     "pearson_test",
-    f"""{_REGION}, c as (select region, count(*) as pairs, corr(y, x) as r from pairs group by 1),
-    t as (select *, r * sqrt(pairs - 2) / sqrt(1 - r * r) as t, pairs - 2 as dof from c),
+    f"""{_REGION}, c as (select region, count(*) as pairs, case when count(*) >= 3 then corr(y, x) end as r from pairs group by 1),
+    t as (select *, r * sqrt(greatest(pairs - 2, 0)) / nullif(sqrt(1 - r * r), 0) as t, pairs - 2 as dof from c),
     {sp.t_tail_ctes('t', 'region', 't', 'dof', 'a')}
-    select region, pairs, r, t, p as p_value, tanh(atanh(r) - {sp.Z} / sqrt(pairs - 3)) as lower,
-      tanh(atanh(r) + {sp.Z} / sqrt(pairs - 3)) as upper from t join taila using (region)""",
+    select region, pairs, r, t, p as p_value, tanh(atanh(r) - {sp.Z} / sqrt(nullif(greatest(pairs - 3, 0), 0))) as lower,
+      tanh(atanh(r) + {sp.Z} / sqrt(nullif(greatest(pairs - 3, 0), 0))) as upper from t left join taila using (region)""",
     "r t p_value lower upper",
 )
 def pearson_test(spark, sf_dir):
@@ -193,7 +193,7 @@ def pearson_test(spark, sf_dir):
 
 LINE_SQL = f"""lines as (select period, count(*) as pairs, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, regr_r2(y, x) as r2,
       avg(x) as x_mean, regr_sxx(y, x) as sxx,
-      sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2)) as sigma, count(*) - 2 as dof from pairs
+      sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / nullif(count(*) - 2, 0)) as sigma, count(*) - 2 as dof from pairs
       where period is not null group by 1),
     {sp.t_quantile_ctes('lines', 'period', 'dof', 'l')}"""
 LINE_COLUMNS = "slope intercept r2 x_mean sxx sigma t_crit"
@@ -201,7 +201,7 @@ LINE_COLUMNS = "slope intercept r2 x_mean sxx sigma t_crit"
 
 @register(
     "linear_fit",
-    f"{_PAIRS}, {LINE_SQL} select period, pairs, {LINE_COLUMNS.replace(' ', ', ')} from lines join critl using (period)",
+    f"{_PAIRS}, {LINE_SQL} select period, pairs, {LINE_COLUMNS.replace(' ', ', ')} from lines left join critl using (period)",
     LINE_COLUMNS,
 )
 def linear_fit(spark, sf_dir):
@@ -214,7 +214,7 @@ def linear_fit(spark, sf_dir):
     f"""{WIDE}, pairs as (select date, {PERIOD_SQL} as period, {X} as x, {Y} as y from rolled where {X} is not null and {Y} is not null),
     {LINE_SQL},
     b as (select date, intercept + slope * x as centre, t_crit * sigma * sqrt(1.0 / pairs + (x - x_mean) * (x - x_mean) / sxx) as half
-      from pairs join lines using (period) join critl using (period))
+      from pairs join lines using (period) left join critl using (period))
     select date, centre, centre - half as low, centre + half as high from b""",
     "centre low high",
 )

@@ -18,4 +18,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf_dir():
-    return os.environ.get("POSIGAUGE_SF_DIR", "/root/testdata/sf0.001")
+    return os.environ.get("POSIGAUGE_SF_DIR", "/root/testdata/sf0.01")
