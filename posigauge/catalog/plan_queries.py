@@ -45,9 +45,11 @@ from posigauge.catalog.stats_queries import (
 from posigauge.constants import HOME, LAB, WEEKDAYS
 from posigauge.operators import cleaning, glm
 from posigauge.operators.counts import row_counts
+from posigauge.operators.joins import left_join_all
 from posigauge.plans import agreement as agreement_plan
 from posigauge.plans import cleaning as clean
 from posigauge.plans import dashboard, modelling, panels, positivity
+from posigauge.session import materialize
 
 SINCE = f"date >= date '{START}'"
 COUNTS = [f"{s}{w}_{t}" for t in (LAB, HOME) for s in "nk" for w in ("", "7")]
@@ -204,6 +206,12 @@ _FILLED = """case when count(*) over w = 7 then avg({0}) over w end as {0}_week_
   window w as (partition by testType order by date rows between 6 preceding and current row)"""
 
 
+_CASES = (
+    "testType date cases cases_week_avg cases_plus_negatives cases_rate "
+    "cases_plus_negatives_daily cases_rate_daily"
+)
+
+
 @register(
     "unique_cases",
     f"""{_DASH}, g as (select testType, patientId, date, coalesce(date_diff('day', lag(date) over w, date), 0) // 7 as episode
@@ -219,17 +227,11 @@ _FILLED = """case when count(*) over w = 7 then avg({0}) over w end as {0}_week_
     "cases_week_avg cases_plus_negatives cases_rate cases_rate_daily",
 )
 def unique_cases(spark, sf_dir):
-    panel = dashboard.dashboard(event_log(spark, sf_dir), EVENTS_START, MEMBERS, gap_days=7)
-    return panel.select(
-        "testType",
-        "date",
-        "cases",
-        "cases_week_avg",
-        "cases_plus_negatives",
-        "cases_rate",
-        "cases_plus_negatives_daily",
-        "cases_rate_daily",
-    )
+    known = dashboard.dashboard_log(event_log(spark, sf_dir), EVENTS_START, MEMBERS)
+    tests = materialize(dashboard.dashboard_tests(known, EVENTS_START))
+    cases = dashboard.unique_cases(known, tests, gap_days=7)
+    panel = left_join_all(tests, cases, on=dashboard.KEYS)
+    return dashboard.add_case_rates(panel).select(*_CASES.split())
 
 
 @register(
@@ -245,6 +247,44 @@ def unique_negatives(spark, sf_dir):
     return dashboard.unique_negatives(known, days)
 
 
+_PANEL = """g as (select testType, patientId, date, coalesce(date_diff('day', lag(date) over w, date), 0) as gap
+      from dash where result = 'positive' window w as (partition by testType, patientId order by date)),
+    g2 as (select *, {episode} as episode from g),
+    e as (select testType, patientId, episode, min(date) as date from g2 group by 1, 2, 3),
+    c as (select testType, date, count(*) as cases from e group by 1, 2),
+    ne as (select testType, patientId, min(date) as date from dash where result = 'negative' group by 1, 2),
+    nc as (select testType, date, count(*) as negative_cases from ne group by 1, 2),
+    p as (select testType, date, tests_total, people_total_week, coalesce(cases, 0) as cases, coalesce(negative_cases, 0) as negative_cases
+      from tests left join c using (testType, date) left join nc using (testType, date))"""
+_RUNNING = """sum(case when gap >= 7 then 1 else 0 end) over (partition by testType, patientId order by date
+      rows unbounded preceding)"""
+
+
+def _panel_sql(episode: str) -> str:
+    return f"""{_DASH}, {_PANEL.format(episode=episode)}
+    select *, case when count(*) over w = 7 then avg(cases) over w end as cases_week_avg,
+      case when count(*) over w = 7 then avg(negative_cases) over w end as negative_cases_week_avg
+    from p window w as (partition by testType order by date rows between 6 preceding and current row)"""
+
+
+def _panel(spark, sf_dir, mode):
+    panel = dashboard.dashboard(event_log(spark, sf_dir), EVENTS_START, MEMBERS, gap_days=7, mode=mode)
+    return panel.select(
+        *["testType", "date", "tests_total", "people_total_week", "cases", "negative_cases"],
+        *["cases_week_avg", "negative_cases_week_avg"],
+    )
+
+
+@register("dashboard_one_pass", _panel_sql("gap // 7"), "cases_week_avg negative_cases_week_avg")
+def dashboard_one_pass(spark, sf_dir):
+    return _panel(spark, sf_dir, "gap")
+
+
+@register("dashboard_all_episodes", _panel_sql(_RUNNING), "cases_week_avg negative_cases_week_avg")
+def dashboard_all_episodes(spark, sf_dir):
+    return _panel(spark, sf_dir, "cumulative")
+
+
 # --- panels ------------------------------------------------------------------------------
 _TRAIL = "case when count({0}) over w = 7 then avg({0}) over w end as {1}"
 

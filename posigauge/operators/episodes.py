@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from posigauge.constants import EPISODE_GAP_DAYS
 
 
+def _episode(gap: Column, w: WindowSpec, gap_days: int, mode: str) -> Column:
+    if mode == "gap":
+        return F.floor(gap / gap_days).cast("long")
+    if mode == "cumulative":
+        return F.sum(F.when(gap >= gap_days, 1).otherwise(0)).over(w).cast("long")
+    raise ValueError(f"unknown mode {mode!r}")
+
+
 def episode_days(
     df: DataFrame,
     by: Sequence[str] = ("testType",),
@@ -32,13 +40,7 @@ def episode_days(
     w = Window.partitionBy(*by, person).orderBy(date)
     gap = F.datediff(F.col(date), F.lag(date).over(w))
     days = days.withColumn("_gap", F.coalesce(gap, F.lit(0)))
-    if mode == "gap":
-        episode = F.floor(F.col("_gap") / gap_days)
-    elif mode == "cumulative":
-        episode = F.sum(F.when(F.col("_gap") >= gap_days, 1).otherwise(0)).over(w)
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return days.withColumn("episode", episode.cast("long")).drop("_gap")
+    return days.withColumn("episode", _episode(F.col("_gap"), w, gap_days, mode)).drop("_gap")
 
 
 def episode_ids(
@@ -91,6 +93,41 @@ def first_per_episode(
     )
 
 
+def first_event_flags(
+    person_days: DataFrame,
+    keys: Sequence[str],
+    date: str = "date",
+    gap_days: int = EPISODE_GAP_DAYS,
+    mode: str = "gap",
+) -> tuple[DataFrame, dict[str, Column]]:
+    """On person-days of known results: does a new case or the first negative fall on the day?
+
+    Gives the same days as :func:`first_per_episode` over the positives and
+    :func:`first_day_per_person` over the negatives. All windows share the
+    partitioning by person, so nothing is shuffled again.
+    """
+    positive = F.col("positives") > 0
+    negative = F.col("tests") > F.col("positives")
+    w = Window.partitionBy(*keys).orderBy(date)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last_positive = F.max(F.when(positive, F.col(date))).over(before)
+    gap = F.coalesce(F.datediff(F.col(date), last_positive), F.lit(0))
+    frame = person_days.withColumns(
+        {
+            "_gap": gap,
+            "_had_negative": F.max(F.when(negative, F.col(date))).over(before).isNotNull(),
+        }
+    )
+    episode = _episode(F.when(positive, F.col("_gap")), w, gap_days, mode)
+    frame = frame.withColumn("_episode", F.when(positive, episode))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_episode").orderBy(date))
+    frame = frame.withColumn("_rank", rank)
+    return frame, {
+        "cases": (positive & (F.col("_rank") == 1)).cast("long"),
+        "negative_cases": (negative & ~F.col("_had_negative")).cast("long"),
+    }
+
+
 def first_day_per_person(
     df: DataFrame, by: Sequence[str] = ("testType",), person: str = "patientId", date: str = "date"
 ) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +112,7 @@ def trailing_week_counts(
     entry: str | None = "entry_date",
     days: int = WEEK_DAYS,
     count_missing: bool = False,
+    more: Callable[[DataFrame, list[str]], tuple[DataFrame, dict[str, Column]]] | None = None,
 ) -> DataFrame:
     """Daily counts and distinct people over the last ``days`` calendar days.
 
@@ -124,6 +125,9 @@ def trailing_week_counts(
     +1 and -1 marks, and running sums of the marks per group are the counts.
     The log is read once and shuffled as person-days; there is no fan-out to
     days and no distinct aggregate.
+
+    ``more`` gets the person-days and their keys and returns them with further
+    daily counts, so that these cost no pass of their own.
     """
     keys = [*by, person]
     somebody = F.lit(True) if count_missing else F.col(person).isNotNull()
@@ -140,6 +144,9 @@ def trailing_week_counts(
         {f"o_{m}": _first_uncovered(f"s_{m}", f"e_{m}", keys, order[m]) for m in metrics}
     )
     daily = _daily_values(person, count_missing)
+    if more:
+        frame, counted = more(frame, keys)
+        daily |= counted
 
     def mark(day: Column, values: dict[str, Column]) -> Column:
         zero = F.lit(0).cast("long")

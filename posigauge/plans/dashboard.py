@@ -18,11 +18,14 @@ from posigauge.constants import (
 from posigauge.functions.rates import cases_plus_negatives, ratio
 from posigauge.operators.cleaning import add_combined_type
 from posigauge.operators.counts import row_counts, select_tests
-from posigauge.operators.episodes import first_day_per_person, first_per_episode
-from posigauge.operators.joins import left_join_all, left_join_fill
+from posigauge.operators.episodes import (
+    first_day_per_person,
+    first_event_flags,
+    first_per_episode,
+)
+from posigauge.operators.joins import left_join_fill
 from posigauge.operators.people import add_week_rates, trailing_week_counts
 from posigauge.operators.rolling import rolling_mean, rolling_sum, series
-from posigauge.session import materialize
 
 KEYS = ("testType", "date")
 
@@ -36,11 +39,8 @@ def dashboard_log(
     return add_combined_type(select_tests(log, first_day, known_only=True), members)
 
 
-def dashboard_tests(
-    log: DataFrame, first_day: dt.date = DASHBOARD_FIRST_DAY, entry: str | None = "entry_date"
-) -> DataFrame:
-    """One row per test type and day with tests; ``log`` comes from :func:`dashboard_log`."""
-    counts = trailing_week_counts(log, first_day, entry=entry)
+def _tests(counts: DataFrame, as_known: bool) -> DataFrame:
+    """Keep days with tests; add rates, 7-row sums and weekly shares."""
     tests = counts.where("tests_total is not null").withColumn(
         "rate", ratio(F.col("people_positives"), F.col("people_total"))
     )
@@ -51,7 +51,14 @@ def dashboard_tests(
             "tests_total_week": rolling_sum(F.col("tests_total"), w),
         }
     )
-    return add_week_rates(tests, as_known=bool(entry))
+    return add_week_rates(tests, as_known=as_known)
+
+
+def dashboard_tests(
+    log: DataFrame, first_day: dt.date = DASHBOARD_FIRST_DAY, entry: str | None = "entry_date"
+) -> DataFrame:
+    """One row per test type and day with tests; ``log`` comes from :func:`dashboard_log`."""
+    return _tests(trailing_week_counts(log, first_day, entry=entry), bool(entry))
 
 
 def _with_all_days(tests: DataFrame, counts: DataFrame, name: str) -> DataFrame:
@@ -107,14 +114,21 @@ def dashboard(
     gap_days: int = EPISODE_GAP_DAYS,
     mode: str = "gap",
 ) -> DataFrame:
-    """Tests, cases and negatives on one row per test type and day."""
+    """Tests, cases and negatives on one row per test type and day, in one pass.
+
+    New cases and first negatives are flags on the person-days the weekly
+    counts need anyway, so the log is read and shuffled once for all of them.
+    """
+
+    def first_events(frame: DataFrame, keys: list[str]):
+        return first_event_flags(frame, keys, gap_days=gap_days, mode=mode)
+
     known = dashboard_log(log, first_day, members)
-    # used three times below and small: one row per test type and day
-    tests = materialize(dashboard_tests(known, first_day, entry))
-    panel = left_join_all(
-        tests,
-        unique_cases(known, tests, gap_days, mode),
-        unique_negatives(known, tests),
-        on=KEYS,
+    counts = trailing_week_counts(known, first_day, entry=entry, more=first_events)
+    w = series(("testType",))
+    panel = _tests(counts, bool(entry)).withColumns(
+        {
+            f"{name}_week_avg": rolling_mean(F.col(name), w) for name in ("cases", "negative_cases")
+        }
     )
     return add_case_rates(panel)
