@@ -162,7 +162,8 @@ def trailing_week_counts(
     for m in metrics:
         marks += [week_mark(m, f"o_{m}", 1), week_mark(m, f"e_{m}", -1)]
     per_day = (
-        frame.select(*by, F.explode(F.array_compact(F.array(*marks))).alias("mark"))
+        frame.select(*by, F.explode(F.array(*marks)).alias("mark"))
+        .where("mark is not null")
         .select(*by, "mark.*")
         .groupBy(*by, "day")
         .agg(*[F.sum(name).alias(name) for name in (*metrics, *daily)])
@@ -207,12 +208,12 @@ def _spread(
         *[zero.alias(m) for m in metrics],
         *[nothing.alias(d) for d in daily],
     )
-    pieces = F.array_compact(F.array(own, F.when(F.col("_is_first"), before)))
+    pieces = F.array(own, F.when(F.col("_is_first"), before))
     lo = F.greatest(F.col("run.lo"), F.lit(first_day))
     hi = F.least(F.col("run.hi"), F.col("_last"))
     spread = (
         runs.select(*by, "_last", F.explode(pieces).alias("run"))
-        .where(lo <= hi)
+        .where(F.col("run").isNotNull() & (lo <= hi))
         .select(*by, "run", F.explode(F.sequence(lo, hi, F.expr("interval 1 day"))).alias(date))
     )
     on_mark = F.col(date) == F.col("run.lo")
