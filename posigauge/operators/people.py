@@ -148,25 +148,26 @@ def trailing_week_counts(
         frame, counted = more(frame, keys)
         daily |= counted
 
-    def mark(day: Column, values: dict[str, Column]) -> Column:
-        zero = F.lit(0).cast("long")
-        return F.struct(
-            day.alias("day"), *[values.get(name, zero).alias(name) for name in (*metrics, *daily)]
-        )
+    # a mark is (day, which count, how much)
+    names = [*metrics, *daily]
+    kind = {name: F.lit(i) for i, name in enumerate(names)}
 
-    def week_mark(m: str, day: str, step: int) -> Column:
-        adds = F.col(f"s_{m}").isNotNull() & (F.col(f"o_{m}") < F.col(f"e_{m}"))
-        return F.when(adds, mark(F.col(day), {m: F.lit(step).cast("long")}))
+    def mark(name: str, day: Column, step: Column) -> Column:
+        return F.struct(day.alias("day"), kind[name].alias("kind"), step.alias("step"))
 
-    marks = [mark(F.col(date), daily)]
+    one = F.lit(1).cast("long")
+    marks = [F.when(c != 0, mark(name, F.col(date), c)) for name, c in daily.items()]
     for m in metrics:
-        marks += [week_mark(m, f"o_{m}", 1), week_mark(m, f"e_{m}", -1)]
+        opens, ends = F.col(f"o_{m}"), F.col(f"e_{m}")
+        adds = F.col(f"s_{m}").isNotNull() & (opens < ends)
+        marks += [F.when(adds, mark(m, opens, one)), F.when(adds, mark(m, ends, -one))]
+    steps = {name: F.when(F.col("kind") == i, F.col("step")) for name, i in kind.items()}
     per_day = (
         frame.select(*by, F.explode(F.array(*marks)).alias("mark"))
         .where("mark is not null")
         .select(*by, "mark.*")
         .groupBy(*by, "day")
-        .agg(*[F.sum(name).alias(name) for name in (*metrics, *daily)])
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in steps.items()])
     )
     return _spread(per_day, metrics, list(daily), by, date, first_day, days)
 
