@@ -97,8 +97,8 @@ def positivity_overall(spark, sf_dir):
     f"{RATE_COLUMNS} {BOUNDS}",
 )
 def positivity_by_age(spark, sf_dir):
-    log = cleaning.add_age_bins(dense_log(spark, sf_dir, age=True)).drop("age_start", "age_end")
-    return positivity.positivity_by_age(log, order=["date"], start=START)
+    log = dense_log(spark, sf_dir, age=True)
+    return positivity.positivity_by_age(log, order=["date"], bin_ages=True, start=START)
 
 
 @register(

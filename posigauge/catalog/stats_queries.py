@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from posigauge.catalog import sqlparts as sp
 from posigauge.catalog.base import register
-from posigauge.catalog.scalar_queries import AGED_SQL, WIDE
+from posigauge.catalog.scalar_queries import WIDE
 from posigauge.catalog.standin import (
     EVENTS_SQL,
     PERIODS,
-    SPARSE_SQL,
     daily_pair,
     dense_log,
     event_log,
     log_sql,
     rolling_sql,
-    sparse_log,
     table,
     wide_sql,
 )
@@ -28,6 +24,7 @@ from posigauge.functions.rates import ratio
 from posigauge.functions.times import period_label
 from posigauge.operators import correlation, glm, ordering, rolling, smooth, summaries
 from posigauge.operators.counts import channel_counts, positive_counts
+from posigauge.session import materialize
 
 X, Y = f"p7_{LAB}", f"p7_{HOME}"
 SEED = "posigauge"
@@ -50,8 +47,8 @@ DAY_ROWS = model_rows_sql(f"p_{HOME}", f"k_{LAB}", f"n_{LAB}", weight=f"n_{HOME}
 DAY_LOG_ROWS = model_rows_sql(f"p_{HOME}", f"k_{LAB}", f"n_{LAB}")
 
 
-def week_rows(spark, sf_dir, compat=False):
-    return glm.model_rows(daily_pair(spark, sf_dir), Y, f"k7_{LAB}", f"n7_{LAB}", compat=compat)
+def week_rows(spark, sf_dir):
+    return glm.model_rows(daily_pair(spark, sf_dir), Y, f"k7_{LAB}", f"n7_{LAB}")
 
 
 def day_rows(spark, sf_dir, weight=None):
@@ -272,8 +269,9 @@ _COMPAT_ROWS = model_rows_sql(Y, f"k7_{LAB}", f"n7_{LAB}", total=f"n7_{LAB} + k7
 )
 def glm_logit(spark, sf_dir):
     out = []
+    daily = materialize(daily_pair(spark, sf_dir).select(Y, f"k7_{LAB}", f"n7_{LAB}"))
     for form, compat in (("trials", False), ("failures", True)):
-        rows = week_rows(spark, sf_dir, compat)
+        rows = glm.model_rows(daily, Y, f"k7_{LAB}", f"n7_{LAB}", compat=compat)
         out.append(_fit_row(rows, glm.fit_binomial(rows, Y), form=form))
     return out[0].unionByName(out[1])
 

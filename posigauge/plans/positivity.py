@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from posigauge.constants import CHANNELS, FIRST_DAY, HOME, LAB, PERIODS, UNREPORTED
 from posigauge.functions.binomial import binomial_bounds
 from posigauge.functions.times import period_label
+from posigauge.operators.cleaning import add_age_bins
 from posigauge.operators.correlation import linear_fit, pearson_test
 from posigauge.operators.counts import channel_counts, select_tests, sum_by_prefix
 from posigauge.operators.ordering import first_per_group
@@ -57,10 +58,18 @@ def positivity_by_region(log: DataFrame, **options) -> DataFrame:
 
 
 def positivity_by_age(
-    log: DataFrame, order: Sequence[str] = ("date", "reportedDate", "collectedDate"), **options
+    log: DataFrame,
+    order: Sequence[str] = ("date", "reportedDate", "collectedDate"),
+    bin_ages: bool = False,
+    **options,
 ) -> DataFrame:
-    """Only the first test of a person on each channel counts."""
+    """Only the first test of a person on each channel counts.
+
+    With ``bin_ages`` the age text is binned here, on the few rows left.
+    """
     first = first_per_group(log, ("testType", "patientId"), order)
+    if bin_ages:
+        first = add_age_bins(first)
     return add_bounds(positivity(first, ("ageRange",), **options))
 
 
