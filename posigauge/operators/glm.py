@@ -49,6 +49,7 @@ class Evaluation:
 
     score: tuple[float, float]
     info: tuple[tuple[float, float], tuple[float, float]]
+    curvature: tuple[tuple[float, float], tuple[float, float]]
     deviance: float
     pearson: float
 
@@ -129,7 +130,9 @@ def _fit_logit(rows: DataFrame) -> tuple[float, float]:
 def evaluate(
     rows: DataFrame, link: str, candidates: Sequence[tuple[float, float]]
 ) -> list[Evaluation | None]:
-    """Score, information and deviance at each (intercept, slope), in one job.
+    """Score, expected and observed information, deviance per (intercept, slope).
+
+    All of them come from one job.
 
     The candidates are a literal array that is exploded next to the rows, so
     the generated code is the same for every call and is compiled once. A
@@ -143,12 +146,13 @@ def evaluate(
     )
     x, y, w, eta, mu = (F.col(c) for c in ("x", "y", "w", "eta", "mu"))
     placed = (
-        rows.select("x", "y", "w", F.explode(points).alias("c"))
-        .select("x", "y", "w", "c.i", (F.col("c.b0") + F.col("c.b1") * x).alias("eta"))
+        rows.select("x", "y", "w", F.explode(points).alias("at"))
+        .select("x", "y", "w", "at.i", (F.col("at.b0") + F.col("at.b1") * x).alias("eta"))
         .select("*", (F.when(eta < 0, F.exp(eta)) if link == "log" else _mean(link, eta)).alias("mu"))
         .withColumn("d", _slope_of_mean(link, mu))
         .withColumn("g", w * (y - mu) * F.col("d") / (mu * (1 - mu)))
         .withColumn("h", w * F.col("d") * F.col("d") / (mu * (1 - mu)))
+        .withColumn("c", w * mu * (1 - y) / (1 - mu) ** 2 if link == "log" else F.col("h"))
     )
     found = {
         r["i"]: r
@@ -160,6 +164,9 @@ def evaluate(
             F.sum("h").alias("s"),
             F.sum(F.col("h") * x).alias("sx"),
             F.sum(F.col("h") * x * x).alias("sxx"),
+            F.sum("c").alias("c"),
+            F.sum(F.col("c") * x).alias("cx"),
+            F.sum(F.col("c") * x * x).alias("cxx"),
             F.sum(_deviance(y, mu, w)).alias("deviance"),
             F.sum(w * (y - mu) ** 2 / (mu * (1 - mu))).alias("pearson"),
         )
@@ -174,6 +181,7 @@ def evaluate(
             else Evaluation(
                 score=(r["g0"], r["g1"]),
                 info=((r["s"], r["sx"]), (r["sx"], r["sxx"])),
+                curvature=((r["c"], r["cx"]), (r["cx"], r["cxx"])),
                 deviance=r["deviance"],
                 pearson=r["pearson"],
             )
@@ -184,12 +192,15 @@ def evaluate(
 def _fit_log(
     rows: DataFrame, share: float, max_steps: int = 50, halvings: int = 4
 ) -> tuple[float, float]:
-    """Fisher scoring. Each job looks at the full step and its halves at once
-    and takes the longest that keeps means below 1 and lowers the deviance."""
+    """Newton steps on the log likelihood, which is concave for the log link too.
+
+    Each job looks at the full step and its halves at once and takes the
+    longest that keeps means below 1 and lowers the deviance.
+    """
     here = np.array([math.log(share), 0.0])
     now = evaluate(rows, "log", [tuple(here)])[0]
     for _ in range(max_steps):
-        step = np.linalg.solve(now.info, now.score)
+        step = np.linalg.solve(now.curvature, now.score)
         error = np.sqrt(np.diag(np.linalg.inv(now.info)))
         if np.all(np.abs(step) <= 1e-10 * error):
             break
@@ -366,7 +377,7 @@ def profile_interval(
             if now is None:  # a mean reached 1: come back halfway to the fit
                 _move(p, (p["beta"][j] + best[j]) / 2, best, cov)
                 continue
-            step = now.score[o] / now.info[o][o]
+            step = now.score[o] / now.curvature[o][o]
             # the deviance still falls by about step * score before the best point
             low = now.deviance - step * now.score[o]
             p["beta"][o] += step
