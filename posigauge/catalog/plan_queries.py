@@ -432,6 +432,52 @@ def model_table(spark, sf_dir):
     return run.predicted.select("date", "HTAvgDaily", "Sunday", *_RIBBON.split())
 
 
+_WEEKS = f"""weeks as (select *, {ROUND_WEEK_SQL} as week from log where {SINCE}),
+    {wide_sql('week').replace('from log', 'from weeks').replace('wide as', 'wide2 as')},
+    tab2 as (select week, {_NAMED} from wide2 where week < date '2001-10-01'),
+    halves2 as materialized (select *, {HALF_SQL.format(key='week')} as is_train from tab2),
+    {model_rows_sql('HTAvgDaily', 'MolecularPos', 'MolecularTotal', '(select * from halves2 where is_train)').replace('rows as', 'rows2 as')},
+    {sp.irls_ctes('rows2', 'log', 'w')}"""
+_DAYS_FIT = f"""{wide_sql('date', SINCE)},
+    tab as (select date, {_NAMED} from wide where date not in (date '1996-03-09', date '1996-03-10')),
+    halves as materialized (select *, {HALF_SQL.format(key='date')} as is_train from tab),
+    {model_rows_sql('HTAvgDaily', 'MolecularPos', 'MolecularTotal', _TRAIN, 'HTTotal')}, {sp.irls_ctes('rows', 'logit', 'd')}"""
+
+
+@register(
+    "model_quality",
+    f"""with {log_sql()}, {_DAYS_FIT},
+    ll as (select sum(prior * (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+        + case when k > 0 then k * ln(mu) else 0 end + case when n > k then (n - k) * ln(1 - mu) else 0 end)) as ll
+      from (select r.k, r.n, r.prior, {sp.fitted('logit', 'r.x')} as mu from rows r, fitd)),
+    q as (select 'daily' as model, null_deviance - deviance as lr_chi2, sqrt(null_deviance - deviance) as z, * from fitd),
+    {sp.normal_tail_ctes('q', 'model', 'z', 'z')}
+    select 'logit' as link, n as observations, null_deviance, deviance, n - 1 as df_null, n - 2 as df_residual, -2 * ll + 4 as aic,
+      (null_deviance - deviance) / null_deviance as mcfadden_r2, lr_chi2, p as lr_p, pearson as pearson_chi2,
+      pearson / (n - 2) as dispersion, deviance / (n - 2) as deviance_per_df from q join tailz using (model), ll""",
+    "null_deviance deviance aic mcfadden_r2 lr_chi2 lr_p pearson_chi2 dispersion deviance_per_df",
+    digits=5,
+)
+def model_quality(spark, sf_dir):
+    run = modelling.daily_model(dense_log(spark, sf_dir), start=START, outliers=_OUTLIERS)
+    return glm.quality_table(run.train_rows, run.fit)
+
+
+@register(
+    "model_comparison",
+    f"""with {log_sql()}, {_DAYS_FIT}, {_WEEKS}
+    select 'logit' as link, 'HTAvgDaily' as predictor, n as observations, n - 2 as df_residual, deviance, cast(null as double) as p_value from fitd
+    union all select 'log', 'HTAvgDaily', n, n - 2, deviance, null from fitw""",
+    "deviance p_value",
+    digits=5,
+)
+def model_comparison(spark, sf_dir):
+    log = dense_log(spark, sf_dir)
+    daily = modelling.daily_model(log, start=START, outliers=_OUTLIERS)
+    weekly = modelling.weekly_model(log, start=START, end=dt.date(2001, 10, 1))
+    return glm.compare_deviance(daily.train_rows, daily.fit, weekly.fit)
+
+
 @register(
     "weekly_model",
     f"""with {log_sql()}, weeks as (select *, {ROUND_WEEK_SQL} as week from log where {SINCE}),

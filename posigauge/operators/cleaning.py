@@ -127,5 +127,10 @@ def select_numeric(df: DataFrame) -> DataFrame:
     )
 
 
+def drop_containing(df: DataFrame, *parts: str) -> DataFrame:
+    """Drop columns whose name holds one of ``parts`` (leftovers of a join)."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not any(p in c for p in parts)])
+
+
 def fill_zero(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.fillna(0, subset=list(columns) if columns else None)

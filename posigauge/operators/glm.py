@@ -223,6 +223,8 @@ def fit_binomial(rows: DataFrame, x: str, link: str = "logit") -> BinomialFit:
     """Fit rows made by :func:`model_rows`; ``x`` names the predictor later on."""
     y, w, k, n = (F.col(c) for c in ("y", "w", "k", "n"))
     share = rows.agg((F.sum(w * y) / F.sum(w)).alias("share")).first()["share"]
+    if share is None or not 0 < share < 1:
+        raise ValueError("a binomial fit needs both successes and failures")
     if link == "logit":
         b0, b1 = _fit_logit(rows)
     elif link == "log":

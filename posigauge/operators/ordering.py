@@ -48,11 +48,12 @@ def _number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
 def row_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
     """Number all rows by ``order``; rows alike in it are told apart by an id.
 
-    The id also lets a long run of equal rows be split over many ranges.
+    The id lets a long run of equal rows be split over many ranges. It is
+    written down before the rows are moved, so a task that is run again after
+    a loss cannot hand out other ids.
     """
-    return _number_rows(
-        df.withColumn("_uid", F.monotonically_increasing_id()), [*order, "_uid"], name
-    ).drop("_uid")
+    tagged = materialize(df.withColumn("_uid", F.monotonically_increasing_id()))
+    return _number_rows(tagged, [*order, "_uid"], name).drop("_uid")
 
 
 def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -25,6 +25,7 @@ from posigauge.operators.glm import (
 from posigauge.operators.ordering import hash_halves
 from posigauge.operators.reshape import unpivot_long, weekday_one_hot
 from posigauge.operators.rolling import centered_mean, rolling_mean_fill0, series
+from posigauge.operators.smooth import spline_smooth
 from posigauge.session import materialize
 
 MODEL_NAMES = {
@@ -113,9 +114,25 @@ def run_model(
     return ModelRun(fit, rows, predicted)
 
 
-def daily_model(log: DataFrame, seed: str = "posigauge", **period) -> ModelRun:
-    """Daily logit model, trials weighted once more by the home tests of the day."""
-    return run_model(daily_table(log, **period), "date", weight="HTTotal", seed=seed)
+def smooth_share(
+    table: DataFrame, column: str = "HTAvgDaily", knots: int = 10, penalty: float = 1e-4
+) -> DataFrame:
+    """Replace a daily share by its spline; days without a share keep none."""
+    curve = spline_smooth(table, [], "date", column, "_curve", knots, penalty)
+    return table.join(curve, "date", "left").withColumn(column, F.col("_curve")).drop("_curve")
+
+
+def daily_model(
+    log: DataFrame, seed: str = "posigauge", penalty: float | None = None, **period
+) -> ModelRun:
+    """Daily logit model, trials weighted once more by the home tests of the day.
+
+    With a ``penalty`` the home share is smoothed first.
+    """
+    table = daily_table(log, **period)
+    if penalty is not None:
+        table = smooth_share(materialize(table), penalty=penalty)
+    return run_model(table, "date", weight="HTTotal", seed=seed)
 
 
 def weekly_model(log: DataFrame, seed: str = "posigauge", **period) -> ModelRun:

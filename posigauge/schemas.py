@@ -30,6 +30,54 @@ VACCINES = text_schema(
     "people_vaccinated",
     "people_fully_vaccinated",
 )
+HOSPITAL_COUNTERS = [
+    "CAMAS_ADULTOS_COVID",
+    "CAMAS_ADULTOS_NOCOVID",
+    "CAMAS_ADULTOS_OCC",
+    "CAMAS_ADULTOS_DISP",
+    "CAMAS_ADULTOS_TOTAL",
+    "CAMAS_ICU_COVID",
+    "CAMAS_ICU_NOCOVID",
+    "CAMAS_ICU_OCC",
+    "CAMAS_ICU_DISP",
+    "CAMAS_ICU_TOTAL",
+    "CAMAS_PED_COVID",
+    "CAMAS_PED_NOCOVID",
+    "CAMAS_PED_OCC",
+    "CAMAS_PED_DISP",
+    "CAMAS_PED_TOTAL",
+    "CAMAS_PICU_COVID",
+    "CAMAS_PICU_NOCOVID",
+    "CAMAS_PICU_OCC",
+    "CAMAS_PICU_DISP",
+    "CAMAS_PICU_TOTAL",
+    "VENT_ADULTOS_COVID",
+    "VENT_ADULTOS_NOCOVID",
+    "VENT_ADULTOS_OCC",
+    "VENT_ADULTOS_DISP",
+    "VENT_ADULTOS_TOTAL",
+    "VENT_PED_COVID",
+    "VENT_PED_NOCOVID",
+    "VENT_PED_OCC",
+    "VENT_PED_DISP",
+    "VENT_PED_TOTAL",
+    "CUARTOS_PRESNEG_OCC",
+    "CUARTOS_PRESNEG_DISP",
+    "CUARTOS_PRESNEG_TOTAL",
+    "VENT_ORD",
+    "VENT_REC",
+    "VENT_ENTR",
+    "CONVALECIENTES",
+]
+HOSPITAL = text_schema("Fecha", "HospitCOV19", "CamasICU_disp", "CamasICU")
+VACCINES = text_schema(
+    "location",
+    "date",
+    "total_distributed",
+    "total_vaccinations",
+    "people_vaccinated",
+    "people_fully_vaccinated",
+)
 HOSPITAL_COUNTERS = [
     *(
         f"CAMAS_{ward}_{state}"

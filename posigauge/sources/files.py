@@ -51,8 +51,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 
 
-def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Parquet snapshot; partitioning by test type lets later reads prune."""
+def write_snapshot(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), rebalance: bool = False
+) -> None:
+    """Parquet snapshot; partitioning by test type lets later reads prune.
+
+    With many partition values every task would write a small file for each;
+    ``rebalance`` shuffles once so that files are of even size, splitting
+    large values and joining small ones.
+    """
+    if rebalance:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -146,6 +146,20 @@ def test_trailing_week_equals_a_loop(spark, seed, count_missing):
     } == expected
 
 
+def test_trailing_week_shows_empty_weeks(spark):
+    """Records before the first day count, weeks without tests are 0 with no rate."""
+    days = [-2, 10, 40]
+    data = [("T", f"p{d}", "positive", day(d), day(d + 2)) for d in days]
+    rows = people.trailing_week_people(log(spark, data), day(0)).orderBy("date").collect()
+    assert [r["date"] for r in rows] == [day(i) for i in range(7, 41)]
+    busy = set(range(10, 17)) | {40}
+    for r in rows:
+        i = (r["date"] - D0).days
+        assert r["people_total_week"] == r["people_positives_week"] == int(i in busy)
+        assert r["fit"] == (1.0 if i in busy else None) and r["lower"] == r["fit"]
+        assert r["obs_people_total_week"] == int(i in set(range(12, 17)))
+
+
 def test_daily_people_equal_sets(spark):
     data = random_log(4)
     by_day = defaultdict(list)
@@ -433,6 +447,34 @@ def test_slices_prune_partitions(spark):
     assert kept.count() == sum(1 for r in random_log(10) if r[0] == "Molecular" and r[3] < day(10))
 
 
+def test_rebalanced_snapshot_is_whole(spark):
+    frame = log(spark, random_log(11))
+    path = scratch_path(spark, "even")
+    files.write_snapshot(frame, path, ["testType"], rebalance=True)
+    back = files.read_snapshot(spark, path).select(frame.columns)
+    assert Counter(map(tuple, back.collect())) == Counter(random_log(11))
+    joined = frame.selectExpr("testType as `a.x`", "date as b", "result as `c.y`")
+    assert cleaning.drop_containing(joined, ".x", ".y").columns == ["b"]
+
+
+def test_smoothed_daily_model(spark):
+    rng = random.Random(3)
+    data = []
+    for i in range(40):
+        for t, n in (("Molecular", 30), ("AntigensSelfTest", 10)):
+            share = 0.2 + 0.01 * i
+            data += [(t, f"p{j}", "positive" if rng.random() < share else "negative", day(i), day(i)) for j in range(n)]
+    frame = log(spark, data)
+    plain = modelling.daily_model(frame, start=D0, outliers=[])
+    smoothed = modelling.daily_model(frame, start=D0, outliers=[], penalty=1e-3)
+    assert plain.fit.observations == smoothed.fit.observations == 20
+    assert smoothed.fit.slope > plain.fit.slope > 0
+    assert smoothed.predicted.where("fit is not null and ribbon_low < fit").count() == 20
+    all_positive = log(spark, [d for d in data if d[2] == "positive"])
+    with pytest.raises(ValueError):
+        modelling.daily_model(all_positive, start=D0, outliers=[])
+
+
 def test_hospital_panel_prefers_new_counters(spark):
     beds = spark.createDataFrame(
         [(str(day(i)), "5" if i else None, "2", "1", None, "3") for i in range(8)],
