@@ -149,3 +149,57 @@ def profile_ctes(rows: str, fit: str, link: str, tag: str, outer: int = 8, inner
     return ",\n  ".join(out)
 
 
+
+
+def _gauss_jordan(first: str, tag: str, size: int) -> str:
+    """Unrolled elimination of ``first(s, i, j, v)``; the last CTE is ``{tag}_{size}``."""
+    out, last = [], first
+    for k in range(size):
+        out.append(
+            f"""{tag}_{k + 1} as materialized (select m.s, m.i, m.j,
+    case when m.i = {k} then r.v / d.v else m.v - c.v * r.v / d.v end as v from {last} m
+    join {last} d on d.s = m.s and d.i = {k} and d.j = {k} join {last} r on r.s = m.s and r.i = {k} and r.j = m.j
+    join {last} c on c.s = m.s and c.i = m.i and c.j = {k})"""
+        )
+        last = f"{tag}_{k + 1}"
+    return ",\n  ".join(out)
+
+
+def spline_ctes(source: str, penalty: float, knots: int = 10) -> str:
+    """CTE ``curve(s, date, smooth)`` from daily ``source(s, date, y)``: the penalised
+    natural spline by explicit normal equations, solved by elimination."""
+    top, inner, d0, rhs = knots - 1, knots - 2, 100, 1000
+    return f"""
+  days as materialized (select s, date, y, date_diff('day', date '1970-01-01', date) as d,
+    row_number() over (partition by s order by date) - 1 as r, count(*) over (partition by s) as cnt from {source}),
+  kn as (select s, t.i, d as k from days join (select unnest(range(0, {knots})) as i) t
+    on r = cast(round(t.i * (cnt - 1) / cast({top} as double)) as bigint)),
+  box as (select s, min(k) as lo, max(k) as hi from kn group by s),
+  z as materialized (select s, i, (k - lo) / cast(hi - lo as double) as k from kn join box using (s)),
+  h as materialized (select a.s, a.i, b.k - a.k as h from z a join z b on b.s = a.s and b.i = a.i + 1),
+  dd as materialized (select s, i as r, i as p, 1 / h as v from h where i < {inner}
+    union all select s, i - 1, i + 1, 1 / h from h where i >= 1
+    union all select a.s, a.i, a.i + 1, -(1 / a.h + 1 / b.h) from h a join h b on b.s = a.s and b.i = a.i + 1),
+  band as (select a.s, a.i as r, a.i as c, (a.h + b.h) / 3 as v from h a join h b on b.s = a.s and b.i = a.i + 1
+    union all select s, i - 1, i, h / 6 from h where i between 1 and {inner - 1}
+    union all select s, i, i - 1, h / 6 from h where i between 1 and {inner - 1}
+    union all select s, r, p + {d0}, v from dd),
+  cells as (select s, i, j from (select distinct s from z), (select unnest(range(0, {inner})) as i),
+    (select unnest(range(0, {inner})) as j union all select unnest(range({d0}, {d0 + knots})))),
+  m0 as materialized (select cells.s, i, j, coalesce(band.v, 0) as v from cells left join band on band.s = cells.s and r = i and c = j),
+  {_gauss_jordan('m0', 'm', inner)},
+  f as materialized (select s, i + 1 as j, j - {d0} as p, v from m_{inner} where j >= {d0}),
+  rough as (select dd.s, dd.p, f.p as q, sum(dd.v * f.v) as v from dd join f on f.s = dd.s and f.j = dd.r + 1 group by 1, 2, 3),
+  placed as materialized (select days.s, date, y, least(max(i), {top - 1}) as j, (d - lo) / cast(hi - lo as double) as x
+    from days join box using (s) join z on z.s = days.s and z.k <= (d - lo) / cast(hi - lo as double) group by days.s, date, y, d, lo, hi),
+  near as (select placed.*, b.k - x as l, x - a.k as g, b.k - a.k as w from placed join z a on a.s = placed.s and a.i = j join z b on b.s = placed.s and b.i = j + 1),
+  parts as (select s, date, y, j as p, l / w as b from near union all select s, date, y, j + 1, g / w from near
+    union all select near.s, date, y, f.p, (l * l * l / w - w * l) / 6 * v from near join f on f.s = near.s and f.j = near.j
+    union all select near.s, date, y, f.p, (g * g * g / w - w * g) / 6 * v from near join f on f.s = near.s and f.j = near.j + 1),
+  basis as materialized (select s, date, any_value(y) as y, p, sum(b) as b from parts group by s, date, p),
+  gram as (select a.s, a.p, b.p as q, sum(a.b * b.b) as v from basis a join basis b on b.s = a.s and b.date = a.date group by 1, 2, 3),
+  n0 as materialized (select gram.s, gram.p as i, gram.q as j, gram.v + {penalty} * coalesce(rough.v, 0) as v
+      from gram left join rough on rough.s = gram.s and rough.p = gram.p and rough.q = gram.q
+    union all select s, p, {rhs}, sum(b * y) from basis group by s, p),
+  {_gauss_jordan('n0', 'n', knots)},
+  curve as (select basis.s, date, sum(b * v) as smooth from basis join n_{knots} n on n.s = basis.s and n.i = p and n.j = {rhs} group by 1, 2)"""

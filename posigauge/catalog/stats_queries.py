@@ -443,7 +443,11 @@ def loess_smooth(spark, sf_dir):
     return smooth.loess_smooth(daily, ["testType"], "date", "rate")
 
 
-@register("spline_smooth")
+@register(
+    "spline_smooth",
+    f"""{_RATES}, daily as (select testType as s, date, rate as y from r), {sp.spline_ctes('daily', 1e-4)}
+    select s as testType, date, smooth from curve""",
+    "smooth",
+)
 def spline_smooth(spark, sf_dir):
-    """No SQL: the basis solve is not expressible; tests compare it with a dense solve."""
     return smooth.spline_smooth(_daily_rates(spark, sf_dir), ["testType"], "date", "rate")
