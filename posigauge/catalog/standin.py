@@ -105,7 +105,7 @@ def raw_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
     line, even = F.col("l_linenumber"), F.col("l_linenumber") % 2 == 0
-    flag, ship = F.col("l_returnflag"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    flag, ship = F.col("l_returnflag"), F.col("l_shipdate").cast("date").cast("string")
     return df.select(
         F.when(F.col("l_linestatus") == "O", HOME).otherwise(LAB).alias("testType"),
         F.col("l_partkey").cast("string").alias("patientId"),
@@ -122,7 +122,7 @@ def raw_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(line % 3 == 1, F.concat(ship, F.lit(" 10:30:00")))
         .otherwise(F.concat(ship, F.lit("T23:30:00-04:00")))
         .alias("collectedDate"),
-        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 08:00:00")).alias("reportedDate"),
+        F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit(" 08:00:00")).alias("reportedDate"),
         F.col("ageRange"),
         F.when(F.col("region") == "AMERICA", "Bayamon")
         .when(F.col("region") == "ASIA", "Mayaguez")
