@@ -334,6 +334,27 @@ def ma7_sum7(spark, sf_dir):
     )
 
 
+@register(
+    "ma7",
+    f"""{_DAILY_SPARSE} select testType, date, case when count(k) over w = 7 then avg(k) over w end as moving_avg
+    from d window w as {_W7}""",
+    "moving_avg",
+)
+def ma7(spark, sf_dir):
+    daily = counts.positive_counts(sparse_log(spark, sf_dir), ["testType", "date"])
+    return rolling.ma7(daily, "k", ["testType"])
+
+
+@register(
+    "sum7",
+    f"""{_DAILY_SPARSE} select testType, date, cast(case when count(k) over w = 7 then sum(k) over w end as bigint) as moving_sum
+    from d window w as {_W7}""",
+)
+def sum7(spark, sf_dir):
+    daily = counts.positive_counts(sparse_log(spark, sf_dir), ["testType", "date"])
+    return rolling.sum7(daily, "k", ["testType"])
+
+
 @register(
     "rolling_mean_fill0",
     f"""{_DAILY_SPARSE} select testType, date, case when count(*) over w < 7 then 0 else avg(cast(k as double) / n) over w end as seven_day_avg

@@ -35,6 +35,20 @@ def rolling_mean(x: Column, w: WindowSpec, k: int = WINDOW_ROWS) -> Column:
     return _strict(F.avg, x, w.rowsBetween(1 - k, 0), k)
 
 
+def ma7(
+    df: DataFrame, y: str, by: Sequence[str] = (), date: str = "date", k: int = WINDOW_ROWS
+) -> DataFrame:
+    """(group, date, ``moving_avg``) of a daily series."""
+    return df.select(*by, date, rolling_mean(F.col(y), series(by, (date,)), k).alias("moving_avg"))
+
+
+def sum7(
+    df: DataFrame, y: str, by: Sequence[str] = (), date: str = "date", k: int = WINDOW_ROWS
+) -> DataFrame:
+    """(group, date, ``moving_sum``) of a daily series."""
+    return df.select(*by, date, rolling_sum(F.col(y), series(by, (date,)), k).alias("moving_sum"))
+
+
 def rolling_mean_fill0(x: Column, w: WindowSpec, k: int = WINDOW_ROWS) -> Column:
     """Trailing mean, 0 while fewer than k rows exist."""
     short = F.count(F.lit(1)).over(w.rowsBetween(1 - k, 0)) < k
