@@ -36,9 +36,28 @@ def multi_type_people(
 
 
 def keep_multi_type(
-    df: DataFrame, person: str = "patientId", test_type: str = "testType"
+    df: DataFrame, person: str = "patientId", test_type: str = "testType", date: str = "date"
 ) -> DataFrame:
-    return df.join(multi_type_people(df, person, test_type), person, "left_semi")
+    """Rows of people seen with more than one test type.
+
+    Joined by (person, type, day) cells, not by person alone: the rows of a
+    busy id then spread over its days.
+    """
+    everything = Window.partitionBy(person)
+    cells = _cells(df, person, test_type, date)
+    several = (
+        cells.withColumns(
+            {"_lo": F.min(test_type).over(everything), "_hi": F.max(test_type).over(everything)}
+        )
+        .where("_lo <> _hi")
+        .select(person, test_type, date)
+    )
+    return df.join(several, [person, test_type, date], "left_semi")
+
+
+def _cells(df: DataFrame, person: str, test_type: str, date: str) -> DataFrame:
+    """Distinct (person, type, day): at most one row per day and type of a person."""
+    return df.where(F.col(person).isNotNull()).select(person, test_type, date).distinct()
 
 
 def paired_days(
@@ -54,7 +73,7 @@ def paired_days(
     most one row per day and type of a person. Around a day the types differ
     exactly when the smallest and the largest do.
     """
-    cells = df.where(F.col(person).isNotNull()).select(person, test_type, date).distinct()
+    cells = _cells(df, person, test_type, date)
     around = (
         Window.partitionBy(person).orderBy(F.unix_date(date)).rangeBetween(-days, days)
     )

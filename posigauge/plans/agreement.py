@@ -11,6 +11,7 @@ from posigauge.constants import FIRST_DAY, LAB, PAIR_WINDOW_DAYS, SAMPLE_ENTITIE
 from posigauge.functions.rates import is_known, type_offset
 from posigauge.functions.text import short_label
 from posigauge.operators.counts import positive_counts
+from posigauge.operators.joins import join_small
 from posigauge.operators.ordering import dense_index, first_entities
 from posigauge.operators.pairs import paired_days
 from posigauge.session import materialize
@@ -46,8 +47,9 @@ def agreement(
         .join(hits, ["patientId", "testType", "date"])
     )
     lane = type_offset(F.col("testType"), base)
+    # one row per type and day: no shuffle of the tests by a busy day
     return (
-        rows.join(daily, ["testType", "date"])
+        join_small(rows, daily, ["testType", "date"], "inner")
         .withColumns({"y": lane, "label": short_label(F.col("testType"))})
         .withColumn("y_val", F.col("y") + F.col("patientIndex"))
         .withColumns({"bottom": F.col("y_val") - 1, "top": F.col("y_val") + 1})

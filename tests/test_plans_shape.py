@@ -40,13 +40,31 @@ def test_pair_cells_are_hashed_not_sorted(spark, sf_dir):
     assert "SortAggregate" not in text and "HashAggregate" in text
 
 
+def test_person_joins_spread_over_days(spark, sf_dir):
+    """Log rows are shuffled by person, type and day, with a sort right above.
+
+    That also lets adaptive execution split a partition that is still too big.
+    """
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (pairs.interval_semi, pairs.keep_multi_type):
+            text = plan(rows(dense_log(spark, sf_dir)))
+            keys = r"hashpartitioning\(patientId#\d+L, testType#\d+, date#\d+"
+            join = text[text.index("SortMergeJoin") :]
+            assert len(re.findall(r"Sort \[[^\n]*\n[^\n]*Exchange " + keys, join)) >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_hints_are_bounded(spark, sf_dir):
     """With automatic broadcasts off, only sampled ids may be broadcast."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         text = plan(entry_module.queries()["agreement"](spark, sf_dir))
-        assert text.count("BroadcastExchange") == 1 and "TakeOrderedAndProject(limit=50" in text
+        # 50 ids, and the counted table of daily counts
+        assert text.count("BroadcastExchange") == 2 and "TakeOrderedAndProject(limit=50" in text
         for name in ("clean_tests", "dashboard_one_pass", "interval_pairs", "positivity_by_region"):
             assert "BroadcastExchange" not in plan(entry_module.queries()[name](spark, sf_dir))
     finally:
