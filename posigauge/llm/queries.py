@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posigauge.llm import langid, token_counts, toxicity
+from posigauge.llm import langid, simhash, substring_dedup, token_counts, toxicity
 from posigauge.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, model).select(
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, distance=2)
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document after repeated windows of 13 words are removed."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(documents, size=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
