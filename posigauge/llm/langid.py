@@ -175,12 +175,12 @@ def identify(documents: DataFrame, model: LanguageModel, key: str = "doc_id") ->
     """
     kind = documents.schema[key].dataType.simpleString()
     spark = documents.sparkSession
-    shared, name = spark.sparkContext.broadcast(model), f"votes:{uuid.uuid4().hex}"
+    shared, name = spark.sparkContext.broadcast(vars(model)), f"votes:{uuid.uuid4().hex}"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_cache(name, dict)
+        known, model = worker_cache(name, dict), LanguageModel(**shared.value)
         for block in blocks(batches, "text", BLOCK_BYTES):
-            names, scores = score_texts(shared.value, known, block.column("text").to_pylist())
+            names, scores = score_texts(model, known, block.column("text").to_pylist())
             yield pa.record_batch(
                 [block.column(key), pa.array(names, pa.string()), pa.array(scores)],
                 names=[key, "lang_pred", "score"],

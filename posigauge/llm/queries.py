@@ -8,9 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posigauge.llm import langid, line_quality, mixing, simhash, substring_dedup, token_counts, toxicity
+from posigauge.llm import langid, line_quality, mixing, packing, simhash, substring_dedup, token_counts, toxicity
 from posigauge.llm.common import fold
 
+# The 50k byte-level vocabulary's end mark, and the id that ends a packed document.
+PACKING = {
+    "ranks_path": str(public_tokenizers.path("byte_bpe_50k.tiktoken")),
+    "pattern": public_tokenizers.PATTERN,
+    "special": {"<|endoftext|>": 50256},
+    "end": 1,
+    "window": 2048,
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -100,3 +109,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_target").alias("target"),
         (F.col("_copies") * F.col("_size")).alias("taken"),
     )
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), **PACKING, ids=False)
