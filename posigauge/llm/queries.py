@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posigauge.llm import langid, line_quality, mixing, packing, simhash, substring_dedup, token_counts, toxicity, vafile
+from posigauge.llm import hmm, langid, line_quality, mixing, packing, simhash, substring_dedup, token_counts, toxicity, vafile
 from posigauge.llm.common import fold
 
 # The 50k byte-level vocabulary's end mark, and the id that ends a packed document.
@@ -136,3 +136,18 @@ ranked as (
 )
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 10
 """
+
+
+@query
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the hidden Markov model."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return hmm.language_scores(documents, fold("doc_id", 7) != 2).select(
+        "doc_id",
+        (~F.col("trained")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
