@@ -40,12 +40,15 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
-def worker_cache(name: str, make):
-    """A value that outlives one task of a Python worker; ``make`` builds it where it is absent."""
+def worker_cache(slot: str, make, name: str = ""):
+    """A value that outlives one task of a Python worker; ``make`` builds it where it is absent.
+
+    A slot holds one value: asking for another name replaces it.
+    """
     kept = sys.modules.setdefault("_posigauge_worker", types.ModuleType("_posigauge_worker")).__dict__
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    if slot not in kept or kept[slot][0] != name:
+        kept[slot] = (name, make())
+    return kept[slot][1]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:

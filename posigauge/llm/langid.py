@@ -23,7 +23,7 @@ from posigauge.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK_BYTES = 4 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 UNKNOWN = "und"
 NO_GRAM = 0.5  # smoothing count of a word or n-gram in a language
 
@@ -143,26 +143,38 @@ def fit(
     return LanguageModel(langs, prior, tables.pop(0, {}), tables)
 
 
-def score_texts(model: LanguageModel, known: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """(language, posterior) of each text; ``known`` remembers the votes of unseen words."""
+class Votes:
+    """Votes of the words seen so far, one row each, forgotten when there are too many."""
+
+    def __init__(self, langs: int):
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((CACHE_WORDS, langs))
+
+    def learn(self, model: LanguageModel, words: set[str]) -> None:
+        if len(self.at) + len(words) > len(self.rows):
+            self.at.clear()
+            if len(words) > len(self.rows):
+                self.rows = np.zeros((len(words), self.rows.shape[1]))
+        for word in words:
+            if word not in self.at:
+                self.rows[len(self.at)] = model.vector(word)
+                self.at[word] = len(self.at)
+
+
+def score_texts(model: LanguageModel, votes: Votes, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """(language, posterior) of each text."""
     tokens = [words_of(t) for t in texts]
-    distinct = set().union(*tokens)
-    if len(known) + len(distinct) > CACHE_WORDS:
-        known.clear()
-    for word in [w for w in distinct if w not in known]:
-        known[word] = model.vector(word)
-    ids = {word: i for i, word in enumerate(distinct)}
-    votes = np.array([known[w] for w in distinct]) if distinct and model.langs else np.zeros((0, 1))
-    names, scores = [], np.zeros(len(texts))
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if not model.langs:
+        return names, scores
+    votes.learn(model, set().union(*tokens))
     for i, words in enumerate(tokens):
-        if not words or not model.langs:
-            names.append(UNKNOWN)
-            continue
-        at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        total = model.prior + votes[at].sum(axis=0)
-        best = int(total.argmax())
-        names.append(model.langs[best])
-        scores[i] = 1.0 / np.exp(total - total[best]).sum()
+        if words:
+            at = np.fromiter(map(votes.at.__getitem__, words), np.int64, len(words))
+            total = model.prior + votes.rows[at].sum(axis=0)
+            best = int(total.argmax())
+            names[i] = model.langs[best]
+            scores[i] = 1.0 / np.exp(total - total[best]).sum()
     return names, scores
 
 
@@ -175,12 +187,13 @@ def identify(documents: DataFrame, model: LanguageModel, key: str = "doc_id") ->
     """
     kind = documents.schema[key].dataType.simpleString()
     spark = documents.sparkSession
-    shared, name = spark.sparkContext.broadcast(vars(model)), f"votes:{uuid.uuid4().hex}"
+    shared, name = spark.sparkContext.broadcast(vars(model)), uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = worker_cache(name, dict), LanguageModel(**shared.value)
+        model = worker_cache("language model", lambda: LanguageModel(**shared.value), name)
+        votes = worker_cache("language votes", lambda: Votes(len(model.langs)), name)
         for block in blocks(batches, "text", BLOCK_BYTES):
-            names, scores = score_texts(model, known, block.column("text").to_pylist())
+            names, scores = score_texts(model, votes, block.column("text").to_pylist())
             yield pa.record_batch(
                 [block.column(key), pa.array(names, pa.string()), pa.array(scores)],
                 names=[key, "lang_pred", "score"],

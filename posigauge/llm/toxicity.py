@@ -219,10 +219,10 @@ def score(documents: DataFrame, model: ToxicityModel, key: str = "doc_id") -> Da
     of bounded size and broadcast.
     """
     kind = documents.schema[key].dataType.simpleString()
-    shared, name = documents.sparkSession.sparkContext.broadcast(vars(model)), f"toxic:{uuid.uuid4().hex}"
+    shared, name = documents.sparkSession.sparkContext.broadcast(vars(model)), uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = worker_cache(name, dict), ToxicityModel(**shared.value)
+        known, model = worker_cache("toxicity", dict, name), ToxicityModel(**shared.value)
         for block in blocks(batches, "text", BLOCK_BYTES):
             found = [score_text(model, known, text) for text in block.column("text").to_pylist()]
             document, at, worst, part = zip(*found, strict=True)
