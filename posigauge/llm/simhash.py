@@ -1,10 +1,10 @@
 """SimHash near-duplicates by multi-index hashing.
 
-The 64-bit fingerprint is cut into two segments. Fingerprints at two or fewer
-differing bits differ in at most one bit of one of the segments, so each
-fingerprint probes, per segment, the segment's value and its 32 neighbours at
-one bit, fetches equal values from the segment's table, and pairs are verified
-by their complete distance. Only distinct fingerprints take part in this.
+The 64-bit fingerprint is cut into segments. Fingerprints at a distance below
+twice the number of segments differ in at most one bit of one of them, so each
+fingerprint probes, per segment, the segment's value and its neighbours at one
+bit, fetches equal values from the segment's table, and pairs are verified by
+their complete distance. Only distinct fingerprints take part in this.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from posigauge.llm.components import connected_components
 from posigauge.session import materialize
 
 SEED = 42
-SEGMENT_BITS = 32
 BLOCK_BYTES = 1 << 20
 
 
@@ -63,7 +62,7 @@ def fingerprints(documents: DataFrame, size: int = 3, key: str = "doc_id") -> Da
     return documents.select(key, "text").mapInArrow(compute, f"`{key}` {kind}, fp long")
 
 
-def links(prints: DataFrame, distance: int = 2) -> DataFrame:
+def links(prints: DataFrame, distance: int = 2, segments: int = 2) -> DataFrame:
     """(a, b) with a < b: distinct fingerprints (column fp) at ``distance`` or fewer differing bits.
 
     The table has one row per fingerprint and segment; a probe is an equi-join
@@ -71,21 +70,24 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     execution splits. The complete distance is part of the join condition: no
     candidate that fails it is written.
     """
-    if not 0 <= distance < 4:
-        raise ValueError("two segments with balls of radius 1 find up to three differing bits")
-    low = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
-    high = F.shiftrightunsigned("fp", SEGMENT_BITS).bitwiseOR(F.lit(1 << SEGMENT_BITS))
-    ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i) for i in range(SEGMENT_BITS)])
-    table = prints.select(F.explode(F.array(low, high)).alias("segment"), F.col("fp").alias("b"))
-    probes = prints.select("fp", F.explode(F.array(low, high)).alias("center")).select(
-        F.col("fp").alias("a"), F.explode(ball).alias("flip"), "center"
-    )
-    probes = probes.select("a", F.col("center").bitwiseXOR(F.col("flip")).alias("segment"))
+    if not 0 <= distance < 2 * segments:
+        raise ValueError("balls of radius 1 find distances below twice the number of segments")
+    borders = [64 * i // segments for i in range(segments + 1)]
+    values, balls = [], []
+    for number, (low, high) in enumerate(zip(borders, borders[1:], strict=False)):
+        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+        values.append(part.bitwiseOR(F.lit(number << 48)))
+        flips = [0, *(1 << i for i in range(high - low))] if distance >= segments else [0]
+        balls.append(F.array(*[values[-1].bitwiseXOR(F.lit(f)) for f in flips]))
+    table = prints.select(F.explode(F.array(*values)).alias("segment"), F.col("fp").alias("b"))
+    probes = prints.select(F.explode(F.flatten(F.array(*balls))).alias("segment"), F.col("fp").alias("a"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     return probes.join(table, "segment").where((F.col("a") < F.col("b")) & close).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, size: int = 3, distance: int = 2, key: str = "doc_id") -> DataFrame:
+def near_duplicates(
+    documents: DataFrame, size: int = 3, distance: int = 2, segments: int = 2, key: str = "doc_id"
+) -> DataFrame:
     """Component of every row: key, fingerprint (16 hex digits), component_id (smallest key reachable).
 
     Null and empty texts have fingerprint zero and link like any other. Rows
@@ -95,7 +97,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, distance: int = 2, key:
     """
     rows = materialize(fingerprints(documents, size, key))
     nodes = materialize(rows.groupBy("fp").agg(F.min(key).alias("first")))
-    roots = connected_components(links(nodes.select("fp"), distance))
+    roots = connected_components(links(nodes.select("fp"), distance, segments))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
