@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posigauge.operators.cleaning import compute_once
+
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -33,19 +35,13 @@ def with_text_measures(documents: DataFrame, window: int = 3) -> DataFrame:
     n_repeat_words counts the words inside windows that are found twice or
     more in the text. Windows are hashed from their words' hashes and sorted
     with their places, so equal ones are neighbours: n log n for the longest
-    text. Null texts have no words. Each array is a column of its own, which
-    keeps it from being computed again inside the next lambda.
+    text. Null texts have no words. What a later expression uses more than once
+    is computed by a generator, which no filter or projection is merged into.
     """
     text = F.coalesce("text", F.lit(""))
     lines, hashes, runs = F.col("_lines"), F.col("_hashes"), F.col("_runs")
-    frame = documents.withColumn("_words", _words(text)).withColumn("_lines", _word_lines(text))
-    frame = frame.select(
-        *documents.columns,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.transform("_words", lambda word: F.xxhash64(word)).alias("_hashes"),
+    frame = compute_once(
+        documents, {"_lines": _word_lines(text), "_hashes": F.transform(_words(text), lambda word: F.xxhash64(word))}
     )
     places = F.when(F.size(hashes) >= window, F.sequence(F.lit(0), F.size(hashes) - window)).otherwise(
         F.array().cast("array<int>")
@@ -53,7 +49,16 @@ def with_text_measures(documents: DataFrame, window: int = 3) -> DataFrame:
     keyed = F.transform(
         places, lambda i: F.struct(F.xxhash64(*[F.get(hashes, i + k) for k in range(window)]).alias("h"), i.alias("i"))
     )
-    frame = frame.withColumn("_runs", F.sort_array(keyed))
+    frame = compute_once(
+        frame,
+        {
+            "n_words": F.size(hashes).cast("long"),
+            "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
+            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "_runs": F.sort_array(keyed),
+        },
+    ).drop("_lines", "_hashes")
     same = lambda x, other: F.coalesce(x["h"] == other["h"], F.lit(False))
     repeated = F.filter(runs, lambda x, j: same(x, F.get(runs, j - 1)) | same(x, F.get(runs, j + 1)))
     covered = F.aggregate(
@@ -64,7 +69,7 @@ def with_text_measures(documents: DataFrame, window: int = 3) -> DataFrame:
         ),
         lambda state: state["n"],
     )
-    return frame.withColumn("n_repeat_words", covered).drop("_hashes", "_runs")
+    return compute_once(frame, {"n_repeat_words": covered}).drop("_runs")
 
 
 def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
@@ -176,7 +181,7 @@ def verdicts(
 
 
 def clean(documents: DataFrame, key: str = "doc_id", host: str = "source", **rules) -> DataFrame:
-    """The rows that are kept, with all their columns, without the frequent lines."""
+    """The rows that are kept, with all their columns, without the frequent lines in column ``text``."""
     columns = documents.columns
     renamed = documents.select(key, "text", F.struct(*columns).alias("_row"), F.col(host).alias("_source"))
     judged = verdicts(renamed, key=key, host="_source", carry=["_row", "text"], **rules)
