@@ -70,8 +70,8 @@ def links(prints: DataFrame, distance: int = 2, segments: int = 2) -> DataFrame:
     execution splits. The complete distance is part of the join condition: no
     candidate that fails it is written.
     """
-    if not 0 <= distance < 2 * segments:
-        raise ValueError("balls of radius 1 find distances below twice the number of segments")
+    if segments < 2 or not 0 <= distance < 2 * segments:
+        raise ValueError("balls of radius 1 find distances below twice the number of segments, which are two or more")
     borders = [64 * i // segments for i in range(segments + 1)]
     values, balls = [], []
     for number, (low, high) in enumerate(zip(borders, borders[1:], strict=False)):

@@ -131,6 +131,8 @@ def find_repeats(chunks: list[int], payloads: list[bytes]) -> Iterator[tuple[int
 def merge_intervals(places: np.ndarray, word_at: np.ndarray, size: int) -> list[tuple[int, list[int]]]:
     """(row, [start, end, ...]) in words of the row: maximal intervals covered by windows at ``places``."""
     places = np.unique(places)
+    if not len(places):
+        return []
     row = np.searchsorted(word_at, places, side="right") - 1
     fresh = np.ones(len(places), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (places[1:] > places[:-1] + size)

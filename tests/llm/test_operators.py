@@ -1,0 +1,439 @@
+"""Operators of the training-data subpackage against plain versions on a small corpus."""
+
+import collections
+import zlib
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from posigauge.llm import (
+    components,
+    hmm,
+    langid,
+    line_quality,
+    mixing,
+    packing,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+    vafile,
+)
+from posigauge.llm.common import fold
+from posigauge.llm.queries import PACKING
+
+WORDS_WITH_ENDS = str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def pairs(rows):
+    return [(r[0], r[1]) for r in rows]
+
+
+# substring dedup
+
+
+def test_repeated_windows_go(docs, rows):
+    from pyspark.sql import functions as F
+
+    got = substring_dedup.remove_repeats(docs, 13).withColumn("sha", F.sha2("kept_text", 256))
+    want = brute.substring(pairs(rows))
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["sha"]) for r in got.collect()} == want
+    assert sum(n for _, n, _ in want.values()) > 1000
+
+
+def test_cut_text_keeps_other_white_space(docs):
+    for r in substring_dedup.remove_repeats(docs, 13).collect():
+        assert " ".join(w.decode() for w in (r["cut_text"] or "").encode().split()) == r["kept_text"]
+        if not r["n_removed"]:
+            assert r["cut_text"] == r["text"]
+
+
+def test_substring_odd_rows(odd_docs, no_docs):
+    got = substring_dedup.remove_repeats(odd_docs, 13).collect()
+    assert len(got) == odd_docs.count()
+    assert len({(r["n_removed"], r["kept_text"]) for r in got if r["doc_id"] == 0}) == 1
+    assert all(r["n_removed"] == 0 for r in got if r["doc_id"] is None)
+    assert substring_dedup.remove_repeats(no_docs, 13).count() == 0
+
+
+@given(st.lists(st.integers(0, 1 << 40), max_size=50))
+def test_planes_round_trip(values):
+    array = np.array(values, np.int64)
+    assert substring_dedup.unplanes(memoryview(substring_dedup.planes(array, 7)), len(array), 7).tolist() == values
+
+
+# language model
+
+
+def test_unigram_base_and_gain(docs, rows):
+    got = hmm.language_scores(docs, fold("doc_id", 7) != 2, states=3, frequent=50, classes=16, warm_rounds=3, rounds=3).collect()
+    want = brute.unigrams(pairs(rows), lambda i: brute.fold(i, 7) != 2)
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][:3]
+        assert r["base_score"] == pytest.approx(want[r["doc_id"]][3], rel=1e-9)
+        assert r["score"] < 0
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
+def test_forward_is_exact_and_training_climbs():
+    rng = np.random.default_rng(1)
+    share = np.full(12, 1 / 12)
+    model = hmm.first_model(3, share, 3)
+    lengths = np.array([1, 700, 3, 40])
+    symbols = np.concatenate([rng.integers(6 * (n % 2), 6 + 6 * (n % 2), n) for n in lengths])
+    begin = np.cumsum(lengths) - lengths
+    got = hmm.forward(model, symbols, lengths)
+    want = [brute.forward(model, symbols[b : b + n]) for b, n in zip(begin, lengths, strict=True)]
+    assert got == pytest.approx(want, rel=1e-9)
+    sums = hmm.no_counts(3, 12)
+    hmm.expected_counts(model, symbols, begin, lengths, sums)
+    assert sums["tokens"] == len(symbols)
+    assert sums["emit"].sum() == pytest.approx(len(symbols))
+    assert sums["emit"].sum(axis=0) == pytest.approx(np.bincount(symbols, minlength=12))
+    assert sums["start"].sum() == pytest.approx(len(lengths))
+    assert sums["move"].sum() == pytest.approx(len(symbols) - len(lengths) - 2)  # two segment borders
+
+
+def test_each_round_raises_the_likelihood(docs):
+    encoded = hmm.encode(docs, fold("doc_id", 7) != 2, 16, "doc_id")
+    counted = hmm.count_words(encoded, 16, 50)
+    words = hmm.vocabulary(counted, 16, 50)
+    sequences = hmm.symbol_sequences(encoded, counted, words)
+    model, seen = hmm.first_model(3, words.share, 1), []
+    for _ in range(4):
+        model, per_token = hmm.improve(sequences, model, words.share, 0.0001)
+        seen.append(per_token)
+    assert seen == sorted(seen)
+    assert words.mass.sum() == words.tokens + words.types + 16
+
+
+def test_language_scores_of_odd_rows(odd_docs, no_docs):
+    settings_ = {"states": 2, "frequent": 20, "classes": 4, "warm_rounds": 1, "rounds": 1}
+    got = hmm.language_scores(odd_docs, fold("doc_id", 7) != 2, **settings_)
+    assert got.count() == odd_docs.count()
+    assert got.where("doc_id is null").count() == 3
+    assert hmm.language_scores(no_docs, fold("doc_id", 7) != 2, **settings_).count() == 0
+
+
+# exact search
+
+
+def test_search_is_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8).astype(np.float32)]) for i in range(400)]
+    rows += [(i, rows[3][1]) for i in range(400, 460)]  # many copies of one vector
+    rows += [(460, None), (461, [None] * 8), (462, [float("nan")] * 8), (463, [float("inf")] * 8), (None, rows[0][1])]
+    rows += [(500, []), (600, [0.1, 0.2])]
+    frame = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<float>")
+    got = vafile.top_k(frame, k=10, query_step=50).collect()
+    exact = [(i, v) for i, v in rows]
+    assert {tuple(r) for r in got} == brute.top_k(exact, step=50)
+    assert vafile.top_k(frame.limit(0)).count() == 0
+    few = vafile.top_k(frame.where("vec_id in (0, 1, 2)"), k=10)
+    assert few.count() == 2
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(3)
+    values, queries = rng.integers(-900, 900, (200, 6)), rng.integers(-900, 900, (7, 6))
+    q, c, lower, upper = vafile.block_survivors(queries, (values >> 4).astype(np.int8), 4, 5)
+    exact = (queries[q] * values[c]).sum(axis=1)
+    assert (lower <= exact).all() and (exact <= upper).all()
+    best = np.argsort(-(queries @ values.T), axis=1)[:, :5]
+    assert {(n, i) for n in range(7) for i in best[n].tolist()} <= set(zip(q.tolist(), c.tolist(), strict=True))
+
+
+# toxicity
+
+
+def test_toxic_documents_and_sentences(spark):
+    rng = np.random.default_rng(4)
+    plain = [f"w{n}" for n in range(200)]
+    rows = []
+    for i in range(600):
+        parts = [" ".join(rng.choice(plain, 8)) for _ in range(5)]
+        if i % 5 == 0:
+            parts[i % 3] += " dreadful" if i % 2 else " vile"
+        rows.append((i, ". ".join(parts), int(i % 5 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.where("doc_id < 500"))
+    got = {r["doc_id"]: r for r in toxicity.score(frame, model).collect()}
+    assert all((r["score"] >= 0.5) == (i % 5 == 0) for i, r in got.items())
+    assert all(got[i]["sentence"] == i % 3 for i in range(0, 600, 5))
+
+
+def test_toxicity_without_labels(odd_docs, no_docs):
+    from pyspark.sql import functions as F
+
+    model = toxicity.fit(no_docs.withColumn("toxic", F.lit(1)))
+    got = toxicity.score(odd_docs, model).collect()
+    assert len(got) == odd_docs.count() and all(0 <= r["score"] < 0.5 for r in got)
+    assert toxicity.score(no_docs, model).count() == 0
+
+
+# token counts
+
+
+def library_counts(texts):
+    tokenizer = Tokenizer.from_file(WORDS_WITH_ENDS)
+    return [len(e.ids) for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_counts_equal_the_library(docs, rows):
+    got = {r["doc_id"]: r for r in token_counts.token_counts(docs, WORDS_WITH_ENDS).collect()}
+    for row, n in zip(rows, library_counts([r[1] for r in rows]), strict=True):
+        assert (got[row[0]]["n_tokens"], got[row[0]]["n_bytes"]) == (n, len((row[1] or "").encode()))
+        assert got[row[0]]["over_limit"] == (n > 2048)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=5))
+def test_counts_of_any_text(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    table = token_counts.MergeTable(WORDS_WITH_ENDS)
+    assert token_counts.count_texts(table, {}, texts) == library_counts(texts)
+
+
+def test_counts_of_odd_rows(odd_docs, no_docs):
+    assert token_counts.token_counts(odd_docs, WORDS_WITH_ENDS).count() == odd_docs.count()
+    assert token_counts.token_counts(no_docs, WORDS_WITH_ENDS).count() == 0
+
+
+# quality rules
+
+
+def test_text_measures(docs, rows):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    got = line_quality.verdicts(docs).collect()
+    text = dict(pairs(rows))
+    assert len(got) == len(rows)
+    for r in got:
+        want = brute.text_measures(text[r["doc_id"]])
+        assert tuple(r[n] for n in names) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_frequent_lines_deplete(spark):
+    def own(i, n):
+        return " ".join(f"w{i}_{k}" for k in range(n))
+
+    rows = [(i, f"{own(i, 60)}\n Same  LINE here\n{own(i, 3)}", "h") for i in range(40)]
+    shared = " ".join(f"shared{k}" for k in range(300))
+    rows += [(100 + i, f"{shared}\n{own(i, 10)}", "h") for i in range(12)]
+    rows += [(200 + i, "copy " + own(999, 80) + "\n" + own(998, 80), "h") for i in range(30)]
+    rows += [(300, f"{shared}\n{own(300, 10)}", "other")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in line_quality.verdicts(frame, max_share=0.1, min_docs=10).collect()}
+    assert all(got[i]["n_removed"] == 3 and got[i]["kept"] for i in range(40))
+    assert all(got[100 + i]["n_removed"] == 300 and not got[100 + i]["kept"] for i in range(12))
+    assert all(got[200 + i]["n_removed"] == 0 and got[200 + i]["kept"] for i in range(30))  # exact copies count once
+    assert got[300]["n_removed"] == 0
+    cleaned = {r["doc_id"]: r["text"] for r in line_quality.clean(frame, max_share=0.1, min_docs=10).collect()}
+    assert set(cleaned) == {i for i, r in got.items() if r["kept"]}
+    assert cleaned[0] == f"{own(0, 60)}\n{own(0, 3)}"
+
+
+def test_quality_of_odd_rows(odd_docs, no_docs):
+    got = line_quality.verdicts(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    assert len({tuple(r) for r in got if r["doc_id"] == 0}) == 1
+    assert line_quality.clean(no_docs).columns == no_docs.columns and line_quality.clean(no_docs).count() == 0
+
+
+def test_quality_has_no_python(docs):
+    plan = line_quality.verdicts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# mixing
+
+
+def check_mix(frame, near):
+    got = mixing.mix(frame).collect()
+    sizes, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        assert 0 <= r["_copies"] <= 3
+        sizes[r["source"]] += r["_size"]
+        taken[r["source"]] += r["_size"] * r["_copies"]
+        target[r["source"]] = r["_target"]
+    for source, want in brute.targets(dict(sizes)).items():
+        assert target[source] == pytest.approx(want)
+        assert abs(taken[source] - want) <= near * max(1, want)
+    return got
+
+
+def test_mix_meets_targets(docs, spark):
+    check_mix(docs, 0.7)  # one source is one enormous document
+    rng = np.random.default_rng(6)
+    sources = ["b", "a", "é", None, "z", "tiny"]
+    rows = [(i, "w " * int(rng.pareto(1.5) * 20 + 1), sources[min(5, int(rng.exponential(1)))]) for i in range(6000)]
+    rows += [(9999, "w w", "tiny")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = check_mix(frame, 0.02)
+    again = mixing.mix(frame.repartition(2)).collect()
+    assert {(r["doc_id"], r["_copies"]) for r in got} == {(r["doc_id"], r["_copies"]) for r in again}
+    repeated = mixing.repeat_rows(mixing.mix(frame), frame.columns)
+    assert repeated.count() == sum(r["_copies"] for r in got)
+
+
+def test_mix_of_odd_rows(odd_docs, no_docs):
+    got = mixing.mix(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    assert len({r["_copies"] for r in got if r["doc_id"] == 0}) == 1
+    assert mixing.mix(no_docs).count() == 0
+
+
+def test_dual_reports_no_convergence(spark):
+    frame = spark.createDataFrame([(1.0, 3.0)], "_total double, _target double")
+    assert mixing.solve_dual(frame).first()["_dual"] == pytest.approx(np.log(3))
+    with pytest.raises(ArithmeticError):
+        mixing.solve_dual(spark.createDataFrame([(1.0, float("inf"))], "_total double, _target double"))
+
+
+# packing
+
+
+def library_ids(rows):
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    found = tokenizer.encode_batch([r[1] or "" for r in rows], add_special_tokens=False)
+    return {r[0]: np.array([*e.ids, 1], "<u4") for r, e in zip(rows, found, strict=True)}
+
+
+def test_packing_round_trip(docs, rows):
+    want, seen, sequences = library_ids(rows), collections.defaultdict(list), collections.defaultdict(list)
+    for r in packing.pack(docs, **PACKING).collect():
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert (want[r["doc_id"]][r["start"] : r["start"] + r["length"]] == ids).all() and len(ids) == r["length"]
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and r["doc_tokens"] == len(want[r["doc_id"]])
+        seen[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for doc, ids in want.items():
+        ends = np.cumsum([n for _, n in sorted(seen[doc])])
+        assert [s for s, _ in sorted(seen[doc])] == [0, *ends[:-1]] and ends[-1] == len(ids)
+    sizes = []
+    for pieces in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]]
+        sizes.append(int(ends[-1]))
+    assert all(n == 2048 or n.bit_count() == 1 for n in sizes) and max(sizes) <= 2048
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 15), max_size=120))
+def test_plan_places_every_remainder(lengths):
+    plan = packing.make_plan(np.bincount(lengths, minlength=16)[:16])
+    seen, sequences = collections.Counter(), collections.defaultdict(list)
+    for length in lengths:
+        pieces = plan.places(length, seen[length])
+        seen[length] += 1
+        assert sum(n for _, n, _, _ in pieces) == length
+        for _, n, sequence, offset in pieces:
+            sequences[sequence].append((offset, n))
+    for pieces in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]]
+        assert ends[-1] <= 16 and int(ends[-1]).bit_count() == 1
+
+
+def test_packing_of_odd_rows(odd_docs, no_docs):
+    got = packing.pack(odd_docs, **PACKING, ids=False)
+    assert got.where("start = 0").count() == odd_docs.count()
+    assert packing.pack(no_docs, **PACKING).count() == 0
+
+
+# near duplicates
+
+
+def test_components_of_fingerprints(docs, rows):
+    got = simhash.near_duplicates(docs, 3, 2).collect()
+    want = brute.simhash(pairs(rows))
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == want
+    got = simhash.near_duplicates(docs, 5, 5, 3).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == brute.simhash(pairs(rows), 5, 5)
+
+
+def test_links_are_all_found(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    prints = set(base.tolist())
+    for p in base.tolist():
+        for _ in range(12):
+            flips = rng.choice(64, rng.integers(1, 6), replace=False)
+            prints.add(p ^ sum(1 << int(f) for f in flips))
+    signed = {p - (1 << 64) if p >> 63 else p for p in prints}
+    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    for distance, segments in ((0, 2), (2, 2), (3, 2), (5, 3), (4, 5)):
+        mask = (1 << 64) - 1
+        want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= distance}
+        assert {tuple(r) for r in simhash.links(frame, distance, segments).distinct().collect()} == want
+    with pytest.raises(ValueError):
+        simhash.links(frame, 4, 2)
+
+
+@pytest.mark.parametrize("kind", ["chain", "star", "random"])
+def test_components(spark, kind):
+    rng = np.random.default_rng(9)
+    edges = {
+        "chain": [(i, i + 1) for i in range(300)],
+        "star": [(0, i) for i in range(1, 300)] + [(700, 701)],
+        "random": [tuple(map(int, rng.integers(0, 300, 2))) for _ in range(200)] + [(None, 3), (4, 4)],
+    }[kind]
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == {i: find(i) for i in root} and len(got) == len(root)
+
+
+def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
+    got = simhash.near_duplicates(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    assert len({tuple(r) for r in got if r["doc_id"] == 0}) == 1
+    assert simhash.near_duplicates(no_docs).count() == 0
+
+
+# language identification
+
+
+def test_languages(docs, rows):
+    model = langid.fit(docs.where("doc_id % 2 = 0"))
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    right = []
+    for row in rows:
+        text = row[1] or ""
+        if not any(c.isalpha() for c in text):
+            assert (got[row[0]]["lang_pred"], got[row[0]]["score"]) == ("und", 0)
+        elif row[0] < 120 and row[0] % 7 and row[0] % 11 and row[0] % 13 and len(text) > 300:
+            right.append(got[row[0]]["lang_pred"] == row[2])
+        assert 0 <= got[row[0]]["score"] <= 1
+    assert sum(right) > 0.9 * len(right)
+
+
+def test_unseen_words_back_off(spark):
+    frame = spark.createDataFrame([(0, "running jumping", "en"), (1, "laufung springung", "de")], "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert model.langs[model.vector("walking").argmax()] == "en"
+    assert model.langs[model.vector("meinung").argmax()] == "de"
+    assert (model.vector("漢") == 0).all()
+
+
+def test_languages_without_training(odd_docs, no_docs):
+    model = langid.fit(no_docs)
+    got = langid.identify(odd_docs, model).collect()
+    assert len(got) == odd_docs.count() and {r["lang_pred"] for r in got} == {"und"}
