@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from posigauge.catalog import sqlparts as sp
-from posigauge.catalog.base import register
+from posigauge.catalog.base import SQL, register
 from posigauge.catalog.relation_queries import FIRST_SQL
 from posigauge.catalog.scalar_queries import AGE_BIN_SQL, AGED_SQL, ROUND_WEEK_SQL
 from posigauge.catalog.standin import (
@@ -163,6 +163,14 @@ def agreement(spark, sf_dir):
     return agreement_plan.agreement(dense_log(spark, sf_dir), start=START)
 
 
+@register(
+    "agreement_all", SQL["agreement"].replace("patientIndex <= 50 and ", ""), digits=6
+)
+def agreement_all(spark, sf_dir):
+    """The whole result, without the sample of ids."""
+    return agreement_plan.agreement(dense_log(spark, sf_dir), start=START, sample_n=None)
+
+
 # --- dashboard -------------------------------------------------------------------------
 _WEEK_COLUMNS = "people_positives_week people_total_week obs_people_positives_week obs_people_total_week"
 _DASH = f"""with {EVENTS_SQL}, dash as (select * from log where result <> 'other'
@@ -311,7 +319,7 @@ def _present_mean(column: str, name: str) -> str:
     {_present_mean('CAMAS_PED_COVID', 'ped_hosp_week_avg')}, {_present_mean('CAMAS_PICU_COVID', 'picu_week_avg')},
     v as (select date, cast(nullif(m * (m % 3), 0) as double) as v from l),
     vaccines as (select date, coalesce(v, max(v) over (order by date rows between unbounded preceding and 1 preceding)) as people_vaccinated from v),
-    deaths as (select cast(o_orderdate as date) as date, count(*) as deaths from orders where o_orderstatus = 'P' group by 1),
+    deaths as (select cast(o_orderdate as date) as date, count(*) as deaths from orders group by 1),
     p as (select *, coalesce(deaths, 0) as IncMueSalud from deaths full join (avgs left join ped_hosp_week_avg using (date)
       left join picu_week_avg using (date)) using (date) full join vaccines using (date))
     select date, HospitCOV19, CamasICU, CamasICU_disp, hosp_week_avg, icu_week_avg, ped_hosp_week_avg, picu_week_avg, people_vaccinated,
@@ -351,7 +359,7 @@ def hospital_panel(spark, sf_dir):
         clean.clean_hospital(beds),
         clean.clean_legacy_hospital(legacy),
         panels.fill_vaccines(clean.clean_vaccines(vaccines), "here"),
-        sparse_log(spark, sf_dir).where("result = 'other'"),
+        sparse_log(spark, sf_dir),
         START,
     )
     return panel.select(

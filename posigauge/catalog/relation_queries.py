@@ -50,14 +50,13 @@ LOG, LOG_REGION = f"with {log_sql()}", f"with {log_sql(region=True)}"
 @register(
     "full_join_series",
     """
-    with a as (select cast(o_orderdate as date) as date, count(*) as orders from orders where o_orderkey % 7 > 0 group by 1),
+    with a as (select cast(o_orderdate as date) as date, count(*) as orders from orders group by 1),
     b as (select cast(l_shipdate as date) as date, count(*) as lines from lineitem group by 1)
     select date, orders, lines from a full join b using (date)
     """,
 )
 def full_join_series(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 > 0")
-    a = orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
+    a = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
         F.count(F.lit(1)).alias("orders")
     )
     b = counts.row_counts(dense_log(spark, sf_dir), ["date"], "lines")
@@ -101,11 +100,9 @@ def left_join_fill(spark, sf_dir):
     select * from base left join p using (testType, date) left join q using (testType, date)""",
 )
 def left_join_metrics(spark, sf_dir):
-    log, keys = sparse_log(spark, sf_dir), ["testType", "date"]
-    parts = [
-        counts.row_counts(log.where(F.col("result") == r), keys, f"{r}s") for r in ("positive", "negative")
-    ]
-    return joins.left_join_all(counts.row_counts(log, keys), *parts, on=keys)
+    found = {f"{r}s": F.nullif(F.count_if(F.col("result") == r), F.lit(0).cast("long")) for r in ("positive", "negative")}
+    metrics = [value.alias(name) for name, value in found.items()]
+    return sparse_log(spark, sf_dir).groupBy("testType", "date").agg(n_rows(), *metrics)
 
 
 @register(
@@ -113,7 +110,7 @@ def left_join_metrics(spark, sf_dir):
     """
     with a as (select cast(o_orderdate as date) as date, nullif(count(*) % 5, 0) as beds, nullif(count(*) % 3, 0) as icu from orders group by 1),
     b as (select cast(l_shipdate as date) as date, count(*) as old_beds, nullif(count(*) % 4, 0) as old_icu from lineitem group by 1),
-    d as (select cast(o_orderdate as date) as date, count(*) as deaths from orders where o_orderstatus = 'P' group by 1)
+    d as (select cast(o_orderdate as date) as date, count(*) as deaths from orders group by 1)
     select date, coalesce(beds, old_beds) as beds, coalesce(icu, old_icu) as icu, coalesce(deaths, 0) as deaths
     from a full join b using (date) full join d using (date)
     """,
@@ -126,7 +123,7 @@ def full_join_coalesce(spark, sf_dir):
     b = counts.row_counts(dense_log(spark, sf_dir), ["date"]).select(
         "date", F.col("n").alias("old_beds"), F.nullif(F.col("n") % 4, zero).alias("old_icu")
     )
-    d = panels.deaths_daily(sparse_log(spark, sf_dir).where("result = 'other'"))
+    d = panels.deaths_daily(sparse_log(spark, sf_dir))
     joined = joins.coalesce_columns(
         joins.full_join_series(a, b, d), {"beds": ("beds", "old_beds"), "icu": ("icu", "old_icu")}
     )
@@ -229,12 +226,12 @@ def cond_counts(spark, sf_dir):
     "region_counts",
     f"""{LOG_REGION}, {_DIM}, c as (select testType, region, {_KN} from log group by 1, 2)
     select testType, region, k, n, cast(population as bigint) as population, n * 1000.0 / population as rate
-    from c full join dim using (region)""",
+    from c full join (select * from (values ('{LAB}'), ('{HOME}')) t(testType), dim) using (testType, region)""",
     "rate",
 )
 def region_counts(spark, sf_dir):
     by_type = counts.positive_counts(dense_log(spark, sf_dir, region=True), ["testType", "region"])
-    return counts.rate_per_thousand(by_type, dims.region_population(spark, POPULATION))
+    return counts.rate_per_thousand(by_type, dims.region_population(spark, POPULATION), by={"testType": [LAB, HOME]})
 
 
 @register("age_counts", f"with {AGED_SQL} select ageRange, testType, {_KN} from aged group by 1, 2")
@@ -281,10 +278,10 @@ def sum_across_prefix(spark, sf_dir):
 
 @register(
     "deaths_daily",
-    f"with {SPARSE_SQL} select date, count(*) as deaths from log where result = 'other' and date >= date '1996-01-01' group by 1",
+    f"with {SPARSE_SQL} select date, count(*) as deaths from log where date >= date '1996-01-01' group by 1",
 )
 def deaths_daily(spark, sf_dir):
-    return panels.deaths_daily(sparse_log(spark, sf_dir).where("result = 'other'"), dt.date(1996, 1, 1))
+    return panels.deaths_daily(sparse_log(spark, sf_dir), dt.date(1996, 1, 1))
 
 
 # --- windows -------------------------------------------------------------------
@@ -583,15 +580,16 @@ def distinct_rows(spark, sf_dir):
     return cleaning.distinct_rows(dense_log(spark, sf_dir))
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _PIVOT = ", ".join(
-    f"max({v}) filter (testType = '{c}') as \"{v}_{c}\"" for c in ("1-URGENT", "2-HIGH", "3-MEDIUM") for v in "nk"
+    f"max({v}) filter (testType = '{c}') as \"{v}_{c}\"" for c in PRIORITIES for v in "nk"
 )
 
 
 @register("pivot_wide", f"{_DAILY_SPARSE} select date, {_PIVOT} from d group by 1")
 def pivot_wide(spark, sf_dir):
     daily = counts.positive_counts(sparse_log(spark, sf_dir), ["testType", "date"])
-    return reshape.pivot_channels(daily, ["date"], channels=["1-URGENT", "2-HIGH", "3-MEDIUM"])
+    return reshape.pivot_channels(daily, ["date"], channels=PRIORITIES)
 
 
 _DAYS = ", ".join(f"case when dayname(date) = '{d}' then 1 else 0 end as {d}" for d in WEEKDAYS)

@@ -158,20 +158,22 @@ def age_bin(spark, sf_dir):
     return row_counts(cleaning.add_age_bins(dense_log(spark, sf_dir, age=True)), ["ageRange"])
 
 
+_LEVELS = ", ".join(f"'{level}'" for level in FIVE_YEAR_LABELS)
+
+
 @register(
     "domain_check",
-    f"""with {log_sql(age=True)} select case when ageRange in ('0 to 4', '5 to 9', '10 to 14') then ageRange end as level,
-      case ageRange when '0 to 4' then 1 when '5 to 9' then 2 when '10 to 14' then 3 end as position,
+    f"""with {log_sql(age=True)} select case when ageRange in ({_LEVELS}) then ageRange end as level,
+      cast(nullif(list_position([{_LEVELS}], ageRange), 0) as integer) as position,
       ageRange <> 'N/A' as five_year, count(*) as n from log group by 1, 2, 3""",
 )
 def domain_check(spark, sf_dir):
-    levels = FIVE_YEAR_LABELS[:3]
     age = F.col("ageRange")
     return (
         dense_log(spark, sf_dir, age=True)
         .groupBy(
-            text.in_domain(age, levels).alias("level"),
-            text.domain_index(age, levels).cast("int").alias("position"),
+            text.in_domain(age, FIVE_YEAR_LABELS).alias("level"),
+            text.domain_index(age, FIVE_YEAR_LABELS).cast("int").alias("position"),
             text.in_domain(age, FIVE_YEAR_LABELS).isNotNull().alias("five_year"),
         )
         .agg(n_rows())

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 
 from posigauge.constants import CONFIDENCE
 from posigauge.functions.rates import ratio
-from posigauge.functions.tails import binomial_quantile_col
+from posigauge.functions.tails import binomial_quantiles_col
 
 
 def binomial_bounds(
@@ -14,6 +14,5 @@ def binomial_bounds(
 ) -> tuple[Column, Column]:
     """Lower and upper binomial quantile of ``n`` trials at rate ``p``, over ``n``."""
     tail = (1 - confidence) / 2
-    return tuple(
-        ratio(binomial_quantile_col(q, n, p), n) for q in (tail, 1 - tail)
-    )
+    both = binomial_quantiles_col((tail, 1 - tail), n, p)
+    return ratio(both["q0"], n), ratio(both["q1"], n)

@@ -61,8 +61,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError("the continued fraction of the incomplete beta function did not converge")
 
 
 def regularized_beta(a: float, b: float, x: float) -> float:
@@ -133,8 +133,8 @@ def chi2_tail(x: float, df: float) -> float:
         c = b + an / c
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError("the continued fraction of the chi-square tail did not converge")
 
 
 def normal_two_sided(z: float) -> float:
@@ -168,6 +168,16 @@ def binomial_quantile_col(q: float, n, p):
     )
 
 
+def binomial_quantiles_col(levels: tuple[float, float], n, p):
+    """Struct of both quantiles, from one pass over the distinct pairs."""
+
+    def body(n_: pd.Series, p_: pd.Series) -> pd.DataFrame:
+        columns = {f"q{i}": _per_pair(lambda a, b, q=q: binomial_quantile(q, a, b), n_, p_) for i, q in enumerate(levels)}
+        return pd.DataFrame(columns)
+
+    return F.pandas_udf(body, "q0 double, q1 double")(n.cast("double"), p.cast("double"))
+
+
 def t_two_sided_col(t, df):
     return _pair_udf(t_two_sided)(t.cast("double"), df.cast("double"))
 

@@ -20,12 +20,13 @@ from posigauge.constants import (
 )
 
 def _offset(text: Column) -> Column:
-    """Trailing ``Z``, ``+hh:mm`` or ``+hhmm``; NULL without one."""
-    long_tail, short_tail = F.substring(text, -6, 6), F.substring(text, -5, 5)
+    """Trailing ``Z``, ``UTC``, ``GMT``, ``+hh:mm``, ``+hhmm`` or ``+hh`` after a clock; NULL without one."""
+    long_tail, short_tail, hours = (F.substring(text, -n, n) for n in (6, 5, 3))
     return (
-        F.when(text.endswith("Z"), "Z")
+        F.when(text.endswith("Z") | text.endswith("UTC") | text.endswith("GMT"), "Z")
         .when(F.substring(text, -6, 1).isin("+", "-"), long_tail)
         .when(F.substring(text, -5, 1).isin("+", "-"), short_tail)
+        .when(F.substring(text, -3, 1).isin("+", "-"), F.concat(hours, F.lit(":00")))
     )
 
 

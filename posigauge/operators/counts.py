@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,9 +71,17 @@ def channel_counts(
     return df.where(F.col(column).isin(list(channels))).groupBy(*by).agg(*aggs)
 
 
-def rate_per_thousand(counts: DataFrame, population: DataFrame, key: str = "region") -> DataFrame:
-    """Counts FULL JOIN population: a key on one side only keeps its row."""
-    return counts.join(population, key, "full").withColumn(
+def rate_per_thousand(
+    counts: DataFrame, population: DataFrame, key: str = "region", by: Mapping[str, Sequence[str]] = MappingProxyType({})
+) -> DataFrame:
+    """Counts FULL JOIN population: a key on one side only keeps its row.
+
+    ``by`` names strata and their values; each of them is joined with the
+    whole population on its own, so none loses the keys it has no tests of.
+    """
+    for column, values in by.items():
+        population = population.withColumn(column, F.explode(F.array(*map(F.lit, values))))
+    return counts.join(population, [*by, key], "full").withColumn(
         "rate", ratio(F.col("n"), F.col("population")) * 1000
     )
 

@@ -36,11 +36,21 @@ QUALITY_SCHEMA = (
 )
 
 
+class NotConverged(ArithmeticError):
+    """An iteration ended before its result was settled."""
+
+
+def _log_gamma(x: pd.Series) -> pd.Series:
+    """log gamma for x >= 1: Stirling's series at x + 8, stepped back by the recurrence."""
+    y = x + 8.0
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9)
+    far = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series
+    return far - sum(np.log(x + i) for i in range(8))
+
+
 @F.pandas_udf(DoubleType())
 def _log_choose(n: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series(
-        [math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1) for a, b in zip(n, k)]
-    )
+    return _log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1)
 
 
 @dataclass(frozen=True)
@@ -195,7 +205,8 @@ def _fit_log(
     """Newton steps on the log likelihood, which is concave for the log link too.
 
     Each job looks at the full step and its halves at once and takes the
-    longest that keeps means below 1 and lowers the deviance.
+    longest that keeps means below 1 and lowers the deviance. Raises
+    :class:`NotConverged` if ``max_steps`` steps do not settle it.
     """
     here = np.array([math.log(share), 0.0])
     now = evaluate(rows, "log", [tuple(here)])[0]
@@ -215,10 +226,23 @@ def _fit_log(
                 break
             scale /= 2**halvings
             if scale < 1e-8:
-                return float(here[0]), float(here[1])
+                if np.all(np.abs(step) <= 1e-6 * error):  # nothing left but rounding
+                    return float(here[0]), float(here[1])
+                raise NotConverged("no step lowers the deviance of the log-link fit")
+    else:
+        raise NotConverged(f"the log-link fit is not settled after {max_steps} steps")
     return float(here[0]), float(here[1])
 
 
+def check_settled(at: Evaluation | None, tolerance: float = 1e-4) -> None:
+    """Raise unless the next Newton step is below ``tolerance`` standard errors."""
+    if at is None:
+        raise NotConverged("a fitted mean is 1 or more")
+    step = np.linalg.solve(at.info, at.score)
+    if np.any(np.abs(step) > tolerance * np.sqrt(np.diag(np.linalg.inv(at.info)))):
+        raise NotConverged("the binomial fit is not settled")
+
+
 def fit_binomial(rows: DataFrame, x: str, link: str = "logit") -> BinomialFit:
     """Fit rows made by :func:`model_rows`; ``x`` names the predictor later on."""
     y, w, k, n = (F.col(c) for c in ("y", "w", "k", "n"))
@@ -233,6 +257,7 @@ def fit_binomial(rows: DataFrame, x: str, link: str = "logit") -> BinomialFit:
         raise ValueError(f"unknown link {link!r}")
     null = (math.log(share) if link == "log" else math.log(share / (1 - share)), 0.0)
     at_fit, at_null = evaluate(rows, link, [(b0, b1), null])
+    check_settled(at_fit)
     mu = _mean(link, F.lit(b0) + F.lit(b1) * F.col("x"))
     log_density = (
         _log_choose(F.round(n), F.round(k))
@@ -359,6 +384,7 @@ def profile_interval(
     risen by 1.96 squared. The four bounds are searched together: each round
     is one aggregate that moves the other coefficient to its best value and,
     once there, the bound itself along the signed root of the deviance.
+    Raises :class:`NotConverged` if a bound is open after ``rounds``.
     """
     best = np.array([fit.intercept, fit.slope])
     cov = np.array([[fit.v00, fit.v01], [fit.v01, fit.v11]])
@@ -392,6 +418,8 @@ def profile_interval(
             p["prev"] = (b, root)
             p["done"] = abs(target - b) <= tol * se[j]
             _move(p, target, best, cov, from_beta=p["beta"])
+    if not all(p["done"] for p in probes):
+        raise NotConverged(f"a profile bound is not settled after {rounds} rounds")
     bounds = {(p["j"], p["side"]): float(p["beta"][p["j"]]) for p in probes}
     out = [
         (term, bounds[(j, -1.0)], bounds[(j, 1.0)])

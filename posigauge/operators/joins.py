@@ -8,10 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from posigauge.session import materialize
-
-BROADCAST_ROWS = 500_000
-
 
 def full_join_series(*frames: DataFrame, on: Sequence[str] = ("date",)) -> DataFrame:
     """Full outer join on shared keys; each key appears once."""
@@ -45,20 +41,3 @@ def add_group_total(df: DataFrame, by: Sequence[str], value: str, name: str) ->
     """Total of the group next to each row of an aggregate: a window, no join."""
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by)))
 
-
-def join_small(
-    log: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join the log with an aggregate that is expected to be small.
-
-    The aggregate is written down and its rows are counted: up to
-    ``max_rows`` it is broadcast and the log is not shuffled; beyond that
-    Spark chooses, with its skew handling for hot keys.
-    """
-    small = materialize(small)
-    fits = small.count() <= max_rows
-    return log.join(F.broadcast(small) if fits else small, list(on), how)

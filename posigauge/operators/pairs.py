@@ -11,16 +11,16 @@ from pyspark.sql.window import Window
 from posigauge.constants import PAIR_WINDOW_DAYS
 from posigauge.functions.rates import is_positive
 from posigauge.operators.counts import positive_counts
-from posigauge.operators.joins import join_small
 
 
 def attach_group_counts(df: DataFrame, by: Sequence[str] = ("testType", "date")) -> DataFrame:
     """``k`` and ``n`` of its group next to every row.
 
     Counted as an aggregate and joined, so a hot group is never gathered in
-    one window partition.
+    one window partition. The join is left to Spark, which broadcasts counts
+    below its byte threshold and splits a hot key otherwise.
     """
-    return join_small(df, positive_counts(df, by), by)
+    return df.join(positive_counts(df, by), list(by), "left")
 
 
 def multi_type_people(

@@ -11,7 +11,6 @@ from posigauge.constants import FIRST_DAY, LAB, PAIR_WINDOW_DAYS, SAMPLE_ENTITIE
 from posigauge.functions.rates import is_known, type_offset
 from posigauge.functions.text import short_label
 from posigauge.operators.counts import positive_counts
-from posigauge.operators.joins import join_small
 from posigauge.operators.ordering import dense_index, first_entities
 from posigauge.operators.pairs import paired_days
 from posigauge.session import materialize
@@ -32,9 +31,9 @@ def agreement(
     """
     known = log.where(is_known(F.col("result")))
     daily = positive_counts(known, ["testType", "date"])
-    # needed twice, for the index and for the rows: written down once
-    hits = materialize(paired_days(known, days))
+    hits = paired_days(known, days)
     if sample_n is None:
+        hits = materialize(hits)  # needed twice: for the index, whose jobs run now, and for the rows
         people = dense_index(hits, "patientId", "patientIndex")
         hits = hits.join(people, "patientId")
     else:
@@ -47,9 +46,9 @@ def agreement(
         .join(hits, ["patientId", "testType", "date"])
     )
     lane = type_offset(F.col("testType"), base)
-    # one row per type and day: no shuffle of the tests by a busy day
+    # daily counts, one row per type and day, are small enough for Spark to broadcast
     return (
-        join_small(rows, daily, ["testType", "date"], "inner")
+        rows.join(daily, ["testType", "date"])
         .withColumns({"y": lane, "label": short_label(F.col("testType"))})
         .withColumn("y_val", F.col("y") + F.col("patientIndex"))
         .withColumns({"bottom": F.col("y_val") - 1, "top": F.col("y_val") + 1})

@@ -69,34 +69,6 @@ HOSPITAL_COUNTERS = [
     "VENT_ENTR",
     "CONVALECIENTES",
 ]
-HOSPITAL = text_schema("Fecha", "HospitCOV19", "CamasICU_disp", "CamasICU")
-VACCINES = text_schema(
-    "location",
-    "date",
-    "total_distributed",
-    "total_vaccinations",
-    "people_vaccinated",
-    "people_fully_vaccinated",
-)
-HOSPITAL_COUNTERS = [
-    *(
-        f"CAMAS_{ward}_{state}"
-        for ward in ("ADULTOS", "ICU", "PED", "PICU")
-        for state in ("COVID", "NOCOVID", "OCC", "DISP", "TOTAL")
-    ),
-    *(
-        f"VENT_{ward}_{state}"
-        for ward in ("ADULTOS", "PED")
-        for state in ("COVID", "NOCOVID", "OCC", "DISP", "TOTAL")
-    ),
-    "CUARTOS_PRESNEG_OCC",
-    "CUARTOS_PRESNEG_DISP",
-    "CUARTOS_PRESNEG_TOTAL",
-    "VENT_ORD",
-    "VENT_REC",
-    "VENT_ENTR",
-    "CONVALECIENTES",
-]
 HOSPITAL = text_schema("FE_REPORTE", *HOSPITAL_COUNTERS)
 DAILY_GOLDEN = T.StructType(
     [

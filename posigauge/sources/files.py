@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,7 +45,20 @@ def write_json_slices(
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+    """The schema's columns by header name, whatever their order and whatever else the file holds.
+
+    The header is read as text columns; an absent column is NULL in every row.
+    All files of one call share a header: read files with other columns apart
+    and union them by name.
+    """
+    landed = spark.read.csv(path, header=True)
+    present = set(landed.columns)
+    return landed.select(
+        *[
+            (F.col(f"`{f.name}`") if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema
+        ]
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -89,16 +103,18 @@ def read_slice(
 def read_first_available(
     candidates: Sequence[Callable[[], DataFrame]], columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """First candidate whose source can be opened, on the common columns.
+    """First candidate whose source can be opened and gives a row, on the common columns.
 
-    Missing files and columns show when the plan is analysed, before any row
-    is read, so trying a candidate costs no scan.
+    Missing files and columns show when the plan is analysed; an unreadable,
+    wrong or empty file shows when its first row is asked for.
     """
     failure: Exception | None = None
     for candidate in candidates:
         try:
             df = candidate()
-            return df.select(*columns) if columns else df
-        except AnalysisException as error:
+            df = df.select(*columns) if columns else df
+            if df.take(1):
+                return df
+        except (PySparkException, Py4JJavaError) as error:
             failure = error
     raise FileNotFoundError("no candidate source is available") from failure

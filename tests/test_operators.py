@@ -249,13 +249,6 @@ def test_group_counts_do_not_lose_rows(spark):
     assert all(r["n"] == size[(r["testType"], r["date"])] for r in rows)
 
 
-def test_join_small_has_another_way(spark):
-    data = log(spark, random_log(8))
-    small = counts.row_counts(data, ["date"])
-    wide, narrow = (joins.join_small(data, small, ["date"], max_rows=m) for m in (0, 10**6))
-    assert Counter(map(tuple, wide.collect())) == Counter(map(tuple, narrow.collect()))
-
-
 @pytest.mark.parametrize("parts", [1, 7])
 def test_indexes_do_not_depend_on_partitions(spark, parts):
     rows = [(random.Random(i).randrange(40), "x") for i in range(500)]
