@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posigauge.llm import hmm, langid, line_quality, mixing, packing, simhash, substring_dedup, token_counts, toxicity, vafile
+from posigauge.llm import hmm, langid, line_quality, mixing, packing, simhash, sql, substring_dedup, token_counts, toxicity, vafile
 from posigauge.llm.common import fold
 
 # The 50k byte-level vocabulary's end mark, and the id that ends a packed document.
@@ -21,7 +21,11 @@ PACKING = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op3_vafile": sql.TOP_K,
+    "op6_line_quality": sql.LINE_QUALITY,
+}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -123,21 +127,6 @@ def op3_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(read(spark, sf_dir, "embeddings"), k=10, query_step=100, scale=1024)
 
 
-SQL["op3_vafile"] = """
-with v as (
-    select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
-),
-pairs as (
-    select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
-    from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
-),
-ranked as (
-    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs
-)
-select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 10
-"""
-
-
 @query
 def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document under the hidden Markov model."""
