@@ -29,7 +29,11 @@ NO_GRAM = 0.5  # smoothing count of a word or n-gram in a language
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased; signs like a raised 2, which the pattern lets through, part them."""
+    found = LETTERS.findall(text.lower()) if text else []
+    if text and not text.isascii() and not all(map(str.isalpha, found)):
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+    return found
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -433,6 +433,10 @@ def test_unseen_words_back_off(spark):
     assert (model.vector("漢") == 0).all()
 
 
+def test_signs_are_no_letters():
+    assert langid.words_of("² ½ ①") == [] and langid.words_of("m² Éa_b7c") == ["m", "éa", "b", "c"]
+
+
 def test_languages_without_training(odd_docs, no_docs):
     model = langid.fit(no_docs)
     got = langid.identify(odd_docs, model).collect()
