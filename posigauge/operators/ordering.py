@@ -19,40 +19,43 @@ def _nulls_last(columns: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in columns]
 
 
-def _number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+_PLACE_BITS = 33  # of monotonically_increasing_id: the place inside its partition
+
+
+def _number_rows(df: DataFrame, order: Sequence[str], name: str, total: str | None = None) -> DataFrame:
     """1-based position in a global order, without sorting in one task.
 
-    Rows are range-partitioned; each gets its position inside its range plus
-    the sizes of the ranges before it. The partitioning is written down once
-    (checkpoint), so sizes and positions cannot disagree, even when executors
-    are lost. The table of range sizes has one row per partition.
+    Rows are range-partitioned and sorted once, and written down with their
+    range and place (checkpoint), so sizes and positions cannot disagree, even
+    when executors are lost. Offsets come from one row per range, which is
+    broadcast: no second shuffle of the rows. ``total`` adds the number of rows.
     """
+    by = _nulls_last(order)
     ranged = materialize(
-        df.repartitionByRange(*_nulls_last(order)).withColumn("_range", F.spark_partition_id())
+        df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
     )
+    span = F.shiftright("_at", _PLACE_BITS).alias("_range")
+    sizes = ranged.groupBy(span).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("_range")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*_nulls_last(order)))
-    return (
-        ranged.withColumn("_position", inside)
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.col("_offset") + F.col("_position"))
-        .drop("_range", "_position", "_offset")
+    offsets = sizes.select(
+        F.col("_range").alias("_of"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_size").over(Window.partitionBy()).alias("_all"),
     )
+    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    found = ranged.join(F.broadcast(offsets), F.shiftright("_at", _PLACE_BITS) == F.col("_of"))
+    more = [F.col("_all").alias(total)] if total else []
+    return found.select(*df.columns, (F.col("_offset") + place + 1).alias(name), *more)
 
 
 def row_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
     """Number all rows by ``order``; rows alike in it are told apart by an id.
 
-    The id lets a long run of equal rows be split over many ranges. It is
-    written down before the rows are moved, so a task that is run again after
-    a loss cannot hand out other ids.
+    The id lets a long run of equal rows be split over many ranges. It follows
+    the input's partitions and must come out the same when a task is run again,
+    as it does for files.
     """
-    tagged = materialize(df.withColumn("_uid", F.monotonically_increasing_id()))
+    tagged = df.withColumn("_uid", F.monotonically_increasing_id())
     return _number_rows(tagged, [*order, "_uid"], name).drop("_uid")
 
 
@@ -85,27 +88,14 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> D
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def hash_halves(
-    df: DataFrame, key: str, seed: str, name: str = "is_train", prefix: int = 2
-) -> DataFrame:
+def hash_halves(df: DataFrame, key: str, seed: str, name: str = "is_train") -> DataFrame:
     """Exact random halves: the first floor(n/2) rows by a seeded hash are True.
 
-    ``key`` must be unique. The hash prefix is an ordered and even bucket, so
-    the rank needs only bucket sizes and the order inside each bucket.
+    ``key`` must be unique. The rank by hash is a global index over ranges, as
+    many as the data asks for.
     """
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)).cast("binary"))
-    df = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, prefix))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    sizes = sizes.select(
-        "_bucket",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_size").over(Window.partitionBy()).alias("_all"),
-    )
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest"))
-    return (
-        df.withColumn("_position", inside)
-        .join(F.broadcast(sizes), "_bucket")  # 16 ** prefix rows at most
-        .withColumn(name, F.col("_offset") + F.col("_position") <= F.floor(F.col("_all") / 2))
-        .drop("_digest", "_bucket", "_position", "_offset", "_all")
+    ranked = _number_rows(df.withColumn("_digest", digest), ["_digest"], "_position", total="_rows")
+    return ranked.withColumn(name, F.col("_position") <= F.floor(F.col("_rows") / 2)).drop(
+        "_digest", "_position", "_rows"
     )

@@ -262,8 +262,8 @@ def test_indexes_do_not_depend_on_partitions(spark, parts):
 
 def test_halves_are_exact_and_disjoint(spark):
     frame = spark.range(101).withColumnRenamed("id", "k")
-    for prefix in (1, 2):
-        halves = ordering.hash_halves(frame.repartition(4), "k", "s", prefix=prefix).collect()
+    for parts in (1, 4):
+        halves = ordering.hash_halves(frame.repartition(parts), "k", "s").collect()
         train = {r["k"] for r in halves if r["is_train"]}
         assert len(train) == 50 and len(halves) == 101
     other = {r["k"] for r in ordering.hash_halves(frame, "k", "t").collect() if r["is_train"]}
