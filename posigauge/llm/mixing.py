@@ -12,9 +12,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from posigauge.functions.shipping import ship_by_value
+from posigauge.operators.ordering import dense_index
 from posigauge.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,9 +39,11 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate:
     the excess is shared again by weight until no target is above. Each round
     is one small aggregate, and at least one source stops in it.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1
+    named = dense_index(sources, "_source", "_rank")
+    last = named.count()  # null comes after all names
+    rank = F.coalesce(F.col("_rank") - 1, F.lit(last))
     weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    ranked = materialize(sources.withColumn("_weight", weight))
+    ranked = materialize(sources.join(named, "_source", "left").withColumn("_weight", weight).drop("_rank"))
     most = max_rate * F.col("_total")
     everything = ranked.agg(F.sum("_total")).first()[0] or 0
     level = 0.0
