@@ -368,13 +368,15 @@ def test_links_are_all_found(spark):
             flips = rng.choice(64, rng.integers(1, 6), replace=False)
             prints.add(p ^ sum(1 << int(f) for f in flips))
     signed = {p - (1 << 64) if p >> 63 else p for p in prints}
-    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    mask = (1 << 64) - 1
+    frame = spark.createDataFrame([(p, p, p ^ 5) for p in signed], "node long, fp0 long, fp1 long")
     for distance, segments in ((0, 2), (2, 2), (3, 2), (5, 3), (4, 5)):
-        mask = (1 << 64) - 1
         want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= distance}
         assert {tuple(r) for r in simhash.links(frame, distance, segments).distinct().collect()} == want
-    with pytest.raises(ValueError):
-        simhash.links(frame, 4, 2)
+        twice = simhash.links(frame, 2 * distance, segments, 2).distinct()
+        assert {tuple(r) for r in twice.collect()} == want
+    far = {tuple(r) for r in simhash.links(frame, 9, 2).collect()}
+    assert all(((a ^ b) & mask).bit_count() <= 9 for a, b in far) and far
 
 
 @pytest.mark.parametrize("kind", ["chain", "star", "random"])
