@@ -1,9 +1,14 @@
-"""Time the headline queries; print one JSON line."""
+"""Time the headline queries; print one JSON line.
+
+Every query runs ``BENCH_RUNS`` times (3); the median counts and the spread is
+printed next to it, since single runs differ by a factor of two.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 from pathlib import Path
@@ -37,11 +42,16 @@ def main() -> None:
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
     spark = local_session(cpus, "posigauge-bench")
     QUERIES["daily_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # start the JVM side
-    seconds = {}
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    seconds, spread = {}, {}
     for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        took = []
+        for _ in range(runs):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - start)
+        seconds[name] = round(statistics.median(took), 3)
+        spread[name] = [round(min(took), 3), round(max(took), 3)]
     spark.stop()
     print(
         json.dumps(
@@ -50,6 +60,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "spread": spread,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
             }
         )
