@@ -10,6 +10,7 @@ part in this.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -103,8 +104,33 @@ def links(nodes: DataFrame, distance: int = 2, segments: int = 2, parts: int = 1
         return nodes.select(F.explode(keys).alias("segment"), F.col("node").alias(end), *own)
 
     pairs = side(F.flatten(F.array(*balls)), "a").join(side(F.array(*values), "b"), "segment")
-    apart = [F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in part_names(parts)]
-    return pairs.where((F.col("a") < F.col("b")) & (reduce(add, apart) <= distance)).select("a", "b")
+    close = _bit_distance("a", "b", parts) <= distance
+    return pairs.where((F.col("a") < F.col("b")) & close).select("a", "b")
+
+
+def _bit_distance(left: str, right: str, parts: int) -> Column:
+    return reduce(add, [F.bit_count(F.col(f"{left}{n}").bitwiseXOR(F.col(f"{right}{n}"))) for n in part_names(parts)])
+
+
+def stars(nodes: DataFrame, distance: int, segments: int, parts: int) -> DataFrame:
+    """(a, b): nodes and the smallest node that has the same value in some two segments, if it is close.
+
+    One comparison per node and pair of segments, so a dense group of near
+    copies is tied together at a cost that grows with its size, not with its
+    square.
+    """
+    borders = [64 * i // segments for i in range(segments + 1)]
+    cuts = [(name, low, high) for name in part_names(parts) for low, high in zip(borders, borders[1:], strict=False)]
+    keys = []
+    for number, pair in enumerate(itertools.combinations(cuts, 2)):
+        values = [F.shiftrightunsigned(n, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) for n, low, high in pair]
+        keys.append(F.struct(F.lit(number).alias("n"), *[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *part_names(parts))
+    own = F.struct("node", *part_names(parts))
+    lowest = keyed.groupBy("key").agg(F.min(own).alias("low"))
+    lowest = lowest.select("key", F.col("low.node").alias("b"), *[F.col(f"low.{n}").alias(f"b{n}") for n in part_names(parts)])
+    tied = keyed.join(lowest, "key").where((F.col("node") != F.col("b")) & (_bit_distance("", "b", parts) <= distance))
+    return tied.select(F.col("node").alias("a"), "b").distinct()
 
 
 def near_duplicates(
@@ -113,6 +139,7 @@ def near_duplicates(
     distance: int = 2,
     segments: int = 2,
     parts: int = 1,
+    collapse: bool = False,
     key: str = "doc_id",
 ) -> DataFrame:
     """Component of every row: key, fingerprint (16 hex digits a part), component_id (smallest key reachable).
@@ -122,6 +149,12 @@ def near_duplicates(
     paired nor brought together. ``key`` is an integer below 2^62; a component
     without any key has a null id. Repeated rows give repeated results; an
     empty table gives none.
+
+    All links are looked for, whose number is bounded by the size of a ball as
+    long as ``distance`` is small. For a large one, ``collapse`` first ties
+    dense groups to their smallest members (:func:`stars`); only the smallest
+    of each group then looks for links, so what is close to others of a group
+    but not to that one can stay apart.
     """
     names = part_names(parts)
     rows = materialize(fingerprints(documents, size, parts, key))
@@ -130,7 +163,14 @@ def near_duplicates(
     unnamed = F.lit(1 << 62) + F.pmod(F.xxhash64(*names), F.lit(1 << 62))
     first = F.min(F.col(key).cast("long"))
     nodes = materialize(rows.groupBy(*names).agg(F.coalesce(first, F.first(unnamed)).alias("node")))
-    roots = connected_components(links(nodes, distance, segments, parts))
+    if collapse:
+        tied = connected_components(stars(nodes, distance, segments, parts))
+        tied = materialize(tied.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        alone = nodes.join(tied.select(F.col("a").alias("node")), "node", "left_anti")
+        edges = tied.unionByName(links(alone, distance, segments, parts))
+    else:
+        edges = links(nodes, distance, segments, parts)
+    roots = connected_components(edges)
     root = F.coalesce("root", "node")
     component = F.when(root < F.lit(1 << 62), root).cast(documents.schema[key].dataType)
     by_print = nodes.join(roots, nodes["node"] == roots["node"], "left").select(
