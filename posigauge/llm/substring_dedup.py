@@ -101,7 +101,7 @@ def pack_windows(block: pa.RecordBatch, size: int, buckets: int, chunk: int) ->
             )
     head = np.array([len(docs), len(local)], "<i8").tobytes()
     payload = head + docs.tobytes() + text_key.tobytes() + word_at.astype("<i8").tobytes() + planes(deltas(local), 4)
-    yield -1 - chunk % 1024, chunk, payload
+    yield -1 - chunk, chunk, payload
 
 
 def find_repeats(chunks: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
