@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posigauge.functions.shipping import ship_by_value
-from posigauge.llm.common import blocks, group_counts, hash_share, lower_ascii, mix, raw_text, word_hashes, word_spans
+from posigauge.llm.common import blocks, group_counts, lower_ascii, mix, raw_text, word_hashes, word_spans
 from posigauge.session import scratch_path
 
 CHUNK_BYTES = 4 << 20
@@ -382,6 +382,19 @@ def improve(sequences: DataFrame, model: Model, share: np.ndarray, strength: flo
     )
 
 
+def train_model(
+    sequences: DataFrame, model: Model, share: np.ndarray, strength: float, rounds: int, settled: float
+) -> Model:
+    """Baum-Welch rounds over all training texts, ``rounds`` at least and until the log-likelihood settles."""
+    seen, done = float("-inf"), 0
+    while True:
+        model, log = improve(sequences, model, share, strength)
+        done += 1
+        if log == 0.0 or (done >= rounds and log - seen < settled):  # 0 without training texts
+            return model
+        seen = log
+
+
 def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of every whole sequence, by the scaled forward recursion; all sequences step together."""
     order = np.argsort(-lengths, kind="stable")
@@ -442,8 +455,8 @@ def language_scores(
     frequent: int = 8192,
     classes: int = 1024,
     warm_rounds: int = 12,
-    warm_chunks: int = 6,
     rounds: int = 2,
+    settled: float = 1e-4,
     strength: float = 300.0,
     seed: int = 7,
     key: str = "doc_id",
@@ -453,8 +466,9 @@ def language_scores(
     ``train`` marks the rows to learn from; null counts as false. A text's
     tokens are its words with A-Z lower-cased and one end. Null texts are
     empty. base_score is the add-one unigram score. Word counts, classes and
-    ``rounds`` Baum-Welch rounds cover all training texts; before them,
-    ``warm_rounds`` rounds on about ``warm_chunks`` chunks give the start.
+    every Baum-Welch round cover all training texts: ``warm_rounds`` and
+    ``rounds`` together at least, then until a round gains less than
+    ``settled`` (log10 a token).
     Without training texts the start itself scores. ``key`` is an integer; an
     empty table gives an empty result.
     """
@@ -465,12 +479,7 @@ def language_scores(
     words = vocabulary(counted, classes, frequent)
     sequences = symbol_sequences(encoded, counted, words)
     share, model = words.share, first_model(states, words.share, seed)
-    chunks = sequences.count()
-    warm = sequences.where(hash_share(["chunk"], min(1.0, warm_chunks / max(1, chunks)))) if chunks else sequences
-    for _ in range(warm_rounds):
-        model, _ = improve(warm, model, share, strength)
-    for _ in range(rounds):
-        model, _ = improve(sequences, model, share, strength)
+    model = train_model(sequences, model, share, strength, warm_rounds + rounds, settled)
     return score_chunks(sequences, model, words).withColumnRenamed("key", key)
 
 

@@ -113,6 +113,16 @@ def test_each_round_raises_the_likelihood(docs):
     assert words.mass.sum() == words.tokens + words.types + 16
 
 
+def test_every_round_sees_all_chunks(docs):
+    settings_ = {"states": 2, "frequent": 20, "classes": 4}
+
+    def scores(parts):
+        got = hmm.language_scores(docs.repartition(parts, "doc_id"), fold("doc_id", 7) != 2, **settings_)
+        return {r["doc_id"]: r["score"] for r in got.collect()}
+
+    assert scores(24) == pytest.approx(scores(2), rel=1e-6)
+
+
 def test_language_scores_of_odd_rows(odd_docs, no_docs):
     settings_ = {"states": 2, "frequent": 20, "classes": 4, "warm_rounds": 1, "rounds": 1}
     got = hmm.language_scores(odd_docs, fold("doc_id", 7) != 2, **settings_)
