@@ -67,6 +67,15 @@ def test_planes_round_trip(values):
     assert substring_dedup.unplanes(memoryview(substring_dedup.planes(array, 7)), len(array), 7).tolist() == values
 
 
+def test_chunk_tables_are_spread():
+    import pyarrow as pa
+
+    block = pa.record_batch([pa.array([1]), pa.array(["a b"]), pa.array([7])], names=["key", "text", "text_key"])
+    chunks = [p << 32 for p in range(5)]
+    tables = {b for c in chunks for b, _, _ in substring_dedup.pack_windows(block, 13, 256, c)}
+    assert len(tables) == 5 and max(tables) < 0
+
+
 # language model
 
 
