@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posigauge.llm import hmm, langid, line_quality, mixing, packing, simhash, sql, substring_dedup, token_counts, toxicity, vafile
+from posigauge.llm import (
+    hmm,
+    langid,
+    line_quality,
+    mixing,
+    packing,
+    periodic_runs,
+    secret_scan,
+    simhash,
+    sql,
+    substring_dedup,
+    token_counts,
+    token_links,
+    toxicity,
+    vafile,
+)
 from posigauge.llm.common import fold
 
 # The 50k byte-level vocabulary's end mark, and the id that ends a packed document.
@@ -140,3 +155,67 @@ def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+def with_planted_periods(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) where every tenth document's words repeat from some word on.
+
+    With h = crc32 of the id as text (null: empty) and h % 10 = 0, each word
+    from place a on is the one at a + (i - a) % p, a and p from h div 10.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    g, n = F.floor(h / 10).cast("long"), F.size("words").cast("long")
+    rows = documents.select("doc_id", "text", words.alias("words"), g.alias("g"))
+    rows = rows.select("doc_id", "text", "words", "g", F.expr("g % size(words)").alias("a"), n.alias("n"))
+    period = F.expr("1 + (n - a) div (3 + g % 8)").alias("p")
+    planted = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)])), ' ')")
+    rows = rows.select("doc_id", "text", "words", "a", F.when(F.col("n") > 0, period).alias("p"))
+    return rows.select("doc_id", F.when(F.size("words") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words."""
+    found = periodic_runs.periodic_runs(with_planted_periods(read(spark, sf_dir, "documents")))
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start, -r.period)))")
+    rows = found.select("doc_id", "runs", "n_words", longest.alias("best"), lines.alias("lines"), "collapsed")
+    length, start, period = F.col("best.length"), -F.col("best.col2"), -F.col("best.col3")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+@query
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+    kinds = [
+        F.expr(f"cast(size(filter(secrets, s -> s.kind = '{k.name}')) as long)").alias(f"n_{k.name}")
+        for k in secret_scan.BASE
+    ]
+    base = secret_scan.spans_text(secret_scan.base_only(F.col("secrets")))
+    return found.select(
+        "doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), secret_scan.spans_text(F.col("secrets")).alias("spans")
+    )
+
+
+@query
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of every document under a byte-level and a piece vocabulary."""
+    return token_links.token_links(
+        read(spark, sf_dir, "documents"),
+        str(public_tokenizers.path("byte_bpe_50k.json")),
+        PACKING["ranks_path"],
+        PACKING["pattern"],
+        str(public_tokenizers.path("piece_bpe_32k.model")),
+    )
