@@ -6,6 +6,7 @@ backs off to its longest n-grams that are known, then to shorter ones.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -26,6 +27,7 @@ BLOCK_BYTES = 4 << 20
 CACHE_WORDS = 150_000
 UNKNOWN = "und"
 NO_GRAM = 0.5  # smoothing count of a word or n-gram in a language
+UNIT = 256  # counts are kept in whole parts of one
 
 
 def words_of(text: str | None) -> list[str]:
@@ -66,15 +68,24 @@ class LanguageModel:
         return np.zeros(len(self.langs))
 
 
+def weights(text: str | None) -> Counter:
+    """log2(1 + count) of every word, in parts of ``UNIT``: one long text weighs little more than a short one."""
+    return Counter({word: round(UNIT * math.log2(1 + n)) for word, n in Counter(words_of(text)).items()})
+
+
 def _count(sample: DataFrame, max_gram: int) -> DataFrame:
-    """(lang, kind, item, n): words (kind 0) and n-grams (kind their length), combined per task."""
+    """(lang, kind, item, n): words (kind 0) and n-grams (kind their length), combined per task.
+
+    n adds up the documents' ``weights``, so a text that repeats a word ten
+    thousand times does not decide its language's frequencies.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK_BYTES):
             by_lang: dict[str, Counter] = {}
             pairs = zip(block.column("lang").to_pylist(), block.column("text").to_pylist(), strict=True)
             for lang, text in pairs:
-                by_lang.setdefault(lang, Counter()).update(words_of(text))
+                by_lang.setdefault(lang, Counter()).update(weights(text))
             rows: Counter = Counter()
             for lang, counts in by_lang.items():
                 for word, n in counts.items():
@@ -102,8 +113,8 @@ def fit(
     labelled: DataFrame,
     *,
     max_docs: int = 10_000,
-    max_words: int = 60_000,
-    max_grams: int = 20_000,
+    max_words: int | None = 60_000,
+    max_grams: int | None = 20_000,
     max_gram: int = 4,
     key: str = "doc_id",
 ) -> LanguageModel:
@@ -112,8 +123,10 @@ def fit(
     Bounds: ``max_docs`` training documents (about that many, by hash of key),
     the ``max_words`` most frequent words and the ``max_grams`` most frequent
     n-grams of each length, so the tables that every task gets have a fixed
-    size. Ties in frequency go to the smaller item. Languages are labels and
-    taken to be few. Without training rows the model knows no language.
+    size. None keeps all words or n-grams of the training documents. Ties in
+    frequency go to the smaller item. Languages are labels and taken to be few.
+    Repeated rows count each; rows without a text or a language do not. Without
+    training rows the model knows no language. Other columns are not read.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(key, "lang", "text")
     total = rows.select(F.count(F.lit(1))).first()[0]
@@ -126,12 +139,10 @@ def fit(
         .groupBy("kind", "item")
         .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total"))
     )
-    parts = [
-        by_item.where(F.col("kind") == kind)
-        .orderBy(F.desc("total"), "item")
-        .limit(max_words if kind == 0 else max_grams)
-        for kind in range(max_gram + 1)
-    ]
+    parts = []
+    for kind in range(max_gram + 1):
+        part, most = by_item.where(F.col("kind") == kind), max_grams if kind else max_words
+        parts.append(part if most is None else part.orderBy(F.desc("total"), "item").limit(most))
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -140,8 +151,9 @@ def fit(
         counts.setdefault(row["kind"], {})[row["item"]] = np.array([row["by"].get(lang, 0) for lang in langs], float)
     tables = {}
     for kind, items in counts.items():
-        size = NO_GRAM * len(items) + np.sum(list(items.values()), axis=0)
-        tables[kind] = {item: np.log((n + NO_GRAM) / size) for item, n in items.items()}
+        least = NO_GRAM * UNIT
+        size = least * len(items) + np.sum(list(items.values()), axis=0)
+        tables[kind] = {item: np.log((n + least) / size) for item, n in items.items()}
     shares = np.array([docs[lang] for lang in langs], float)
     prior = np.log(shares / shares.sum()) if langs else shares
     return LanguageModel(langs, prior, tables.pop(0, {}), tables)
@@ -187,7 +199,9 @@ def identify(documents: DataFrame, model: LanguageModel, key: str = "doc_id") ->
 
     A null text and one without a letter are ``und`` with score 0, as is every
     text when the model knows no language. Ties go to the first language by
-    name. One narrow pass; the model is of bounded size and broadcast.
+    name. Repeated rows and null keys give a result each, an empty table gives
+    none; other columns of ``documents`` are not read and cannot clash. One
+    narrow pass; the model is of bounded size and broadcast.
     """
     kind = documents.schema[key].dataType.simpleString()
     spark = documents.sparkSession
