@@ -32,6 +32,7 @@ BLOCK_BYTES = 4 << 20
 CACHE_WORDS = 400_000
 FULL = 1 << 62  # sequence ids: whole windows of one document
 REST = 1 << 61  # sequence ids: documents laid end to end
+PART_BITS = 40  # whole windows are numbered within their part: 2^51 tokens in each of 2^22 parts
 
 
 class Encoder:
@@ -201,8 +202,8 @@ def encode_documents(
 ) -> DataFrame:
     """(key, part, number, rank, tokens, ids) as a table in the shared folder, so that every later step reads the same.
 
-    part and number name the row; rank is its place among the part's rows with
-    the same remainder. ids are bytes of 2 or 4 each.
+    number counts the whole windows of the part's rows before the row; rank is
+    its place among those with the same remainder. ids are bytes of 2 or 4 each.
     """
     kind = documents.schema[key].dataType.simpleString()
 
@@ -216,23 +217,24 @@ def encode_documents(
         for block in blocks(batches, "text", BLOCK_BYTES):
             ids = [encoder.encode(t or "") + last for t in block.column("text").to_pylist()]
             tokens = [len(i) // width for i in ids]
-            ranks = []
+            ranks, numbers = [], []
             for n in tokens:
                 ranks.append(int(seen[n % window]))
                 seen[n % window] += 1
+                numbers.append(number)
+                number += n // window
             count = len(ids)
             yield pa.record_batch(
                 [
                     block.column(key),
                     pa.array([part] * count, pa.int64()),
-                    pa.array(range(number, number + count), pa.int64()),
+                    pa.array(numbers, pa.int64()),
                     pa.array(ranks, pa.int64()),
                     pa.array(tokens, pa.int64()),
                     pa.array(ids, pa.binary()),
                 ],
                 names=[key, "part", "number", "rank", "tokens", "ids"],
             )
-            number += count
 
     if max([end, *special.values()]) >= 1 << 16:
         raise ValueError("ids are stored in two bytes")
@@ -262,7 +264,8 @@ def pack(
     complete but for the last few, which have powers of two as sizes, so there
     is no padding. A null or empty text is its end id alone; repeated rows are
     packed each; an empty table gives no sequence. Encoded documents are
-    written once to the shared folder. The driver sees a histogram of
+    written once to the shared folder. Other columns of ``documents`` are not
+    read and cannot clash. The driver sees a histogram of
     ``window`` counts; each length's rows are counted per part of the table.
     """
     table = encode_documents(documents, ranks_path, pattern, special, end, window, key)
@@ -289,10 +292,7 @@ def pack(
             for n, (part, number, rank, tokens, raw) in enumerate(zip(*columns, strict=True)):
                 values = np.frombuffer(raw, "<u2").astype("<u4")
                 whole = tokens // window
-                # a document's whole windows are numbered within its row
-                base = FULL + (part << 36) + (number << 14)
-                if whole >= 1 << 14:
-                    base = FULL + (1 << 60) + (part << 50) + (number << 28)
+                base = FULL + (part << PART_BITS) + number
                 pieces = [(b * window, window, base + b, 0) for b in range(whole)]
                 shift = whole * window
                 pieces += [(s + shift, m, q, o) for s, m, q, o in places(tokens % window, rank)]
