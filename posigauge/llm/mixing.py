@@ -3,6 +3,8 @@
 Document rates minimise the token-weighted relative entropy to the corpus
 under one token constraint per source. Newton's method solves the convex dual;
 rates are exponentially tilted, exp(dual), and are then rounded into copies.
+With one constraint per source the dual splits by source and its solution is
+log(target / total): Newton's steps run on the sources' totals.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from posigauge.functions.shipping import ship_by_value
 from posigauge.operators.ordering import dense_index
@@ -20,17 +23,10 @@ from posigauge.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_RATE = 3
-RESERVE = 1000  # documents of a source that even out what rounding leaves
+RESERVE = 1000  # documents of a source that are rounded one by one, first the longest and last by hash
 TOLERANCE = 1e-12
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """Adds _size, the number of words; null texts have none."""
-    return documents.withColumn(
-        "_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    )
-
-
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
     """Adds _weight and _target to (_source, _docs, _total).
 
@@ -89,7 +85,7 @@ def solve_dual(sources: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
 
 
 def _even_out(max_rate: int):
-    """Copies of a source's reserve documents, from large to small, so that their words end near what is left."""
+    """Copies of some documents of a source, from large to small, so that their words end near what is left."""
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_mass", "_unit", "_id"], ascending=[False, True, True], kind="stable")
@@ -100,11 +96,17 @@ def _even_out(max_rate: int):
             n = int(min(max_rate, max(0, round(rate))))
             copies.append(n)
             left, capacity = left - n * mass, capacity - mass
-        return pd.DataFrame({"_source": pdf["_source"], "_id": pdf["_id"], "_copies": copies})
+        return pd.DataFrame({"_source": pdf["_source"], "_id": pdf["_id"], "_mass": pdf["_mass"], "_copies": copies})
 
     return assign
 
 
+def _by_source(frame: DataFrame, other: DataFrame, how: str = "left") -> DataFrame:
+    """Joins on _source, where null is a source."""
+    other = other.withColumnRenamed("_source", "_by")
+    return frame.join(other, frame["_source"].eqNullSafe(other["_by"]), how).drop("_by")
+
+
 def mix(
     documents: DataFrame,
     *,
@@ -116,64 +118,83 @@ def mix(
 ) -> DataFrame:
     """All rows and columns with _size, _source_size, _target and _copies.
 
-    Rates are equal within a source, so rounding decides: a document gets the
-    whole part of its rate and one more with the probability of the rest, by
-    a hash of its key. About ``reserve`` documents of each source (by another
-    range of the same hash) are rounded last, one after another, against what
-    the others left; those of a source form one group of bounded size. Runs
-    agree, since nothing but hashes of content decides. Rows equal in key,
-    source and size get equal copies. Empty sources and texts get no copy
-    beyond their rate; an empty table gives an empty result.
+    Rates are equal within a source, so rounding decides. The ``reserve``
+    longest documents of a source are rounded first, one after another, and
+    the rate of the others takes up what that leaves. Of these, each gets the
+    whole part of the rate and one copy more with the probability of the rest,
+    by a hash of its key; about ``reserve`` of them, by another range of the
+    hash, are rounded last against what the others left. No document outside
+    the longest holds more than 1/``reserve`` of its source, which bounds the
+    error, and both groups are bounded, as each is one task. Runs agree, since
+    nothing but hashes of content decides. Rows equal in key, source and size
+    get equal copies. A null text has size 0, a null source is one of its own.
+    Empty sources and texts get no copy beyond their rate; an empty table gives
+    an empty result. The new columns replace columns of the same name; no
+    other name clashes.
     """
+    added = ["_size", "_source_size", "_target", "_copies"]
+    columns = [c for c in documents.columns if c not in added]
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = documents.select(
+        F.struct(*columns).alias("_row"), F.col(source).alias("_source"), F.col(key).alias("_key"), size.alias("_size")
+    ).withColumn("_id", F.xxhash64("_key", "_size"))
     # one row per document without its text
-    rows = sized(documents).withColumn("_source", F.col(source)).withColumn("_id", F.xxhash64(key, "_size"))
-    unit = F.pmod(F.xxhash64(F.lit("mix"), "_id"), F.lit(1 << 30)) / float(1 << 30)
-    narrow = materialize(rows.select("_source", "_id", "_size").withColumn("_unit", unit))
-    totals = narrow.groupBy("_source").agg(F.count(F.lit(1)).alias("_docs"), F.sum("_size").alias("_total"))
+    narrow = materialize(rows.groupBy("_source", "_id").agg(F.sum("_size").alias("_mass"), F.count(F.lit(1)).alias("_docs")))
+    totals = narrow.groupBy("_source").agg(F.count(F.lit(1)).alias("_docs"), F.sum("_mass").alias("_total"))
     solved = solve_dual(targets(totals, weights, max_rate)).select(
-        F.col("_source").alias("_of"), "_docs", "_total", "_target", F.exp("_dual").alias("_rate")
+        "_source", "_docs", "_total", "_target", F.exp("_dual").alias("_rate")
     )
     solved = materialize(solved)
-
-    def with_source(frame: DataFrame) -> DataFrame:
-        return frame.join(solved, frame["_source"].eqNullSafe(solved["_of"]), "left").drop("_of")
-
-    # The reserve is the lowest part of the hash; the rest is spread over [0, 1) again.
-    share = F.least(F.lit(1.0), F.lit(float(reserve)) / F.col("_docs"))
-    rest = (F.col("_unit") - share) / (1 - share)
-    hashed = F.least(F.lit(max_rate), F.floor(F.col("_rate") + rest)).cast("int")
-    known = with_source(narrow).withColumn("_held", F.col("_unit") < share)
-    spent = (
-        known.where(~F.col("_held"))
-        .groupBy("_source")
-        .agg(F.sum(hashed * F.col("_size")).alias("_spent"))
-        .withColumnRenamed("_source", "_by")
-    )
-    held = known.where("_held").groupBy("_source", "_id").agg(
-        F.sum("_size").alias("_mass"), F.first("_unit").alias("_unit"), F.first("_target").alias("_target")
-    )
-    held = held.join(spent, held["_source"].eqNullSafe(spent["_by"]), "left").select(
-        "_source", "_id", "_mass", "_unit", (F.col("_target") - F.coalesce("_spent", F.lit(0))).alias("_left")
+    unit = F.pmod(F.xxhash64(F.lit("mix"), "_id"), F.lit(1 << 30)) / float(1 << 30)
+    units = narrow.drop("_docs").withColumn("_unit", unit)
+    kind = rows.schema["_source"].dataType.simpleString()
+    evened = f"_source {kind}, _id long, _mass long, _copies int"
+
+    longest = Window.partitionBy("_source").orderBy(F.desc("_mass"), "_unit", "_id")
+    longest = units.withColumn("_n", F.row_number().over(longest)).where(F.col("_n") <= reserve).drop("_n")
+    share = longest.groupBy("_source").agg(F.sum("_mass").alias("_long"))
+    share = _by_source(share, solved.select("_source", "_rate")).select("_source", (F.col("_rate") * F.col("_long")).alias("_left"))
+    first = materialize(_by_source(longest, share).groupBy("_source").applyInPandas(_even_out(max_rate), evened))
+    spent = first.groupBy("_source").agg(
+        F.sum("_mass").alias("_gone"), F.sum(F.col("_mass") * F.col("_copies")).alias("_spent")
     )
-    kind = documents.schema[source].dataType.simpleString()
-    evened = held.groupBy("_source").applyInPandas(
-        _even_out(max_rate), f"_source {kind}, _id long, _copies int"
+    rest_words = F.col("_total") - F.coalesce("_gone", F.lit(0))
+    rest_target = F.col("_target") - F.coalesce("_spent", F.lit(0))
+    rate = F.when(rest_words > 0, F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), rest_target / rest_words)))
+    later = _by_source(solved, spent).select(
+        "_source",
+        F.coalesce(rate, F.lit(0.0)).alias("_rate"),
+        rest_target.alias("_open"),
+        # The reserve is the lowest part of the hash; the rest is spread over [0, 1) again.
+        F.least(F.lit(1.0), F.lit(float(reserve)) / F.greatest(F.col("_docs") - reserve, F.lit(1))).alias("_share"),
     )
-    evened = evened.select(F.col("_source").alias("_by"), F.col("_id").alias("_doc"), F.col("_copies").alias("_set"))
-    out = with_source(rows.withColumn("_unit", unit))
-    out = out.join(evened, (out["_id"] == evened["_doc"]) & out["_source"].eqNullSafe(evened["_by"]), "left")
+    others = units.join(first.select(F.col("_id").alias("_done"), F.col("_source").alias("_by")),
+        (F.col("_id") == F.col("_done")) & F.col("_source").eqNullSafe(F.col("_by")), "left_anti")
+    others = materialize(_by_source(others, later))
+    spread = (F.col("_unit") - F.col("_share")) / (1 - F.col("_share"))
+    hashed = F.least(F.lit(max_rate), F.floor(F.col("_rate") + spread)).cast("int").alias("_copies")
+    by_hash = others.where(F.col("_unit") >= F.col("_share")).select("_source", "_id", "_mass", hashed)
+    last = others.where(F.col("_unit") < F.col("_share"))
+    taken = by_hash.groupBy("_source").agg(F.sum(F.col("_mass") * F.col("_copies")).alias("_taken"))
+    left = _by_source(last, taken).withColumn("_left", F.col("_open") - F.coalesce("_taken", F.lit(0)))
+    left = left.select("_source", "_id", "_mass", "_unit", "_left")
+    done = first.unionByName(by_hash).unionByName(left.groupBy("_source").applyInPandas(_even_out(max_rate), evened))
+
+    copies = done.select(F.col("_source").alias("_by"), F.col("_id").alias("_done"), "_copies")
+    out = rows.join(copies, (rows["_id"] == copies["_done"]) & rows["_source"].eqNullSafe(copies["_by"]), "left")
+    out = _by_source(out.drop("_by", "_done"), solved.select("_source", "_total", "_target"))
     return out.select(
-        *documents.columns,
+        *[F.col("_row").getField(c).alias(c) for c in columns],
         "_size",
         F.col("_total").alias("_source_size"),
         "_target",
-        F.coalesce("_set", hashed).alias("_copies"),
+        "_copies",
     )
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: every row as often as it has copies."""
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*columns)
+    return mixed.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
 ship_by_value(__name__)
