@@ -35,6 +35,9 @@ PACKING = {
     "window": 2048,
 }
 
+# Words of a shingle and bits that near copies may differ in.
+SIMHASH = {"size": 3, "distance": 2}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
@@ -88,7 +91,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
-    return simhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, distance=2)
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), **SIMHASH)
 
 
 @query

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from posigauge.functions.shipping import ship_by_value
 from posigauge.llm.common import (
@@ -289,10 +290,8 @@ def remove_repeats(documents: DataFrame, size: int = 13, key: str = "doc_id") ->
                 names=[f.name for f in names] + added,
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
-    return joined.mapInArrow(
-        keep, f"{schema}, n_words long, n_removed long, spans array<int>, kept_text string, cut_text string"
-    )
+    kinds = [LongType(), LongType(), ArrayType(IntegerType()), StringType(), StringType()]
+    return joined.mapInArrow(keep, StructType([*names, *map(StructField, added, kinds)]))
 
 
 ship_by_value(__name__)

@@ -302,6 +302,29 @@ def test_mix_meets_targets(docs, spark):
     assert repeated.count() == sum(r["_copies"] for r in got)
 
 
+def test_mix_with_one_very_long_text(spark):
+    """What rounding the longest texts leaves is taken up by the rate of all others."""
+    rows = [(i, "w " * 100, "b") for i in range(3000)] + [(5000, "w " * 150_000, "b")]
+    rows += [(6000 + i, "w " * 1000, "a") for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(frame, reserve=50).collect()
+    want = brute.targets({"a": 100_000, "b": 450_000})
+    for source, target in want.items():
+        taken = sum(r["_copies"] * r["_size"] for r in got if r["source"] == source)
+        assert abs(taken - target) <= 0.01 * target
+    assert max(r["_copies"] for r in got) <= 3
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, "w " * (i + 1), "ab"[i % 2], 7, "x", "y", 9, "z", 1, 2) for i in range(20)]
+    names = "doc_id long, text string, source string, _id int, _docs string, _row string, _unit int, _source string, _rate int, _copies int"
+    frame = spark.createDataFrame(rows, names)
+    got = mixing.mix(frame)
+    assert sorted(got.columns) == sorted([*frame.columns[:-1], "_size", "_source_size", "_target", "_copies"])
+    kept = frame.columns[:-1]
+    assert sorted(map(tuple, got.select(*kept).collect())) == sorted(map(tuple, frame.select(*kept).collect()))
+
+
 def test_mix_of_odd_rows(odd_docs, no_docs):
     got = mixing.mix(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -446,6 +469,66 @@ def test_languages(docs, rows):
     assert sum(right) > 0.9 * len(right)
 
 
+def test_one_long_text_does_not_flip_its_language(spark):
+    short = [(i, "the cat sat on the mat and the dog ran", "en") for i in range(9)]
+    short += [(10 + i, "le chat est sur la table et le chien court", "fr") for i in range(9)]
+    frame = spark.createDataFrame([*short, (30, "spam " * 50_000, "en")], "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    asked = spark.createDataFrame([(0, "the dog and the cat"), (1, "le chien et la table")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, model).collect()}
+    assert got == {0: "en", 1: "fr"}
+
+
+def test_language_scores_against_a_plain_version(docs, rows):
+    """Weights, log frequencies, back-off and posterior, word by word."""
+    train = [(r[1], r[2]) for r in rows if r[0] % 2 == 0 and r[1] is not None and r[2] is not None]
+    langs = sorted({lang for _, lang in train})
+    tables = [collections.defaultdict(lambda: [0.0] * len(langs)) for _ in range(5)]
+    for text, lang in train:
+        for word, n in collections.Counter(langid.words_of(text)).items():
+            weight = round(256 * np.log2(1 + n))
+            tables[0][word][langs.index(lang)] += weight
+            for size in range(1, 5):
+                padded = word if size == 1 else f" {word} "
+                for i in range(len(padded) - size + 1):
+                    tables[size][padded[i : i + size]][langs.index(lang)] += weight
+    totals = [[128 * len(t) + sum(v[k] for v in t.values()) for k in range(len(langs))] for t in tables]
+
+    def vote(size, item):
+        return [np.log((n + 128) / total) for n, total in zip(tables[size][item], totals[size], strict=True)]
+
+    def vector(word):
+        if word in tables[0]:
+            return vote(0, word)
+        for size in (4, 3, 2, 1):
+            padded = word if size == 1 else f" {word} "
+            known = [padded[i : i + size] for i in range(len(padded) - size + 1)]
+            known = [vote(size, g) for g in known if g in tables[size]]
+            if known:
+                return [sum(v) / len(known) for v in zip(*known, strict=True)]
+        return [0.0] * len(langs)
+
+    model = langid.fit(docs.where("doc_id % 2 = 0"), max_words=None, max_grams=None)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    prior = [np.log(sum(lang == name for _, lang in train) / len(train)) for name in langs]
+    for row in rows[:60]:
+        words = langid.words_of(row[1])
+        score = [p + sum(v) for p, v in zip(prior, zip(*map(vector, words), strict=True), strict=True)]
+        shares = np.exp(np.array(score) - max(score))
+        assert got[row[0]]["lang_pred"] == langs[int(np.argmax(score))]
+        assert got[row[0]]["score"] == pytest.approx(max(shares) / shares.sum(), rel=1e-6)
+
+
+def test_larger_tables_do_not_change_languages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    train, asked = docs.where(fold("doc_id", 3) != 1), docs.where(fold("doc_id", 3) == 1)
+    right = []
+    for most in (60_000, None):
+        found = langid.identify(asked, langid.fit(train, max_words=most, max_grams=most)).join(docs, "doc_id")
+        right.append(found.where("lang_pred = lang").count())
+    assert right[0] == right[1] > 0.98 * asked.count()
+
+
 def test_unseen_words_back_off(spark):
     frame = spark.createDataFrame([(0, "running jumping", "en"), (1, "laufung springung", "de")], "doc_id long, text string, lang string")
     model = langid.fit(frame)
