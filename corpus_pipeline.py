@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from posigauge.llm import line_quality, minhash, mixing, packing, substring_dedup
-from posigauge.llm.queries import PACKING
+from posigauge.llm import line_quality, mixing, packing, simhash, substring_dedup
+from posigauge.llm.queries import PACKING, SIMHASH
 from posigauge.session import scratch_path
 
 
@@ -25,34 +26,43 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies.
-
-    Near copies are texts whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more, and all that such pairs connect. Of rows with one
-    id and one text a single one stays; other texts under that id are judged
-    apart. A row without an id gets one from its text, above all real ids.
+    """The document with the smallest id of each group of near copies; documents without an id come after all others.
+
+    Near copies are texts whose fingerprints of three-word shingles differ in
+    two bits or fewer, and all that such pairs connect; null and empty texts
+    have fingerprint zero. A row is named by 62 bits of a hash of its id and
+    text, so texts under one id are judged apart, and of rows equal in both a
+    single one stays. Two documents share a name with a chance of n^2 / 2^63
+    and count as linked then. An empty table stays empty.
     """
-    by_text = F.lit(1 << 61) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), by_text)).withColumn(
-        "_node", F.xxhash64("text")
-    )
-    texts = named.select(F.col("_node").alias("node"), F.col("_id").alias("id"), "text")
-    first = minhash.groups(texts, size=5, percent=80).groupBy("root").agg(F.min(F.struct("id", "node")).alias("first"))
-    stays = first.select(F.col("first.id").alias("_id"), F.col("first.node").alias("_node"))
-    names = ["_id", "_node"]
-    return named.join(stays, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    name = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), name.alias("name"))
+    texts = rows.select("name", F.col("row.text").alias("text"))
+    found = simhash.near_duplicates(texts, **SIMHASH, key="name").select("name", "component_id")
+    ids = rows.select("name", F.col("row.doc_id").alias("id"))
+    smallest = F.min(F.struct(F.col("id").isNull(), "id", "name")).alias("first")
+    stays = found.distinct().join(ids, "name").groupBy("component_id").agg(smallest)
+    one = Window.partitionBy("name").orderBy(F.xxhash64("row"))
+    kept = rows.join(stays.select(F.col("first.name").alias("name")), "name", "left_semi")
+    kept = kept.withColumn("n", F.row_number().over(one)).where("n = 1")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def substring_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that stand in an earlier one; emptied documents go."""
-    cut = substring_dedup.remove_repeats(docs, size=50)
-    text = [F.col("cut_text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return _measured(cut.where("n_words > n_removed").select(*text))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    cut = substring_dedup.remove_repeats(rows, size=50).where("n_words > n_removed")
+    row = F.col("row")
+    return _measured(
+        cut.select(*[F.col("cut_text").alias(c) if c == "text" else row.getField(c).alias(c) for c in docs.columns])
+    )
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.repeat_rows(mixing.mix(docs), docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    copies = mixing.repeat_rows(mixing.mix(rows), ["row"])
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
