@@ -15,6 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +37,8 @@ from posigauge.session import scratch_path
 BLOCK_BYTES = 1 << 20  # encoded and linked at once
 CHUNK_BYTES = 8 << 20  # one row of the scratch table
 PIECE_BLANK = "▁"
+CACHE_WORDS, LONG_WORD = 200_000, 64
+BESIDE_BLANK = re.compile(r" \s|\s |^\s|\s$")
 
 
 @dataclass
@@ -119,19 +123,51 @@ class Vocabularies:
         ]
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        # Every id with the mark that follows it inside a group and at its end.
+        sizes = [len(self.a_bytes), len(self.b_bytes)]
+        self.names = np.array([f"{n}{m}" for size, ms in zip(sizes, (",|", ",;"), strict=True) for m in ms for n in range(size)], object)
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both, none where a text is empty or the joined bytes of one differ from blank + text."""
-        seconds = self.b.encode([t or "" for t in texts], num_threads=1)
+    def name(self, side: int, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Places in ``names``."""
+        return ids + last * len(self.b_bytes if side else self.a_bytes) + side * 2 * len(self.a_bytes)
+
+    def _both(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of blank + text in both as 4-byte numbers, None where the joined bytes differ from it."""
         out = []
-        for text, b in zip(texts, seconds, strict=True):
-            if text:
-                whole = " " + text
-                a, data = self.a.encode_ordinary(whole), whole.encode()
-                if data == b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)):
-                    out.append((a, b))
-                    continue
-            out.append(([], []))
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            whole = " " + text
+            a, data = self.a.encode_ordinary(whole), whole.encode()
+            same = data == b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b))
+            out.append((array("i", a).tobytes(), array("i", b).tobytes()) if same else None)
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of both, none where a text is empty or the joined bytes of one differ from blank + text.
+
+        A word between single blanks gets the same ids alone as in its text: the
+        first vocabulary's pattern begins a part at such a blank, and no piece of
+        the second has a blank after another letter. So words are remembered.
+        Texts with other white space beside a blank or at an end are encoded whole.
+        """
+        cut = [t.split(" ") if t and not BESIDE_BLANK.search(t) else None for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        fresh = list(set().union(*filter(None, cut)) - self.known.keys())
+        found = dict(zip(fresh, self._both(fresh), strict=True))
+        whole = [t for t, words in zip(texts, cut, strict=True) if t and words is None]
+        whole = iter(self._both(whole))
+        known, out = self.known, []
+        known.update(found)
+        for text, words in zip(texts, cut, strict=True):
+            parts = [known[w] for w in words] if words else [next(whole)] if text else [None]
+            if None in parts:
+                out.append((b"", b""))
+            else:
+                out.append((b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])))
+        for word in fresh:
+            if len(word) > LONG_WORD:
+                del known[word]
         return out
 
 
@@ -154,9 +190,9 @@ class Links:
         return self.overlap.starts[self.a_at]
 
 
-def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    at = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, at[-1]), at
+def flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int64)
+    return np.frombuffer(b"".join(ids), np.int32).astype(np.int64), at
 
 
 def link_texts(vocabularies: Vocabularies, texts: list[str | None]) -> Links:
@@ -184,15 +220,18 @@ def shared_links(links: Links, rows: slice) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(rows.start, rows.stop), np.diff(pattern.starts)), pattern.columns
 
 
-def group_texts(links: Links) -> list[str]:
-    """`a1,a2|b1;a3|b2,b3` of every text."""
-    a, b = list(map(str, links.a.tolist())), list(map(str, links.b.tolist()))
-    a_cut, b_cut = links.a_groups.starts.tolist(), links.b_groups.starts.tolist()
-    one = [
-        f"{','.join(a[i:j])}|{','.join(b[k:m])}"
-        for i, j, k, m in zip(a_cut, a_cut[1:], b_cut, b_cut[1:], strict=False)
-    ]
-    return [";".join(one[i:j]) for i, j in zip(links.group_at.tolist(), links.group_at[1:].tolist(), strict=False)]
+def group_texts(links: Links, vocabularies: Vocabularies) -> list[str]:
+    """`a1,a2|b1;a3|b2,b3` of every text: a group's tokens of both sides one after the other, each with its mark."""
+    a_at, b_at = links.a_groups.starts, links.b_groups.starts
+    group_a = np.repeat(np.arange(links.a_groups.rows), np.diff(a_at))
+    group_b = np.repeat(np.arange(links.b_groups.rows), np.diff(b_at))
+    a, b = np.arange(len(links.a)), np.arange(len(links.b))
+    marked = np.empty(len(a) + len(b), np.int64)
+    marked[a + b_at[group_a]] = vocabularies.name(0, links.a, a + 1 == a_at[group_a + 1])
+    marked[b + a_at[group_b + 1]] = vocabularies.name(1, links.b, b + 1 == b_at[group_b + 1])
+    names = vocabularies.names[marked].tolist()
+    borders = (links.a_at + links.b_at).tolist()
+    return ["".join(names[i:j])[:-1] for i, j in zip(borders, borders[1:], strict=False)]
 
 
 def id_pairs(links: Links) -> np.ndarray:
@@ -263,7 +302,7 @@ def token_links(
                 np.diff(where),
                 sums[links.a_at[1:]] - sums[links.a_at[:-1]],
             ]
-            shas = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in group_texts(links)]
+            shas = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in group_texts(links, vocabularies)]
             fields = [block.column(key), *map(pa.array, columns), pa.array(shas)]
             rows = pa.StructArray.from_arrays(fields, names=["key", *figures, "groups_sha256"])
             waiting.append((rows, ids, np.bincount(text, minlength=len(texts)), number, times))
