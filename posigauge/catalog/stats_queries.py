@@ -106,7 +106,23 @@ def box_stats(spark, sf_dir):
 
 def _daily_rates(spark, sf_dir):
     daily = positive_counts(dense_log(spark, sf_dir), ["testType", "date"])
-    return daily.select("testType", "date", ratio(F.col("k"), F.col("n")).alias("rate"))
+    return materialize(daily.select("testType", "date", ratio(F.col("k"), F.col("n")).alias("rate")))
+
+
+@register(
+    "box_stats_log",
+    """
+    with q as (select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as median,
+      quantile_cont(value, 0.75) as q3 from events group by 1),
+    f as (select *, value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as inside from events join q using (event_type))
+    select event_type, q1, median, q3, min(value) filter (inside) as whisker_low, max(value) filter (inside) as whisker_high,
+      count(*) filter (not inside) as outliers from f group by 1, 2, 3, 4
+    """,
+    "q1 median q3 whisker_low whisker_high",
+)
+def box_stats_log(spark, sf_dir):
+    """Spread of single rows, not of daily rates: every row of the log takes part."""
+    return summaries.box_stats(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @register(

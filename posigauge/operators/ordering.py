@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from posigauge.constants import SAMPLE_ENTITIES
+from posigauge.operators.selection import order_statistics
 from posigauge.session import materialize
 
 
@@ -22,13 +23,13 @@ def _nulls_last(columns: Sequence[str]) -> list[Column]:
 _PLACE_BITS = 33  # of monotonically_increasing_id: the place inside its partition
 
 
-def _number_rows(df: DataFrame, order: Sequence[str], name: str, total: str | None = None) -> DataFrame:
+def _number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """1-based position in a global order, without sorting in one task.
 
     Rows are range-partitioned and sorted once, and written down with their
     range and place (checkpoint), so sizes and positions cannot disagree, even
     when executors are lost. Offsets come from one row per range, which is
-    broadcast: no second shuffle of the rows. ``total`` adds the number of rows.
+    broadcast: no second shuffle of the rows.
     """
     by = _nulls_last(order)
     ranged = materialize(
@@ -40,12 +41,10 @@ def _number_rows(df: DataFrame, order: Sequence[str], name: str, total: str | No
     offsets = sizes.select(
         F.col("_range").alias("_of"),
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_size").over(Window.partitionBy()).alias("_all"),
     )
     place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     found = ranged.join(F.broadcast(offsets), F.shiftright("_at", _PLACE_BITS) == F.col("_of"))
-    more = [F.col("_all").alias(total)] if total else []
-    return found.select(*df.columns, (F.col("_offset") + place + 1).alias(name), *more)
+    return found.select(*df.columns, (F.col("_offset") + place + 1).alias(name))
 
 
 def row_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
@@ -91,11 +90,17 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> D
 def hash_halves(df: DataFrame, key: str, seed: str, name: str = "is_train") -> DataFrame:
     """Exact random halves: the first floor(n/2) rows by a seeded hash are True.
 
-    ``key`` must be unique. The rank by hash is a global index over ranges, as
-    many as the data asks for.
+    ``key`` must be unique. The middle hash is selected by its first 60 bits;
+    the few rows that share them are told apart by the whole hash. Rows are not
+    sorted or shuffled, but ``df`` is read again for each round of the selection.
     """
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)).cast("binary"))
-    ranked = _number_rows(df.withColumn("_digest", digest), ["_digest"], "_position", total="_rows")
-    return ranked.withColumn(name, F.col("_position") <= F.floor(F.col("_rows") / 2)).drop(
-        "_digest", "_position", "_rows"
-    )
+    hashed = df.withColumn("_digest", digest).withColumn("_head", F.conv(F.substring("_digest", 1, 15), 16, 10).cast("long"))
+    heads = materialize(hashed.select("_head"))
+    middle = order_statistics(heads, [], "_head", {"_at": F.floor(F.col("n") / 2)}).first()
+    if middle is None or middle["_at"] is None:
+        return df.withColumn(name, F.lit(False))
+    missing = middle["n"] // 2 - heads.where(F.col("_head") < middle["_at"]).count()
+    alike = hashed.where(F.col("_head") == middle["_at"]).select("_digest").orderBy("_digest").limit(missing)
+    last = alike.agg(F.max("_digest")).first()[0]
+    return hashed.withColumn(name, F.col("_digest") <= last).drop("_digest", "_head")

@@ -1,7 +1,7 @@
 """Spread and shape of values per group.
 
-Exact quantiles gather the distinct values of a group, so feed these daily
-rates or other aggregates; :func:`histogram` is fine on a log.
+Quantiles are exact order statistics by histogram refinement, so groups may be
+as large as a log; each refinement reads the frame again.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posigauge.functions.rates import ratio, standard_error
+from posigauge.operators.selection import quantiles
+from posigauge.session import materialize
 
 
 def dispersion(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -28,11 +30,7 @@ def dispersion(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def box_stats(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
     """Hinges (linear interpolation), whiskers within ``reach`` IQR, outlier count."""
     x = F.col(value)
-    quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    hinges = df.groupBy(*by).agg(quartiles.alias("_q"))
-    hinges = hinges.select(
-        *by, *[F.col("_q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))]
-    )
+    hinges = quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
     spread = (F.col("q3") - F.col("q1")) * reach
     inside = x.between(F.col("q1") - spread, F.col("q3") + spread)
     return (
@@ -61,41 +59,52 @@ def histogram(
 
 
 def kernel_density(
-    df: DataFrame, by: Sequence[str], value: str, points: int = 512
+    df: DataFrame, by: Sequence[str], value: str, points: int = 512, bins: int = 8192
 ) -> DataFrame:
     """Gaussian density of each group on an even grid from its minimum to its maximum.
 
-    Equal values are folded into one weighted value first. Bandwidth:
+    Values are split between the four nearest of ``bins`` + 1 even nodes with
+    cubic weights, in one aggregate; then nodes meet grid points, so what
+    follows the aggregate does not grow with the rows. Against the exact sum
+    over all values the error is at most ``(3/128) * 3 * (d/h)**4`` of the
+    kernel's height, d being the distance of nodes and h the bandwidth,
     ``0.9 * min(sd, IQR / 1.34) * n ** -0.2``.
     """
     x = F.col(value)
-    stats = (
-        df.where(x.isNotNull())
-        .groupBy(*by)
-        .agg(
-            F.count(x).alias("_n"),
-            F.stddev_samp(x).alias("_sd"),
-            F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
-            F.min(x).alias("_lo"),
-            F.max(x).alias("_hi"),
-        )
-        .withColumn("_iqr", (F.col("_q")[1] - F.col("_q")[0]) / 1.34)
-        .withColumn(
-            "_h",
-            0.9
-            * F.when(F.col("_iqr") > 0, F.least("_sd", "_iqr")).otherwise(F.col("_sd"))
-            * F.pow(F.col("_n").cast("double"), F.lit(-0.2)),
-        )
+    kept = df.where(x.isNotNull())
+    spread = kept.groupBy(*by).agg(F.stddev_samp(x).alias("_sd"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    hinges = quantiles(df, by, value, {"_q1": 0.25, "_q3": 0.75}).withColumnRenamed("n", "_n")
+    iqr = (F.col("_q3") - F.col("_q1")) / 1.34
+    narrow = F.when(iqr > 0, F.least("_sd", iqr)).otherwise(F.col("_sd"))
+    bandwidth = 0.9 * narrow * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+    stats = materialize(spread.join(hinges, list(by)).select(*by, "_n", "_lo", "_hi", bandwidth.alias("_h")))
+    step = ratio(F.col("_hi") - F.col("_lo"), F.lit(bins))
+    at = F.coalesce(ratio(x - F.col("_lo"), step), F.lit(0.0))
+    cell = F.least(F.floor(at), F.lit(bins - 1))
+    u = F.col("_u")
+    weights = [
+        -u * (u - 1) * (u - 2) / 6,
+        (u + 1) * (u - 1) * (u - 2) / 2,
+        -(u + 1) * u * (u - 2) / 2,
+        (u + 1) * u * (u - 1) / 6,
+    ]
+    binned = (
+        kept.join(stats, list(by))
+        .select(*by, "_n", "_lo", "_hi", "_h", cell.alias("_cell"), (at - cell).alias("_u"))
+        .groupBy(*by, "_n", "_lo", "_hi", "_h", "_cell")
+        .agg(F.array(*map(F.sum, weights)).alias("_w"))
+    )
+    nodes = binned.select(*by, "_n", "_lo", "_hi", "_h", "_cell", F.posexplode("_w").alias("_k", "_part"))
+    nodes = nodes.groupBy(*by, "_n", "_lo", "_hi", "_h", (F.col("_cell") + F.col("_k") - 1).alias("_node")).agg(
+        F.sum("_part").alias("_mass")
     )
-    folded = df.where(x.isNotNull()).groupBy(*by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_w"))
-    step = ratio(F.col("_hi") - F.col("_lo"), F.lit(points - 1))
-    at = F.col("_lo") + F.col("point") * step
-    u = ratio(at - F.col("_x"), F.col("_h"))
-    kernel = F.sum(F.col("_w") * F.exp(-(u * u) / 2))
+    place = F.col("_lo") + F.col("point") * ratio(F.col("_hi") - F.col("_lo"), F.lit(points - 1))
+    node = F.col("_lo") + F.col("_node") * step
+    far = ratio(place - node, F.col("_h"))
+    kernel = F.sum(F.col("_mass") * F.exp(-(far * far) / 2))
     return (
-        folded.join(stats.drop("_q"), list(by))
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy(*by, "point", at.alias("x"), "_n", "_h")
+        nodes.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .groupBy(*by, "point", place.alias("x"), "_n", "_h")
         .agg((kernel / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
         .select(*by, F.col("point").cast("long").alias("point"), "x", "density")
     )
