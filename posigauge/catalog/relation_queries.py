@@ -79,6 +79,24 @@ def full_join_dim(spark, sf_dir):
     )
 
 
+@register(
+    "full_join_dim_channels",
+    f"""{LOG_REGION}, {_DIM}, t as (select unnest(['{LAB}', '{HOME}']) as testType),
+    d as (select * from dim cross join t), c as (select testType, region, count(*) as n from log group by 1, 2)
+    select testType, region, n, cast(population as bigint) as population, n * 1000.0 / population as rate
+    from c full join d using (testType, region)""",
+    "rate",
+)
+def full_join_dim_channels(spark, sf_dir):
+    """Each channel meets the whole population on its own."""
+    log = dense_log(spark, sf_dir, region=True)
+    return counts.rate_per_thousand(
+        counts.row_counts(log, ["testType", "region"]),
+        dims.region_population(spark, POPULATION),
+        by={"testType": [LAB, HOME]},
+    )
+
+
 @register(
     "left_join_fill",
     f"""with {SPARSE_SQL}, base as (select distinct testType, date from log),
@@ -100,9 +118,12 @@ def left_join_fill(spark, sf_dir):
     select * from base left join p using (testType, date) left join q using (testType, date)""",
 )
 def left_join_metrics(spark, sf_dir):
-    found = {f"{r}s": F.nullif(F.count_if(F.col("result") == r), F.lit(0).cast("long")) for r in ("positive", "negative")}
-    metrics = [value.alias(name) for name, value in found.items()]
-    return sparse_log(spark, sf_dir).groupBy("testType", "date").agg(n_rows(), *metrics)
+    """Every metric is an aggregate on the join's keys, so the chain of joins shuffles nothing again."""
+    log, keys = sparse_log(spark, sf_dir), ["testType", "date"]
+    metrics = [
+        counts.row_counts(log.where(F.col("result") == r), keys, f"{r}s") for r in ("positive", "negative")
+    ]
+    return joins.left_join_all(counts.row_counts(log, keys), *metrics, on=keys)
 
 
 @register(
@@ -580,6 +601,11 @@ def distinct_rows(spark, sf_dir):
     return cleaning.distinct_rows(dense_log(spark, sf_dir))
 
 
+@register("distinct_rows_fingerprint", f"{LOG} select distinct * from log")
+def distinct_rows_fingerprint(spark, sf_dir):
+    return cleaning.distinct_by_fingerprint(dense_log(spark, sf_dir))
+
+
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _PIVOT = ", ".join(
     f"max({v}) filter (testType = '{c}') as \"{v}_{c}\"" for c in PRIORITIES for v in "nk"

@@ -17,6 +17,7 @@ from posigauge.constants import (
     UNREPORTED,
 )
 from posigauge.functions import ages, text, times
+from posigauge.session import materialize
 
 TIME_COLUMNS = ("collectedDate", "reportedDate", "orderCreatedAt", "resultCreatedAt")
 
@@ -111,6 +112,34 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+BITMAP_BITS = 26  # bits that row fingerprints fall on: a table of 2^20 words of 16 bytes at most
+
+
+def distinct_by_fingerprint(df: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """Drop exact duplicates, shuffling whole rows only where a fingerprint recurs.
+
+    16-byte fingerprints are counted; those that occur more than once set a bit
+    each in a bitmap of fixed size, which is broadcast. A row whose bit is not
+    set has no equal and goes on without a shuffle; all others are compared
+    whole, so results are exact. ``df`` is read three times: worth it where
+    rows are wide and few of them repeat. With many repeats most bits are set
+    and it does what :func:`distinct_rows` does.
+    """
+    marks = [F.xxhash64(*df.columns), F.xxhash64(F.lit("second"), *df.columns)]
+    bit = F.pmod(F.col("_a"), F.lit(1 << bits))
+    word, place = F.floor(bit / 64).cast("long"), (bit % 64).cast("int")
+    counted = df.select(*[m.alias(n) for m, n in zip(marks, ("_a", "_b"), strict=True)]).groupBy("_a", "_b").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    repeats = counted.where("_n > 1").groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(_a, {1 << bits}) % 64 as int))")).alias("_bits"))
+    repeats = F.broadcast(materialize(repeats))
+    marked = df.withColumn("_a", marks[0]).withColumn("_word", word).withColumn("_place", place)
+    found = marked.join(repeats, "_word", "left")
+    recurs = F.coalesce(F.expr("shiftrightunsigned(_bits, _place) & 1"), F.lit(0)) == 1
+    alone = found.where(~recurs).select(*df.columns)
+    return alone.unionByName(found.where(recurs).select(*df.columns).dropDuplicates())
+
+
 def sort_log(df: DataFrame, *columns: str) -> DataFrame:
     """Ascending with NULL last; for output only."""
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
