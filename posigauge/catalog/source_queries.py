@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from posigauge import schemas
 from posigauge.catalog.base import register
@@ -12,7 +13,8 @@ from posigauge.catalog.standin import POPULATION, event_log, sparse_log, table
 from posigauge.operators.joins import coalesce_columns, full_join_series
 from posigauge.session import scratch_path
 from posigauge.sources import dims, files
-from posigauge.functions.times import local_date
+from posigauge.functions.times import local_date, parse_mdy
+from posigauge.plans import panels
 
 
 @register(
@@ -58,6 +60,138 @@ def scan_slice_pushdown(spark, sf_dir):
     return kept.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(
+    "scan_month_slice",
+    """
+    select cast(ts as date) as date, count(*) as n from events
+    where event_type = 'click' and ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20'
+    group by 1
+    """,
+)
+def scan_month_slice(spark, sf_dir):
+    """The log by type and month with ordered files; the slice reaches directories and row groups."""
+    path = scratch_path(spark, "log-months")
+    files.write_log(event_log(spark, sf_dir).withColumn("created", F.col("date")), path, "created")
+    kept = files.read_log_slice(spark, path, "click", "created", dt.date(2024, 1, 10), dt.date(2024, 1, 20))
+    return kept.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "scan_json_records",
+    """
+    with d as (select distinct event_type, user_id, value >= 50 as hit, cast(ts as date) as date,
+      event_id % 7 as lot, case when event_id % 2 = 0 then event_id % 3 end as site from events)
+    select event_type as testType, date, count(*) as rows, count(distinct user_id) as people from d group by 1, 2
+    """,
+)
+def scan_json_records(spark, sf_dir):
+    """Undeclared fields of a record (a number, an object that half of them have) take part in distinct."""
+    site = F.when(F.col("event_id") % 2 == 0, F.struct((F.col("event_id") % 3).alias("id"), F.lit("x").alias("name")))
+    landed = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("event_type").alias("testType"),
+        F.col("user_id").cast("string").alias("patientId"),
+        F.when(F.col("value") >= 50, "Positive").otherwise("Negative").alias("result"),
+        F.date_format("ts", "yyyy-MM-dd").alias("collectedDate"),
+        (F.col("event_id") % 7).alias("lot"),
+        site.alias("site"),
+    )
+    path = scratch_path(spark, "json-records")
+    landed.drop("event_id").write.json(path)
+    log = files.read_json_records(spark, path, schemas.TESTS, lines=True)
+    day = F.to_date("collectedDate").alias("date")
+    return log.distinct().groupBy("testType", day).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("patientId").alias("people")
+    )
+
+
+_BEDS = "select cast(o_orderdate as date) as date, count(*) as n from orders group by 1"
+
+
+@register(
+    "scan_legacy_beds",
+    f"select date, n as HospitCOV19, nullif(n % 3, 0) as CamasICU_disp, nullif(n % 5, 0) as CamasICU from ({_BEDS})",
+)
+def scan_legacy_beds(spark, sf_dir):
+    """Old bed counts from CSV with dates as month/day/year and empty cells."""
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    daily = sparse_log(spark, sf_dir).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "beds-csv")
+    files.write_csv(
+        daily.select(
+            F.nullif(n % 5, zero).alias("CamasICU"),
+            F.date_format("date", "M/d/yyyy").alias("Fecha"),
+            n.alias("HospitCOV19"),
+            F.nullif(n % 3, zero).alias("CamasICU_disp"),
+        ),
+        path,
+    )
+    beds = files.read_csv(spark, path, schemas.LEGACY_HOSPITAL)
+    counters = ["HospitCOV19", "CamasICU_disp", "CamasICU"]
+    return beds.select(parse_mdy(F.col("Fecha")).alias("date"), *[F.col(c).try_cast("long").alias(c) for c in counters])
+
+
+@register(
+    "scan_vaccines",
+    f"""
+    with c as (select date, n, sum(n) over (order by date) as total from ({_BEDS})),
+    g as (select date, cast(case when n % 4 > 0 then total end as double) as total_distributed,
+      cast(case when n % 3 > 0 then total - 1 end as double) as total_vaccinations,
+      cast(case when n % 5 > 0 then total // 2 end as double) as people_vaccinated, cast(total // 3 as double) as people_fully_vaccinated from c)
+    select date, max(total_distributed) over w as total_distributed, max(total_vaccinations) over w as total_vaccinations,
+      max(people_vaccinated) over w as people_vaccinated, max(people_fully_vaccinated) over w as people_fully_vaccinated
+    from g window w as (order by date rows unbounded preceding)
+    """,
+    "total_distributed total_vaccinations people_vaccinated people_fully_vaccinated",
+)
+def scan_vaccines(spark, sf_dir):
+    """One location of a CSV of cumulative vaccinations, its gaps filled."""
+    daily = sparse_log(spark, sf_dir).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    total, n = F.sum("n").over(Window.orderBy("date")), F.col("n")
+    cumulative = daily.withColumn("total", total)
+    t = F.col("total")
+    values = {
+        "total_distributed": F.when(n % 4 > 0, t),
+        "total_vaccinations": F.when(n % 3 > 0, t - 1),
+        "people_vaccinated": F.when(n % 5 > 0, F.floor(t / 2)),
+        "people_fully_vaccinated": F.floor(t / 3),
+    }
+    here = cumulative.select(F.lit("here").alias("location"), "date", *[v.alias(c) for c, v in values.items()])
+    there = here.withColumn("location", F.lit("there")).withColumn("total_distributed", F.lit(10**9))
+    path = scratch_path(spark, "vaccines-csv")
+    files.write_csv(here.unionByName(there), path)
+    landed = files.read_csv(spark, path, schemas.VACCINES)
+    typed = landed.select(
+        "location", F.to_date("date").alias("date"), *[F.col(c).try_cast("double").alias(c) for c in values]
+    )
+    return panels.fill_vaccines(typed, "here")
+
+
+@register(
+    "scan_death_summary",
+    """
+    select cast(o_orderdate as date) as date, o_orderpriority as ageRange, count(*) as n,
+      sum(o_orderkey % 9) as lag_days from orders group by 1, 2
+    """,
+)
+def scan_death_summary(spark, sf_dir):
+    """Deaths of a JSON bulletin by day and age, with the days until they were reported."""
+    stamp = lambda day: F.date_format(day, "yyyy-MM-dd'T'12:00:00")
+    orders = table(spark, sf_dir, "orders").select(
+        stamp("o_orderdate").alias("deathDate"),
+        stamp(F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 9).cast("int"))).alias("reportDate"),
+        F.col("o_orderpriority").alias("ageRange"),
+        F.lit("x").alias("sex"),
+    )
+    path = scratch_path(spark, "deaths-json")
+    orders.write.json(path)
+    deaths = files.read_json_log(spark, path, schemas.DEATHS_SUMMARY, lines=True)
+    date, reported = local_date(F.col("deathDate")), local_date(F.col("reportDate"))
+    return deaths.groupBy(date.alias("date"), "ageRange").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.date_diff(reported, date)).alias("lag_days")
+    )
+
+
 @register(
     "scan_csv",
     """

@@ -9,10 +9,14 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from posigauge.functions.times import in_period
 
+CORRUPT, FILE = "_corrupt_record", "_file"
+MONTH = "month"
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the directory name that reads back as NULL
+
 
 def read_json_log(
     spark: SparkSession, path: str | list[str], schema: StructType, lines: bool = False
@@ -25,6 +29,59 @@ def read_json_log(
     return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
+def read_json_records(
+    spark: SparkSession, path: str | list[str], schema: StructType, rest: str = "rest", lines: bool = False
+) -> DataFrame:
+    """The schema's columns of JSON records, and every other field of a record in one text column.
+
+    Each record is parsed once, to a VARIANT; columns are taken out by path and
+    cast (a value that does not fit is NULL). ``rest`` is a JSON object of the
+    undeclared fields by name, NULL without any, so that records which differ
+    in such a field only stay different rows. A file is one array of records or
+    one record (``lines=False``), or holds a record a line.
+    """
+    record = F.col("record")
+    landed = spark.read.option("singleVariantColumn", "record").json(path, multiLine=not lines)
+    if not lines:
+        parts = F.coalesce(F.try_variant_get(record, "$", "array<variant>"), F.array(record))
+        landed = landed.select(F.explode(parts).alias("record"))
+    fields = [F.try_variant_get(record, f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in schema]
+    other = F.map_filter(
+        F.try_variant_get(record, "$", "map<string, variant>"), lambda name, _: ~name.isin([f.name for f in schema])
+    )
+    value = lambda e: F.coalesce(F.to_json(e["value"]), F.lit("null"))
+    name = lambda e: F.regexp_extract(F.to_json(F.array(e["key"])), r"(?s)^\[(.*)\]$", 1)
+    members = F.array_sort(F.transform(F.map_entries(other), lambda e: F.concat(name(e), F.lit(":"), value(e))))
+    text = F.when(F.size(other) > 0, F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
+    return landed.select(*fields, text.alias(rest))
+
+
+def read_accounted(spark: SparkSession, path: str | list[str], schema: StructType, kind: str = "json", **options) -> DataFrame:
+    """The schema's columns, the text of records that do not parse, and the file of every record.
+
+    Nothing fails on a bad record: it has its text in ``CORRUPT`` and its file
+    in ``FILE``, so :func:`corrupt_files` can account for it and
+    :func:`read_first_available` can turn to another source.
+    """
+    whole = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    reader = spark.read.schema(whole).options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options)
+    return reader.format(kind).load(path).select("*", F.col("_metadata.file_path").alias(FILE))
+
+
+def _judged(df: DataFrame) -> DataFrame:
+    """Per file, or for all rows of a frame without files: rows and bad rows; every column of every row is read."""
+    bad = F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else F.lit(False)
+    read = F.bit_xor(F.xxhash64(*[F.col(c) for c in df.columns if c not in (CORRUPT, FILE)]))
+    return df.groupBy(*[c for c in (FILE,) if c in df.columns]).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), read.alias("digest")
+    )
+
+
+def corrupt_files(df: DataFrame) -> DataFrame:
+    """(FILE, n, bad) of a frame of :func:`read_accounted`: files with records that do not parse."""
+    return _judged(df).where("bad > 0 and digest is not null").drop("digest")
+
+
 def write_json_slices(
     df: DataFrame, path: str, slice_id: str, rows_per_slice: int = 20_000
 ) -> None:
@@ -103,18 +160,42 @@ def read_slice(
 def read_first_available(
     candidates: Sequence[Callable[[], DataFrame]], columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """First candidate whose source can be opened and gives a row, on the common columns.
+    """First candidate that gives a row and can be read to its end, on the common columns.
 
-    Missing files and columns show when the plan is analysed; an unreadable,
-    wrong or empty file shows when its first row is asked for.
+    Missing files and columns show when the plan is analysed, unreadable files
+    when they are read. So every row of a candidate is read once before it is
+    taken, in one aggregate: a file that fails after its first row, or a single
+    record that does not parse (:func:`read_accounted`), makes the next one count.
     """
     failure: Exception | None = None
     for candidate in candidates:
         try:
             df = candidate()
-            df = df.select(*columns) if columns else df
-            if df.take(1):
-                return df
+            judged = _judged(df).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.bit_xor("digest")).first()
+            if judged["n"] and not judged["bad"]:
+                return df.select(*columns) if columns else df.drop(CORRUPT, FILE)
         except (PySparkException, Py4JJavaError) as error:
             failure = error
     raise FileNotFoundError("no candidate source is available") from failure
+
+
+def write_log(df: DataFrame, path: str, created: str) -> None:
+    """The log by test type and month, rows of a file in the order of ``created``.
+
+    Months prune directories; order inside files gives row groups narrow
+    bounds, so a slice of some days skips most of its month's pages too. One
+    shuffle makes files of even size, splitting large months.
+    """
+    # Spark keeps the order of rows in a file only if partition columns cannot be NULL (nor be one literal for all rows).
+    named = {"testType": F.col("testType"), MONTH: F.date_format(created, "yyyy-MM")}
+    dated = df.withColumns({c: F.coalesce(v, F.lit(NULL_PARTITION)) for c, v in named.items()})
+    even = dated.hint("rebalance", "testType", MONTH).sortWithinPartitions("testType", MONTH, created)
+    even.write.partitionBy("testType", MONTH).option("compression", "zstd").parquet(path)
+
+
+def read_log_slice(spark: SparkSession, path: str, test_type: str, created: str, start: dt.date, end: dt.date) -> DataFrame:
+    """One channel and a half-open period of a log of :func:`write_log`: directories, then row groups, then rows."""
+    log = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    last = end - dt.timedelta(days=1)
+    months = F.col(MONTH).cast("string").between(f"{start:%Y-%m}", f"{last:%Y-%m}")
+    return read_slice(log.where(months), test_type, created, start, end).drop(MONTH)
