@@ -264,8 +264,8 @@ def read_with_fallback(spark, sf_dir):
 @register(
     "dim_literal",
     """
-    with dim(region, population) as (values ('AFRICA', 682054), ('AMERICA', 537123), ('ASIA', 394774),
-      ('EUROPE', 474603), ('ATLANTIS', 116148))
+    with dim(region, population) as (values ('AFRICA', 700000), ('AMERICA', 500000), ('ASIA', 400000),
+      ('EUROPE', 450000), ('ATLANTIS', 100000))
     select r_name as region, cast(population as bigint) as population, count(*) as suppliers
     from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
       left join dim on r_name = dim.region

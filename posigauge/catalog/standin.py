@@ -25,7 +25,7 @@ PERIODS = [
     ("middle", dt.date(1998, 1, 1), dt.date(2000, 1, 1)),
     ("late", dt.date(2000, 1, 1), dt.date(2002, 1, 1)),
 ]
-POPULATION = {"AFRICA": 682054, "AMERICA": 537123, "ASIA": 394774, "EUROPE": 474603, "ATLANTIS": 116148}
+POPULATION = {"AFRICA": 700000, "AMERICA": 500000, "ASIA": 400000, "EUROPE": 450000, "ATLANTIS": 100000}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
