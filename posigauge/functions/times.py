@@ -30,12 +30,21 @@ def _offset(text: Column) -> Column:
     )
 
 
-def local_timestamp(text: Column, zone: str = LOCAL_ZONE) -> Column:
-    """Wall clock in ``zone``; NULL where the text has no date and clock.
+_TAIL = r"\s*(Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?$"
+# Year-first forms besides the standard one, tried in this order, and the standard text of each.
+_FORMS = (
+    (r"^(\d{4})([-/._])(\d{1,2})\2(\d{1,2})[T ]+(\d{1,2})([:.])(\d{2})\6(\d{2}(?:\.\d+)?)" + _TAIL, "$1-$3-$4 $5:$7:$8$9"),
+    (r"^(\d{4})(\d{2})(\d{2})[T ]?(\d{2}):?(\d{2}):?(\d{2}(?:\.\d+)?)" + _TAIL, "$1-$2-$3 $4:$5:$6$7"),
+)
 
-    Text that ends in an offset is converted, other text already is local.
-    The cast reads the wall clock and leaves the offset aside.
-    """
+
+def _standard_form(text: Column) -> Column:
+    """Other separators and compact texts in the standard form; NULL for texts of none of the forms."""
+    forms = [F.when(text.rlike(p), F.regexp_replace(text, p, to)) for p, to in _FORMS]
+    return F.coalesce(*forms)
+
+
+def _wall_clock(text: Column, zone: str) -> Column:
     wall = text.try_cast("timestamp_ntz")
     offset = _offset(text)
     local = F.when(offset.isNull(), wall).otherwise(
@@ -44,6 +53,19 @@ def local_timestamp(text: Column, zone: str = LOCAL_ZONE) -> Column:
     return F.when(text.contains(":"), local)
 
 
+def local_timestamp(text: Column, zone: str = LOCAL_ZONE) -> Column:
+    """Wall clock in ``zone``; NULL where the text has no date and clock.
+
+    Text that ends in an offset is converted, other text already is local.
+    The cast reads the wall clock and leaves the offset aside. Texts that are
+    not in the standard form are tried with one other separator between the
+    parts of the date and of the clock, then as digits without separators;
+    texts that mix separators or leave out digits stay NULL.
+    """
+    trimmed = F.trim(text)
+    return F.coalesce(_wall_clock(text, zone), _wall_clock(_standard_form(trimmed), zone))
+
+
 def local_date(text: Column, zone: str = LOCAL_ZONE) -> Column:
     return local_timestamp(text, zone).cast("date")
 

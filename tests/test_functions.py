@@ -159,3 +159,29 @@ def test_tails():
     assert tails.chi2_tail(5.991464547, 2) == pytest.approx(0.05, abs=1e-9)
     assert tails.chi2_tail(18.30703805, 10) == pytest.approx(0.05, abs=1e-9)
     assert tails.normal_two_sided(1.959963984540054) == pytest.approx(0.05, abs=1e-12)
+
+
+def test_other_clock_formats(spark):
+    ten = dt.datetime(2022, 1, 2, 10, 0, 5)
+    cases = {
+        "2022-01-02 10:00:05": ten,
+        "2022/01/02 10:00:05": ten,
+        "2022.1.2 10.00.05": ten,
+        "2022_01_02T10:00:05": ten,
+        "20220102 100005": ten,
+        "20220102100005": ten,
+        "20220102T100005": ten,
+        "20220102T140005Z": ten,
+        "2022/01/02 14:00:05Z": ten,
+        "2022/01/02 10:00:05-0400": ten,
+        "2022/01-02 10:00:05": None,
+        "2022/01/02 10:00.05": None,
+        "2022/13/02 10:00:05": None,
+        "2022/01/02": None,
+        "20220102": None,
+        "2022110 100005": None,
+        "01/02/2022 10:00:05": None,
+        "soon": None,
+        None: None,
+    }
+    assert values(spark, cases, times.local_timestamp(F.col("x"))) == list(cases.values())
