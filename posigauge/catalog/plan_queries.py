@@ -45,11 +45,9 @@ from posigauge.catalog.stats_queries import (
 from posigauge.constants import HOME, LAB, WEEKDAYS
 from posigauge.operators import cleaning, glm
 from posigauge.operators.counts import row_counts
-from posigauge.operators.joins import left_join_all
 from posigauge.plans import agreement as agreement_plan
 from posigauge.plans import cleaning as clean
 from posigauge.plans import dashboard, modelling, panels, positivity
-from posigauge.session import materialize
 
 SINCE = f"date >= date '{START}'"
 COUNTS = [f"{s}{w}_{t}" for t in (LAB, HOME) for s in "nk" for w in ("", "7")]
@@ -235,11 +233,9 @@ _CASES = (
     "cases_week_avg cases_plus_negatives cases_rate cases_rate_daily",
 )
 def unique_cases(spark, sf_dir):
-    known = dashboard.dashboard_log(event_log(spark, sf_dir), EVENTS_START, MEMBERS)
-    tests = materialize(dashboard.dashboard_tests(known, EVENTS_START))
-    cases = dashboard.unique_cases(known, tests, gap_days=7)
-    panel = left_join_all(tests, cases, on=dashboard.KEYS)
-    return dashboard.add_case_rates(panel).select(*_CASES.split())
+    """From the plan that reads and shuffles the log once for tests, cases and negatives."""
+    panel = dashboard.dashboard(event_log(spark, sf_dir), EVENTS_START, MEMBERS, gap_days=7)
+    return panel.select(*_CASES.split())
 
 
 @register(
@@ -250,9 +246,8 @@ def unique_cases(spark, sf_dir):
     "negative_cases_week_avg",
 )
 def unique_negatives(spark, sf_dir):
-    known = dashboard.dashboard_log(event_log(spark, sf_dir), EVENTS_START, MEMBERS)
-    days = row_counts(known, dashboard.KEYS)
-    return dashboard.unique_negatives(known, days)
+    panel = dashboard.dashboard(event_log(spark, sf_dir), EVENTS_START, MEMBERS, gap_days=7)
+    return panel.select("testType", "date", "negative_cases", "negative_cases_week_avg")
 
 
 _PANEL = """g as (select testType, patientId, date, coalesce(date_diff('day', lag(date) over w, date), 0) as gap

@@ -44,7 +44,12 @@ def _standard_form(text: Column) -> Column:
     return F.coalesce(*forms)
 
 
-def _wall_clock(text: Column, zone: str) -> Column:
+def local_timestamp(text: Column, zone: str = LOCAL_ZONE) -> Column:
+    """Wall clock in ``zone``; NULL where the text has no date and clock.
+
+    Text that ends in an offset is converted, other text already is local.
+    The cast reads the wall clock and leaves the offset aside.
+    """
     wall = text.try_cast("timestamp_ntz")
     offset = _offset(text)
     local = F.when(offset.isNull(), wall).otherwise(
@@ -53,17 +58,15 @@ def _wall_clock(text: Column, zone: str) -> Column:
     return F.when(text.contains(":"), local)
 
 
-def local_timestamp(text: Column, zone: str = LOCAL_ZONE) -> Column:
-    """Wall clock in ``zone``; NULL where the text has no date and clock.
+def local_timestamp_any_form(text: Column, zone: str = LOCAL_ZONE) -> Column:
+    """:func:`local_timestamp`, and for texts that it does not read other year-first forms.
 
-    Text that ends in an offset is converted, other text already is local.
-    The cast reads the wall clock and leaves the offset aside. Texts that are
-    not in the standard form are tried with one other separator between the
-    parts of the date and of the clock, then as digits without separators;
-    texts that mix separators or leave out digits stay NULL.
+    They are tried in a fixed order: one other separator between the parts of
+    the date and of the clock, then digits without separators; texts that mix
+    separators or leave out digits stay NULL. Larger expressions than the
+    standard form's: use it on columns known to hold such texts.
     """
-    trimmed = F.trim(text)
-    return F.coalesce(_wall_clock(text, zone), _wall_clock(_standard_form(trimmed), zone))
+    return F.coalesce(local_timestamp(text, zone), local_timestamp(_standard_form(F.trim(text)), zone))
 
 
 def local_date(text: Column, zone: str = LOCAL_ZONE) -> Column:

@@ -184,4 +184,4 @@ def test_other_clock_formats(spark):
         "soon": None,
         None: None,
     }
-    assert values(spark, cases, times.local_timestamp(F.col("x"))) == list(cases.values())
+    assert values(spark, cases, times.local_timestamp_any_form(F.col("x"))) == list(cases.values())
