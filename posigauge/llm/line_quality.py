@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posigauge.operators.cleaning import compute_once
+from posigauge.session import scratch_path
 
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -33,22 +34,18 @@ def with_text_measures(documents: DataFrame, window: int = 3) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of column ``text``.
 
     n_repeat_words counts the words inside windows that are found twice or
-    more in the text. Windows are hashed from their words' hashes and sorted
-    with their places, so equal ones are neighbours: n log n for the longest
-    text. Null texts have no words. What a later expression uses more than once
+    more in the text. Windows are hashed from their words' hashes. Only where
+    two are equal they are sorted with their places, so that equal ones are
+    neighbours: n log n for the longest text. Null texts have no words. What a later expression uses more than once
     is computed by a generator, which no filter or projection is merged into.
     """
     text = F.coalesce("text", F.lit(""))
-    lines, hashes, runs = F.col("_lines"), F.col("_hashes"), F.col("_runs")
+    lines, hashes, windows = F.col("_lines"), F.col("_hashes"), F.col("_windows")
     frame = compute_once(
         documents, {"_lines": _word_lines(text), "_hashes": F.transform(_words(text), lambda word: F.xxhash64(word))}
     )
-    places = F.when(F.size(hashes) >= window, F.sequence(F.lit(0), F.size(hashes) - window)).otherwise(
-        F.array().cast("array<int>")
-    )
-    keyed = F.transform(
-        places, lambda i: F.struct(F.xxhash64(*[F.get(hashes, i + k) for k in range(window)]).alias("h"), i.alias("i"))
-    )
+    places = F.sequence(F.lit(0), F.size(hashes) - window)
+    window_hash = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(window)])
     frame = compute_once(
         frame,
         {
@@ -56,9 +53,15 @@ def with_text_measures(documents: DataFrame, window: int = 3) -> DataFrame:
             "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "_runs": F.sort_array(keyed),
+            "_windows": F.when(F.size(hashes) >= window, F.transform(places, window_hash)).otherwise(
+                F.array().cast("array<long>")
+            ),
         },
     ).drop("_lines", "_hashes")
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
+    placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    frame = compute_once(frame, {"_runs": F.when(repeats, F.sort_array(placed))}).drop("_windows")
+    runs = F.col("_runs")
     same = lambda x, other: F.coalesce(x["h"] == other["h"], F.lit(False))
     repeated = F.filter(runs, lambda x, j: same(x, F.get(runs, j - 1)) | same(x, F.get(runs, j + 1)))
     covered = F.aggregate(
@@ -69,7 +72,7 @@ def with_text_measures(documents: DataFrame, window: int = 3) -> DataFrame:
         ),
         lambda state: state["n"],
     )
-    return compute_once(frame, {"n_repeat_words": covered}).drop("_runs")
+    return compute_once(frame, {"n_repeat_words": F.coalesce(covered, F.lit(0).cast("long"))}).drop("_runs")
 
 
 def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
@@ -77,76 +80,82 @@ def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def _line_key(line: Column) -> Column:
-    """Hash of the lower-cased line with single blanks."""
-    return F.xxhash64(F.regexp_replace(F.lower(F.btrim(line, F.lit(BLANKS))), BLANK_RUN, " "))
+def _line_keys(text: Column) -> Column:
+    """Hash of every lower-cased line with single blanks; null for a line without words.
+
+    The whole text is normalised first: a line's blanks are never next to a
+    word of another line, so this gives the same lines as one by one.
+    """
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), BLANKS.replace("\n", "").replace(" ", ""), "    ")
+    plain = F.btrim(F.regexp_replace(F.regexp_replace(plain, "  +", " "), " ?\n ?", "\n"), F.lit(" "))
+    return F.transform(F.split(plain, "\n"), lambda line: F.when(line != "", F.xxhash64(line)))
+
 
+def line_table(documents: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
+    """(_id, _text, _host, _lines): hashes of every row's lines, written down once.
 
-def _keyed(documents: DataFrame, key: str, host: str) -> DataFrame:
-    """Hosts, lines and two hashes that name a row by its content; equal rows have equal names."""
-    return documents.select(
+    ``_id`` and ``_text`` name a row by its content, so equal rows have equal
+    names. Lines take 8 bytes each; later steps read no text.
+    """
+    path = scratch_path(documents.sparkSession, "lines")
+    documents.select(
         F.xxhash64(key, host).alias("_id"),
         F.xxhash64("text").alias("_text"),
         F.coalesce(host, F.lit("")).alias("_host"),
-        F.transform(
-            F.split(F.coalesce("text", F.lit("")), "\n"),
-            lambda line: F.when(
-                F.btrim(line, F.lit(BLANKS)) != "",
-                F.struct(
-                    _line_key(line).alias("line"),
-                    F.size(F.split(F.btrim(line, F.lit(BLANKS)), BLANK_RUN)).alias("words"),
-                ),
-            ),
-        ).alias("_lines"),
-    )
+        _line_keys(F.col("text")).alias("_lines"),
+    ).write.parquet(path)
+    return documents.sparkSession.read.parquet(path)
 
 
 def frequent_lines(
-    documents: DataFrame, *, max_share: float = 0.1, min_docs: int = 10, key: str = "doc_id", host: str = "source"
+    table: DataFrame, *, max_share: float = 0.1, min_docs: int = 10, max_docs: int = 30
 ) -> DataFrame:
-    """(host, line) of lines in more than ``min_docs`` and more than ``max_share`` of a host's distinct texts.
-
-    A text names a line once; counts are combined before they are shuffled, so
-    a line that a third of all documents hold is no hot key. The host's own
-    number of texts is counted along as the line null.
+    """(_host, _line) of lines in more than ``max_docs`` distinct texts of a host, or in more than
+    ``max_share`` of them if these are more than ``min_docs``.
+
+    ``max_docs`` suffices alone, so the limit does not rise with the host.
+    Equal texts of a host are folded first and a text names a line once; then
+    counts are combined before they are shuffled, so a line that a third of all
+    documents hold is no hot key. The host's own number of texts is counted
+    along as the line null. The result is written, so its size is known to
+    the joins that follow.
     """
-    rows = _keyed(documents, key, host)
-    named = F.array_distinct(F.transform("_lines", lambda line: line["line"]))
-    named = F.array_append(F.filter(named, lambda line: line.isNotNull()), F.lit(None).cast("long"))
+    named = F.array_distinct(F.filter("_lines", lambda line: line.isNotNull()))
+    named = F.array_append(named, F.lit(None).cast("long"))
     counted = (
-        rows.select("_host", "_text", F.explode(named).alias("_line"))
+        table.select("_host", "_text", "_lines")
         .distinct()
+        .select("_host", F.explode(named).alias("_line"))
         .groupBy("_host", "_line")
         .agg(F.count(F.lit(1)).alias("_docs"))
         .where((F.col("_docs") > min_docs) | F.col("_line").isNull())
     )
+    spark = table.sparkSession
+    path = scratch_path(spark, "line-counts")
+    counted.write.parquet(path)
+    counted = spark.read.parquet(path)
     hosts = counted.where(F.col("_line").isNull()).select("_host", F.col("_docs").alias("_all"))
-    lines = counted.where(F.col("_line").isNotNull())
-    return lines.join(hosts, "_host").where(F.col("_docs") > max_share * F.col("_all")).select("_host", "_line")
+    docs = F.col("_docs")
+    return (
+        counted.where(F.col("_line").isNotNull())
+        .join(hosts, "_host")
+        .where((docs > max_docs) | (docs > max_share * F.col("_all")))
+        .select("_host", "_line")
+    )
 
 
 def removed_lines(documents: DataFrame, key: str = "doc_id", host: str = "source", **limits) -> DataFrame:
-    """(_id, _text, _removed, _places): words and places of the frequent lines of each document that has some."""
-    lines = _keyed(documents, key, host).select(
-        "_id", "_text", "_host", F.posexplode("_lines").alias("_place", "_entry")
-    )
-    lines = lines.where(F.col("_entry").isNotNull()).select(
-        "_id", "_text", "_host", "_place", F.col("_entry.line").alias("_line"), F.col("_entry.words").alias("_words")
-    )
-    found = lines.join(frequent_lines(documents, key=key, host=host, **limits), ["_host", "_line"])
-    by_doc = found.groupBy("_id", "_text").agg(F.collect_set(F.struct("_place", "_words")).alias("_hit"))
-    return by_doc.select(
-        "_id",
-        "_text",
-        F.aggregate("_hit", F.lit(0).cast("long"), lambda n, x: n + x["_words"]).alias("_removed"),
-        F.transform("_hit", lambda x: x["_place"]).alias("_places"),
-    )
+    """(_id, _text, _places): places of the frequent lines of each document that has some."""
+    table = line_table(documents, key, host)
+    lines = table.select("_id", "_text", "_host", F.posexplode("_lines").alias("_place", "_line"))
+    found = lines.where(F.col("_line").isNotNull()).join(frequent_lines(table, **limits), ["_host", "_line"])
+    return found.groupBy("_id", "_text").agg(F.collect_set("_place").alias("_places"))
 
 
 def verdicts(
     documents: DataFrame,
     *,
-    max_removed_percent: int = 70,
+    max_removed_percent: int = 25,
     key: str = "doc_id",
     host: str = "source",
     carry: list[str] | None = None,
@@ -166,17 +175,18 @@ def verdicts(
             F.xxhash64("text").alias("_text"),
         )
     )
-    if "text" not in carry:
-        measured = measured.drop("text")
     judged = measured.join(removed_lines(documents, key, host, **limits), ["_id", "_text"], "left")
-    removed = F.coalesce("_removed", F.lit(0).cast("long"))
+    gone = F.filter(F.split("text", "\n"), lambda _, i: F.array_contains("_places", i))
+    words = F.size(_words(F.array_join(gone, "\n"))).cast("long")
+    judged = compute_once(
+        judged, {"n_removed": F.when(F.col("_places").isNull(), F.lit(0).cast("long")).otherwise(words)}
+    )
     return (
         judged.withColumn("base_failed", base_failed())
-        .withColumn("n_removed", removed)
         .withColumn(
             "kept", ~F.col("base_failed") & (100 * F.col("n_removed") <= max_removed_percent * F.col("n_words"))
         )
-        .drop("_id", "_text", "_removed")
+        .drop("_id", "_text", *([] if "text" in carry else ["text"]))
     )
 
 

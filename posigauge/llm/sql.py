@@ -37,7 +37,7 @@ dups as (select doc_id, count(*) - count(distinct line) as n_dup_lines from full
 hosts as (select host, count(distinct t) as all_docs from d group by host),
 frequent as (
     select host, plain from full_lines join hosts using (host) group by host, plain, all_docs
-    having count(distinct t) > 10 and count(distinct t) > 0.1 * all_docs
+    having count(distinct t) > 30 or (count(distinct t) > 10 and count(distinct t) > 0.1 * all_docs)
 ),
 removed as (select doc_id, sum(n) as n_removed from full_lines join frequent using (host, plain) group by doc_id),
 m as (
@@ -50,7 +50,7 @@ m as (
     from d left join repeats using (doc_id) left join dups using (doc_id) left join removed using (doc_id)
 ),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
-select *, not base_failed and 100 * n_removed <= 70 * n_words as kept from b
+select *, not base_failed and 100 * n_removed <= 25 * n_words as kept from b
 """
 
 TOP_K = """
