@@ -32,6 +32,8 @@ from posigauge.catalog.standin import (
     wide_sql,
 )
 from posigauge.catalog.stats_queries import (
+    FIT_NAMES,
+    FIT_SQL,
     HALF_SQL,
     LINE_COLUMNS,
     LINE_SQL,
@@ -39,8 +41,8 @@ from posigauge.catalog.stats_queries import (
     WEEK_ROWS,
     X,
     Y,
+    fitted_forms,
     model_rows_sql,
-    week_rows,
 )
 from posigauge.constants import HOME, LAB, WEEKDAYS
 from posigauge.operators import cleaning, glm
@@ -48,6 +50,7 @@ from posigauge.operators.counts import row_counts
 from posigauge.plans import agreement as agreement_plan
 from posigauge.plans import cleaning as clean
 from posigauge.plans import dashboard, modelling, panels, positivity
+from posigauge.session import materialize
 
 SINCE = f"date >= date '{START}'"
 COUNTS = [f"{s}{w}_{t}" for t in (LAB, HOME) for s in "nk" for w in ("", "7")]
@@ -522,5 +525,38 @@ def rolling_model(spark, sf_dir):
     "logit predictor_value",
 )
 def prediction_long(spark, sf_dir):
-    fit = glm.fit_binomial(week_rows(spark, sf_dir), Y)
-    return modelling.prediction_long(daily_pair(spark, sf_dir), fit, [f"k7_{HOME}", Y])
+    daily = materialize(daily_pair(spark, sf_dir))
+    fit = glm.fit_binomial(glm.model_rows(daily, Y, f"k7_{LAB}", f"n7_{LAB}"), Y)
+    return modelling.prediction_long(daily, fit, [f"k7_{HOME}", Y])
+
+
+def _stratum_fits_sql(stratum: str) -> str:
+    return f"""base as (select unnest([{stratum}, 'pooled']) as {stratum}, {Y} as x, k7_{LAB} as k, n7_{LAB} as n from rolled
+      where {Y} is not null and n7_{LAB} > 0 and k7_{LAB} is not null),
+    rows as materialized (select 'trials' as form, {stratum}, x, cast(k as double) / n as y, cast(n as double) as w from base
+      union all select 'failures', {stratum}, x, cast(k as double) / (n + k), cast(n + k as double) from base),
+    {sp.irls_group_ctes('rows', f'form, {stratum}')} select form, {stratum}, {FIT_SQL} from fits"""
+
+
+@register(
+    "glm_by_region",
+    f"with {log_sql(region=True)}, {wide_sql('date, region', SINCE)}, {rolling_sql('region')}, {_stratum_fits_sql('region')}",
+    FIT_NAMES,
+)
+def glm_by_region(spark, sf_dir):
+    """The fit on the regional frame, over all regions' rows and per region."""
+    frame = positivity.positivity(dense_log(spark, sf_dir, region=True), ["region"], start=START)
+    return fitted_forms(frame, ["region"])
+
+
+@register(
+    "glm_by_age",
+    f"""with {AGED_SQL}, {FIRST_SQL}, {wide_sql('date, ageRange', SINCE).replace('from log', 'from firsts')}, {rolling_sql('ageRange')},
+    {_stratum_fits_sql('ageRange')}""",
+    FIT_NAMES,
+)
+def glm_by_age(spark, sf_dir):
+    """The fit on the frame of ages, where a person's first test on a channel counts."""
+    log = dense_log(spark, sf_dir, age=True)
+    frame = positivity.positivity_by_age(log, order=["date"], bin_ages=True, start=START)
+    return fitted_forms(frame, ["ageRange"])

@@ -103,6 +103,33 @@ def irls_ctes(rows: str, link: str, tag: str, steps: int = 12) -> str:
     return ",\n  ".join(out)
 
 
+def irls_group_ctes(rows: str, by: str, steps: int = 12) -> str:
+    """CTE ``fits`` with a logit fit per ``by``: the columns of ``fit{tag}`` above, from ``rows(by, x, y, w)``."""
+    out = [
+        f"shares as materialized (select {by}, sum(w * y) / sum(w) as m from {rows} group by {by})",
+        f"g_0 as materialized (select {by}, ln(m / (1 - m)) as a, cast(0 as double) as b from shares)",
+    ]
+    for i in range(steps):
+        out.append(
+            f"""g_{i + 1} as materialized (
+    select {by}, (sxx * sz - sx * sxz) / (s * sxx - sx * sx) as a, (s * sxz - sx * sz) / (s * sxx - sx * sx) as b
+    from (select {by}, sum(g) as s, sum(g * x) as sx, sum(g * x * x) as sxx, sum(g * z) as sz, sum(g * x * z) as sxz
+      from (select {by}, x, w * mu * (1 - mu) as g, eta + (y - mu) / (mu * (1 - mu)) as z
+        from (select {by}, x, y, w, eta, {_mu('logit', 'eta')} as mu
+          from (select {by}, x, y, w, a + b * x as eta from {rows} join g_{i} using ({by}))))
+      group by {by}))"""
+        )
+    out.append(
+        f"""fits as materialized (select {by}, any_value(a) as a, any_value(b) as b, count(*) as n,
+    sum(g * x * x) / (sum(g) * sum(g * x * x) - sum(g * x) * sum(g * x)) as v00,
+    sum(g) / (sum(g) * sum(g * x * x) - sum(g * x) * sum(g * x)) as v11,
+    sum({deviance('y', 'mu', 'w')}) as deviance, sum({deviance('y', 'm', 'w')}) as null_deviance
+    from (select *, w * mu * (1 - mu) as g from (select {by}, x, y, w, a, b, m, {_mu('logit', 'a + b * x')} as mu
+      from {rows} join g_{steps} using ({by}) join shares using ({by}))) group by {by})"""
+    )
+    return ",\n  ".join(out)
+
+
 def fitted(link: str, x: str = "x") -> str:
     return _mu(link, f"a + b * {x}")
 

@@ -22,7 +22,7 @@ from posigauge.constants import HOME, LAB
 from posigauge.functions.binomial import binomial_bounds
 from posigauge.functions.rates import ratio
 from posigauge.functions.times import period_label
-from posigauge.operators import correlation, glm, ordering, rolling, smooth, summaries
+from posigauge.operators import correlation, glm, glm_batch, ordering, rolling, smooth, summaries
 from posigauge.operators.counts import channel_counts, positive_counts
 from posigauge.session import materialize
 
@@ -252,8 +252,8 @@ def gaussian_fit(spark, sf_dir):
 
 
 # --- binomial models ---------------------------------------------------------------
-_FIT = "n as observations, a as intercept, b as slope, sqrt(v00) as intercept_se, sqrt(v11) as slope_se, deviance, null_deviance"
-_FIT_COLUMNS = "intercept slope intercept_se slope_se deviance null_deviance"
+FIT_SQL = "n as observations, a as intercept, b as slope, sqrt(v00) as intercept_se, sqrt(v11) as slope_se, deviance, null_deviance"
+FIT_NAMES = "intercept slope intercept_se slope_se deviance null_deviance"
 
 
 def _fit_row(df, fit, **labels):
@@ -280,22 +280,41 @@ _COMPAT_ROWS = model_rows_sql(Y, f"k7_{LAB}", f"n7_{LAB}", total=f"n7_{LAB} + k7
 @register(
     "glm_logit",
     f"""{WIDE}, {WEEK_ROWS}, {_COMPAT_ROWS}, {sp.irls_ctes('rows', 'logit', 'a')}, {sp.irls_ctes('rows2', 'logit', 'c')}
-    select 'trials' as form, {_FIT} from fita union all select 'failures', {_FIT} from fitc""",
-    _FIT_COLUMNS,
+    select 'trials' as form, {FIT_SQL} from fita union all select 'failures', {FIT_SQL} from fitc""",
+    FIT_NAMES,
 )
 def glm_logit(spark, sf_dir):
-    out = []
-    daily = materialize(daily_pair(spark, sf_dir).select(Y, f"k7_{LAB}", f"n7_{LAB}"))
-    for form, compat in (("trials", False), ("failures", True)):
-        rows = glm.model_rows(daily, Y, f"k7_{LAB}", f"n7_{LAB}", compat=compat)
-        out.append(_fit_row(rows, glm.fit_binomial(rows, Y), form=form))
-    return out[0].unionByName(out[1])
+    daily = daily_pair(spark, sf_dir).select(Y, f"k7_{LAB}", f"n7_{LAB}")
+    return fitted_forms(daily)
+
+
+def fitted_forms(daily, by=()):
+    """Fits of lab on home positivity in both forms, one per group, all in one loop."""
+    columns = [*by, Y, f"k7_{LAB}", f"n7_{LAB}"]
+    form = F.explode(F.array(F.lit("trials"), F.lit("failures"))).alias("form")
+    trials = F.col(f"n7_{LAB}") + F.when(F.col("form") == "failures", F.col(f"k7_{LAB}")).otherwise(0)
+    both = daily.select(*columns, form).withColumn(f"n7_{LAB}", trials)
+    rows = glm.model_rows(both, Y, f"k7_{LAB}", f"n7_{LAB}", by=["form", *by])
+    if by:
+        rows = glm_batch.pooled(rows, *by)
+    fits = glm_batch.fit_many(rows, ["form", *by])
+    return fits.select(
+        "form",
+        *by,
+        "observations",
+        "intercept",
+        "slope",
+        F.sqrt("v00").alias("intercept_se"),
+        F.sqrt("v11").alias("slope_se"),
+        "deviance",
+        "null_deviance",
+    )
 
 
 @register(
     "glm_logit_weighted",
-    f"{WIDE}, {DAY_ROWS}, {sp.irls_ctes('rows', 'logit', 'a')} select {_FIT} from fita",
-    _FIT_COLUMNS,
+    f"{WIDE}, {DAY_ROWS}, {sp.irls_ctes('rows', 'logit', 'a')} select {FIT_SQL} from fita",
+    FIT_NAMES,
 )
 def glm_logit_weighted(spark, sf_dir):
     rows = day_rows(spark, sf_dir, f"n_{HOME}")
@@ -304,8 +323,8 @@ def glm_logit_weighted(spark, sf_dir):
 
 @register(
     "glm_log_link",
-    f"{WIDE}, {DAY_LOG_ROWS}, {sp.irls_ctes('rows', 'log', 'a')} select {_FIT} from fita",
-    _FIT_COLUMNS,
+    f"{WIDE}, {DAY_LOG_ROWS}, {sp.irls_ctes('rows', 'log', 'a')} select {FIT_SQL} from fita",
+    FIT_NAMES,
 )
 def glm_log_link(spark, sf_dir):
     rows = day_rows(spark, sf_dir)
@@ -318,8 +337,9 @@ def glm_log_link(spark, sf_dir):
     "p_hat",
 )
 def glm_predict(spark, sf_dir):
-    fit = glm.fit_binomial(week_rows(spark, sf_dir), Y)
-    return daily_pair(spark, sf_dir).select("date", glm.predict_response(fit).alias("p_hat"))
+    daily = materialize(daily_pair(spark, sf_dir).select("date", Y, f"k7_{LAB}", f"n7_{LAB}"))
+    fit = glm.fit_binomial(glm.model_rows(daily, Y, f"k7_{LAB}", f"n7_{LAB}"), Y)
+    return daily.select("date", glm.predict_response(fit).alias("p_hat"))
 
 
 @register(
@@ -330,8 +350,8 @@ def glm_predict(spark, sf_dir):
     "fit se ribbon_low ribbon_high",
 )
 def glm_predict_se(spark, sf_dir):
-    fit = glm.fit_binomial(day_rows(spark, sf_dir), f"p_{HOME}", "log")
-    daily = daily_pair(spark, sf_dir)
+    daily = materialize(daily_pair(spark, sf_dir).select("date", f"p_{HOME}", f"k_{LAB}", f"n_{LAB}"))
+    fit = glm.fit_binomial(glm.model_rows(daily, f"p_{HOME}", f"k_{LAB}", f"n_{LAB}"), f"p_{HOME}", "log")
     return glm.add_prediction(daily, fit).select("date", "fit", "se", "ribbon_low", "ribbon_high")
 
 

@@ -13,8 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -87,7 +85,7 @@ class BinomialFit:
         return math.sqrt(self.v00), math.sqrt(self.v11)
 
 
-def _mean(link: str, eta: Column) -> Column:
+def mean_of(link: str, eta: Column) -> Column:
     return F.exp(eta) if link == "log" else F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
 
 
@@ -95,16 +93,22 @@ def _slope_of_mean(link: str, mu: Column) -> Column:
     return mu if link == "log" else mu * (F.lit(1.0) - mu)
 
 
-def _deviance(y: Column, mu: Column, w: Column) -> Column:
+def binomial_deviance(y: Column, mu: Column, w: Column) -> Column:
     hit = F.when(y > 0, y * F.ln(y / mu)).otherwise(0.0)
     miss = F.when(y < 1, (1 - y) * F.ln((1 - y) / (1 - mu))).otherwise(0.0)
     return 2 * w * (hit + miss)
 
 
 def model_rows(
-    df: DataFrame, x: str, successes: str, trials: str, weight: str | None = None, compat: bool = False
+    df: DataFrame,
+    x: str,
+    successes: str,
+    trials: str,
+    weight: str | None = None,
+    compat: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """(x, y, w, k, n, prior): complete rows with trials, written down once.
+    """(by, x, y, w, k, n, prior): complete rows with trials, written down once.
 
     ``compat`` treats ``trials`` as the number of failures, so the share is
     k / (k + n).
@@ -113,6 +117,7 @@ def model_rows(
     total = k + n if compat else n
     prior = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(
+        *by,
         F.col(x).cast("double").alias("x"),
         (k / F.nullif(total, F.lit(0.0))).alias("y"),
         (total * prior).alias("w"),
@@ -123,20 +128,6 @@ def model_rows(
     return materialize(rows.where("x is not null and y is not null and w > 0"))
 
 
-def _fit_logit(rows: DataFrame) -> tuple[float, float]:
-    assembled = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
-    model = GeneralizedLinearRegression(
-        family="binomial",
-        link="logit",
-        labelCol="y",
-        weightCol="w",
-        featuresCol="features",
-        tol=1e-12,
-        maxIter=50,
-    ).fit(assembled)
-    return float(model.intercept), float(model.coefficients[0])
-
-
 def evaluate(
     rows: DataFrame, link: str, candidates: Sequence[tuple[float, float]]
 ) -> list[Evaluation | None]:
@@ -146,7 +137,7 @@ def evaluate(
 
     The candidates are a literal array that is exploded next to the rows, so
     the generated code is the same for every call and is compiled once. A
-    candidate that leaves a mean at or above 1 gives None.
+    candidate that leaves a mean outside (0, 1) gives None.
     """
     points = F.array(
         *[
@@ -158,7 +149,8 @@ def evaluate(
     placed = (
         rows.select("x", "y", "w", F.explode(points).alias("at"))
         .select("x", "y", "w", "at.i", (F.col("at.b0") + F.col("at.b1") * x).alias("eta"))
-        .select("*", (F.when(eta < 0, F.exp(eta)) if link == "log" else _mean(link, eta)).alias("mu"))
+        .select("*", mean_of(link, eta).alias("mu"))
+        .withColumn("mu", F.when((mu > 0) & (mu < 1), mu))
         .withColumn("d", _slope_of_mean(link, mu))
         .withColumn("g", w * (y - mu) * F.col("d") / (mu * (1 - mu)))
         .withColumn("h", w * F.col("d") * F.col("d") / (mu * (1 - mu)))
@@ -177,7 +169,7 @@ def evaluate(
             F.sum("c").alias("c"),
             F.sum(F.col("c") * x).alias("cx"),
             F.sum(F.col("c") * x * x).alias("cxx"),
-            F.sum(_deviance(y, mu, w)).alias("deviance"),
+            F.sum(binomial_deviance(y, mu, w)).alias("deviance"),
             F.sum(w * (y - mu) ** 2 / (mu * (1 - mu))).alias("pearson"),
         )
         .collect()  # one row per candidate
@@ -199,17 +191,17 @@ def evaluate(
     return out
 
 
-def _fit_log(
-    rows: DataFrame, share: float, max_steps: int = 50, halvings: int = 4
+def _newton(
+    rows: DataFrame, link: str, share: float, max_steps: int = 50, halvings: int = 4
 ) -> tuple[float, float]:
-    """Newton steps on the log likelihood, which is concave for the log link too.
+    """Newton steps on the log likelihood, which is concave for both links.
 
     Each job looks at the full step and its halves at once and takes the
     longest that keeps means below 1 and lowers the deviance. Raises
     :class:`NotConverged` if ``max_steps`` steps do not settle it.
     """
-    here = np.array([math.log(share), 0.0])
-    now = evaluate(rows, "log", [tuple(here)])[0]
+    here = np.array([math.log(share if link == "log" else share / (1 - share)), 0.0])
+    now = evaluate(rows, link, [tuple(here)])[0]
     for _ in range(max_steps):
         step = np.linalg.solve(now.curvature, now.score)
         error = np.sqrt(np.diag(np.linalg.inv(now.info)))
@@ -218,7 +210,7 @@ def _fit_log(
         scale = 1.0
         while True:
             tries = [here + step * scale / 2**i for i in range(halvings)]
-            results = evaluate(rows, "log", [tuple(t) for t in tries])
+            results = evaluate(rows, link, [tuple(t) for t in tries])
             limit = now.deviance * (1 + 1e-12)
             good = [(t, r) for t, r in zip(tries, results) if r and r.deviance <= limit]
             if good:
@@ -228,12 +220,16 @@ def _fit_log(
             if scale < 1e-8:
                 if np.all(np.abs(step) <= 1e-6 * error):  # nothing left but rounding
                     return float(here[0]), float(here[1])
-                raise NotConverged("no step lowers the deviance of the log-link fit")
+                raise NotConverged(f"no step lowers the deviance of the {link}-link fit")
     else:
-        raise NotConverged(f"the log-link fit is not settled after {max_steps} steps")
+        raise NotConverged(f"the {link}-link fit is not settled after {max_steps} steps")
     return float(here[0]), float(here[1])
 
 
+def _fit_log(rows: DataFrame, share: float, **limits: int) -> tuple[float, float]:
+    return _newton(rows, "log", share, **limits)
+
+
 def check_settled(at: Evaluation | None, tolerance: float = 1e-4) -> None:
     """Raise unless the next Newton step is below ``tolerance`` standard errors."""
     if at is None:
@@ -249,16 +245,13 @@ def fit_binomial(rows: DataFrame, x: str, link: str = "logit") -> BinomialFit:
     share = rows.agg((F.sum(w * y) / F.sum(w)).alias("share")).first()["share"]
     if share is None or not 0 < share < 1:
         raise ValueError("a binomial fit needs both successes and failures")
-    if link == "logit":
-        b0, b1 = _fit_logit(rows)
-    elif link == "log":
-        b0, b1 = _fit_log(rows, share)
-    else:
+    if link not in ("logit", "log"):
         raise ValueError(f"unknown link {link!r}")
+    b0, b1 = _newton(rows, link, share)
     null = (math.log(share) if link == "log" else math.log(share / (1 - share)), 0.0)
     at_fit, at_null = evaluate(rows, link, [(b0, b1), null])
     check_settled(at_fit)
-    mu = _mean(link, F.lit(b0) + F.lit(b1) * F.col("x"))
+    mu = mean_of(link, F.lit(b0) + F.lit(b1) * F.col("x"))
     log_density = (
         _log_choose(F.round(n), F.round(k))
         + F.when(k > 0, k * F.ln(mu)).otherwise(0.0)
@@ -287,7 +280,7 @@ def fit_binomial(rows: DataFrame, x: str, link: str = "logit") -> BinomialFit:
 def predict_response(fit: BinomialFit, x: Column | None = None) -> Column:
     """Fitted share; NULL where the predictor is."""
     x = F.col(fit.x) if x is None else x
-    return _mean(fit.link, F.lit(fit.intercept) + F.lit(fit.slope) * x.cast("double"))
+    return mean_of(fit.link, F.lit(fit.intercept) + F.lit(fit.slope) * x.cast("double"))
 
 
 def predict_se(fit: BinomialFit, x: Column | None = None) -> Column:
