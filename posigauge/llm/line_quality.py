@@ -80,29 +80,38 @@ def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def _line_keys(text: Column) -> Column:
-    """Hash of every lower-cased line with single blanks; null for a line without words.
+def _plain_lines(text: Column) -> Column:
+    """Every line in lower case with single blanks; a line without words is empty.
 
     The whole text is normalised first: a line's blanks are never next to a
     word of another line, so this gives the same lines as one by one.
     """
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), BLANKS.replace("\n", "").replace(" ", ""), "    ")
     plain = F.btrim(F.regexp_replace(F.regexp_replace(plain, "  +", " "), " ?\n ?", "\n"), F.lit(" "))
-    return F.transform(F.split(plain, "\n"), lambda line: F.when(line != "", F.xxhash64(line)))
+    return F.split(plain, "\n")
 
 
 def line_table(documents: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
-    """(_id, _text, _host, _lines): hashes of every row's lines, written down once.
+    """(_id, _text, _host, _lines, _sizes): hashes and word counts of every row's lines, written down once.
 
     ``_id`` and ``_text`` name a row by its content, so equal rows have equal
-    names. Lines take 8 bytes each; later steps read no text.
+    names. A line without words has a null hash. Lines take 12 bytes each;
+    later steps read no text.
     """
     path = scratch_path(documents.sparkSession, "lines")
-    documents.select(
+    named = documents.select(
         F.xxhash64(key, host).alias("_id"),
         F.xxhash64("text").alias("_text"),
         F.coalesce(host, F.lit("")).alias("_host"),
-        _line_keys(F.col("text")).alias("_lines"),
+        F.col("text"),
+    )
+    plain = F.col("_plain")
+    compute_once(named, {"_plain": _plain_lines(F.col("text"))}).select(
+        "_id",
+        "_text",
+        "_host",
+        F.transform(plain, lambda line: F.when(line != "", F.xxhash64(line))).alias("_lines"),
+        F.transform(plain, lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).alias("_sizes"),
     ).write.parquet(path)
     return documents.sparkSession.read.parquet(path)
 
@@ -145,11 +154,19 @@ def frequent_lines(
 
 
 def removed_lines(documents: DataFrame, key: str = "doc_id", host: str = "source", **limits) -> DataFrame:
-    """(_id, _text, _places): places of the frequent lines of each document that has some."""
+    """(_id, _text, _removed, _places): words and places of the frequent lines of each document that has some."""
     table = line_table(documents, key, host)
-    lines = table.select("_id", "_text", "_host", F.posexplode("_lines").alias("_place", "_line"))
-    found = lines.where(F.col("_line").isNotNull()).join(frequent_lines(table, **limits), ["_host", "_line"])
-    return found.groupBy("_id", "_text").agg(F.collect_set("_place").alias("_places"))
+    zipped = F.posexplode(F.arrays_zip("_lines", "_sizes")).alias("_place", "_entry")
+    lines = table.select("_id", "_text", "_host", zipped).where("_entry._lines is not null")
+    lines = lines.select("_id", "_text", "_host", "_place", F.expr("_entry._lines as _line"), F.expr("_entry._sizes as _words"))
+    found = lines.join(frequent_lines(table, **limits), ["_host", "_line"])
+    by_doc = found.groupBy("_id", "_text").agg(F.collect_set(F.struct("_place", "_words")).alias("_hit"))
+    return by_doc.select(
+        "_id",
+        "_text",
+        F.aggregate("_hit", F.lit(0).cast("long"), lambda n, x: n + x["_words"]).alias("_removed"),
+        F.transform("_hit", lambda x: x["_place"]).alias("_places"),
+    )
 
 
 def verdicts(
@@ -175,18 +192,16 @@ def verdicts(
             F.xxhash64("text").alias("_text"),
         )
     )
+    if "text" not in carry:
+        measured = measured.drop("text")
     judged = measured.join(removed_lines(documents, key, host, **limits), ["_id", "_text"], "left")
-    gone = F.filter(F.split("text", "\n"), lambda _, i: F.array_contains("_places", i))
-    words = F.size(_words(F.array_join(gone, "\n"))).cast("long")
-    judged = compute_once(
-        judged, {"n_removed": F.when(F.col("_places").isNull(), F.lit(0).cast("long")).otherwise(words)}
-    )
     return (
         judged.withColumn("base_failed", base_failed())
+        .withColumn("n_removed", F.coalesce("_removed", F.lit(0).cast("long")))
         .withColumn(
             "kept", ~F.col("base_failed") & (100 * F.col("n_removed") <= max_removed_percent * F.col("n_words"))
         )
-        .drop("_id", "_text", *([] if "text" in carry else ["text"]))
+        .drop("_id", "_text", "_removed")
     )
 
 
