@@ -551,12 +551,11 @@ def glm_by_region(spark, sf_dir):
 
 @register(
     "glm_by_age",
-    f"""with {AGED_SQL}, {FIRST_SQL}, {wide_sql('date, ageRange', SINCE).replace('from log', 'from firsts')}, {rolling_sql('ageRange')},
+    f"""with {AGED_SQL}, {wide_sql('date, ageRange', SINCE).replace('from log', 'from aged')}, {rolling_sql('ageRange')},
     {_stratum_fits_sql('ageRange')}""",
     FIT_NAMES,
 )
 def glm_by_age(spark, sf_dir):
-    """The fit on the frame of ages, where a person's first test on a channel counts."""
-    log = dense_log(spark, sf_dir, age=True)
-    frame = positivity.positivity_by_age(log, order=["date"], bin_ages=True, start=START)
-    return fitted_forms(frame, ["ageRange"])
+    """The fit on the frame of ages; all tests count, as first tests alone leave no full week on both channels here."""
+    aged = cleaning.add_age_bins(dense_log(spark, sf_dir, age=True))
+    return fitted_forms(positivity.positivity(aged, ["ageRange"], start=START), ["ageRange"])

@@ -104,10 +104,14 @@ def irls_ctes(rows: str, link: str, tag: str, steps: int = 12) -> str:
 
 
 def irls_group_ctes(rows: str, by: str, steps: int = 12) -> str:
-    """CTE ``fits`` with a logit fit per ``by``: the columns of ``fit{tag}`` above, from ``rows(by, x, y, w)``."""
+    """CTE ``fits`` with a logit fit per ``by``: the columns of ``fit{tag}`` above, from ``rows(by, x, y, w)``.
+
+    NULL figures where the predictor is constant or there are only successes or only failures.
+    """
     out = [
-        f"shares as materialized (select {by}, sum(w * y) / sum(w) as m from {rows} group by {by})",
-        f"g_0 as materialized (select {by}, ln(m / (1 - m)) as a, cast(0 as double) as b from shares)",
+        f"shares as materialized (select {by}, sum(w * y) / sum(w) as m, max(x) > min(x) as varies from {rows} group by {by})",
+        f"""g_0 as materialized (select {by}, ln(m / (1 - m)) as a, cast(0 as double) as b from shares
+    where varies and m > 0 and m < 1)""",
     ]
     for i in range(steps):
         out.append(
@@ -124,8 +128,9 @@ def irls_group_ctes(rows: str, by: str, steps: int = 12) -> str:
     sum(g * x * x) / (sum(g) * sum(g * x * x) - sum(g * x) * sum(g * x)) as v00,
     sum(g) / (sum(g) * sum(g * x * x) - sum(g * x) * sum(g * x)) as v11,
     sum({deviance('y', 'mu', 'w')}) as deviance, sum({deviance('y', 'm', 'w')}) as null_deviance
-    from (select *, w * mu * (1 - mu) as g from (select {by}, x, y, w, a, b, m, {_mu('logit', 'a + b * x')} as mu
-      from {rows} join g_{steps} using ({by}) join shares using ({by}))) group by {by})"""
+    from (select *, w * mu * (1 - mu) as g from (select {by}, x, y, w, a, b,
+      case when a is not null then m end as m, {_mu('logit', 'a + b * x')} as mu
+      from {rows} left join g_{steps} using ({by}) join shares using ({by}))) group by {by})"""
     )
     return ",\n  ".join(out)
 
