@@ -4,8 +4,10 @@ Words are told apart by 64-bit hashes and counted over all training texts. A
 hidden state emits a symbol: one of the most frequent words, or a class of the
 other words by their ending. A class word is then drawn by its smoothed
 frequency in the class, so every word, seen or not, has a probability.
-Baum-Welch counts are computed per chunk of texts and summed by Spark; the
-scaled forward recursion gives the exact probability of a whole text.
+Baum-Welch counts of whole texts are computed per chunk and summed by Spark:
+segments of all texts are worked on at once, and products of their transition
+matrices carry the state over the cuts. The scaled forward recursion gives the
+exact probability of a whole text.
 
 Texts are encoded once and written to the shared folder. Word counts come back
 to each chunk through hash buckets, so no task needs the whole vocabulary.
@@ -28,8 +30,8 @@ from posigauge.session import scratch_path
 
 CHUNK_BYTES = 4 << 20
 BUCKET_WORDS = 400_000
-SEGMENT = 256  # tokens of a training segment
-BATCH_TOKENS = 1 << 17
+SEGMENT = 128  # tokens of a training segment
+BATCH_SEGMENTS = 1 << 10
 END = np.uint64(0x5DEECE66D1CE4E5B)  # the token after the last word
 STARTS, TOTALS = -1000, -1001  # rows of the expected counts that are not symbols
 
@@ -263,7 +265,6 @@ def symbol_sequences(encoded: DataFrame, counted: DataFrame, words: Vocabulary)
 @dataclass
 class Model:
     start: np.ndarray  # of the first token
-    inner: np.ndarray  # of the first token of a later segment, in training
     move: np.ndarray
     emit: np.ndarray  # states x symbols
 
@@ -275,49 +276,125 @@ def first_model(states: int, share: np.ndarray, seed: int) -> Model:
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     even = np.full(states, 1 / states)
-    return Model(even, even, move, emit / emit.sum(axis=1, keepdims=True))
+    return Model(even, move, emit / emit.sum(axis=1, keepdims=True))
 
 
-def expected_counts(model: Model, symbols: np.ndarray, begin: np.ndarray, lengths: np.ndarray, sums: dict) -> None:
-    """Adds the forward-backward counts of the sequences, cut into segments, to ``sums``."""
+def _symbol_grid(symbols: np.ndarray, at: np.ndarray, length: np.ndarray, padding: int) -> np.ndarray:
+    """Symbols by time and segment; places after a segment's end hold ``padding``."""
+    time = np.arange(int(length.max()))[:, None]
+    return np.where(time < length, symbols[np.minimum(at + time, len(symbols) - 1)], padding)
+
+
+def _emissions(emit: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """(time, state, segment): states in the middle, so that every step works on long rows."""
+    out = np.empty((len(seen), len(emit), seen.shape[1]))
+    for k, row in enumerate(emit):
+        out[:, k] = row[seen]
+    return out
+
+
+def transfers(model: Model, emit: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """(segment, state, state): the product of emissions and moves over each segment, up to a factor.
+
+    A row vector times it goes from the state before the first token to the
+    state after the last one; it times a column vector goes back.
+    """
+    states, n = len(model.move), seen.shape[1]
+    e = _emissions(emit, seen)
+    product = np.repeat(np.eye(states)[:, :, None], n, axis=2)  # (state reached, state left, segment)
+    step = model.move.T.copy()
+    for t in range(len(e)):
+        product *= e[t][:, None]
+        product = (step @ product.reshape(states, -1)).reshape(states, states, n)
+        if t % 8 == 7:
+            product /= product.sum(axis=(0, 1))
+    return (product / product.sum(axis=(0, 1))).transpose(2, 1, 0)
+
+
+def segment_borders(
+    model: Model, symbols: np.ndarray, at: np.ndarray, length: np.ndarray, number: np.ndarray, last: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """State shares before each segment, and the weight of what follows it by state.
+
+    Both are exact: segments of a text that has several are multiplied out at
+    the same time, then the products are applied one after the other.
+    """
+    states, size = model.emit.shape
+    emit = np.concatenate([model.emit, np.ones((states, 1))], axis=1)
+    before, after = np.tile(model.start, (len(at), 1)), np.ones((len(at), states))
+    parts = np.flatnonzero((number > 0) | ~last)
+    if not len(parts):
+        return before, after
+    product = np.empty((len(at), states, states))
+    by_length = parts[np.argsort(length[parts], kind="stable")]
+    for low in range(0, len(by_length), BATCH_SEGMENTS):
+        rows = by_length[low : low + BATCH_SEGMENTS]
+        product[rows] = transfers(model, emit, _symbol_grid(symbols, at[rows], length[rows], size))
+    by_number = parts[np.argsort(number[parts], kind="stable")]
+    waves = np.split(by_number, np.cumsum(np.bincount(number[parts]))[:-1])
+    for wave in waves:
+        rows = wave[~last[wave]]
+        state = (before[rows][:, None] @ product[rows])[:, 0]
+        before[rows + 1] = state / state.sum(axis=1, keepdims=True)
+    for rows in reversed(waves[1:]):
+        weight = (product[rows] @ after[rows][:, :, None])[:, :, 0]
+        after[rows - 1] = weight / weight.sum(axis=1, keepdims=True)
+    return before, after
+
+
+def expected_counts(
+    model: Model, symbols: np.ndarray, begin: np.ndarray, lengths: np.ndarray, sums: dict, segment: int = SEGMENT
+) -> None:
+    """Adds the forward-backward counts of whole sequences to ``sums``.
+
+    Sequences are cut into segments only to work on many at once; the state is
+    carried over the cuts in both directions, and the moves at them count.
+    """
     states, size = model.emit.shape
-    emit = np.concatenate([model.emit, np.ones((states, 1))], axis=1).T.copy()  # the last symbol pads
-    pieces = -(-lengths // SEGMENT)
+    emit = np.concatenate([model.emit, np.ones((states, 1))], axis=1)  # the last symbol pads
+    pieces = -(-lengths // segment)
     owner = np.repeat(np.arange(len(lengths)), pieces)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    at = begin[owner] + number * SEGMENT
-    length = np.minimum(SEGMENT, lengths[owner] - number * SEGMENT)
+    at = begin[owner] + number * segment
+    length = np.minimum(segment, lengths[owner] - number * segment)
+    last = number == pieces[owner] - 1
+    before, after = segment_borders(model, symbols, at, length, number, last)
+    step = model.move.T.copy()
+    moves = np.zeros((states, states))
     order = np.argsort(length, kind="stable")
-    step = max(1, BATCH_TOKENS // SEGMENT)
-    for low in range(0, len(order), step):
-        rows = order[low : low + step]
-        longest = int(length[rows].max())
-        time = np.arange(longest)[:, None]
-        inside = time < length[rows]
-        seen = np.where(inside, symbols[np.minimum(at[rows] + time, len(symbols) - 1)], size)
-        e = emit[seen]
-        alpha, scale = np.empty_like(e), np.empty((longest, len(rows)))
-        state = np.where((number[rows] == 0)[:, None], model.start, model.inner)
+    for low in range(0, len(order), BATCH_SEGMENTS):
+        rows = order[low : low + BATCH_SEGMENTS]
+        seen = _symbol_grid(symbols, at[rows], length[rows], size)
+        longest, shortest = len(seen), int(length[rows].min())
+        alpha = _emissions(emit, seen)
+        follows = alpha.copy()
+        scale = np.empty((longest, len(rows)))
+        state = before[rows].T
         for t in range(longest):
-            state = (state if t == 0 else state @ model.move) * e[t]
-            scale[t] = state.sum(axis=1)
-            state = state / scale[t][:, None]
-            alpha[t] = state
-        back, gamma = np.ones((len(rows), states)), np.empty_like(alpha)
+            now = alpha[t]
+            now *= state
+            now.sum(axis=0, out=scale[t])
+            now /= scale[t]
+            state = step @ now
+        further = after[rows].T
+        further = further / (state * further).sum(axis=0)
+        moves += now @ np.where(last[rows], 0.0, further).T  # to the next segment's first token
+        back = model.move @ further
         for t in range(longest - 1, -1, -1):
-            gamma[t] = alpha[t] * back
-            e[t] *= back / scale[t][:, None]  # emission and all that follows
-            back = e[t] @ model.move.T
-        follows = inside[1:]
-        sums["move"] += model.move * (alpha[:-1][follows].T @ e[1:][follows])
-        first = gamma[0][number[rows] == 0]
-        gamma = gamma[inside]
-        flat = seen[inside]
+            what = follows[t]  # this token and all that follows, by state
+            what *= back
+            what /= scale[t]
+            alpha[t] *= back
+            if t:
+                moves += alpha[t - 1] @ (what.T if t < shortest else (what * (t < length[rows])).T)
+                back = model.move @ what
+        flat = seen.reshape(-1)
         for k in range(states):
-            sums["emit"][k] += np.bincount(flat, gamma[:, k], size)
-        sums["start"] += first.sum(axis=0)
-        sums["log"] += np.log10(scale[inside]).sum()
-        sums["tokens"] += int(inside.sum())
+            sums["emit"][k] += np.bincount(flat, alpha[:, k].reshape(-1), size + 1)[:size]
+        sums["start"] += alpha[0][:, number[rows] == 0].sum(axis=1)
+        sums["log"] += np.log10(scale).sum()  # 1 at padded places
+    sums["move"] += model.move * moves
+    sums["tokens"] += int(lengths.sum())
 
 
 def no_counts(states: int, size: int) -> dict:
@@ -374,7 +451,6 @@ def improve(sequences: DataFrame, model: Model, share: np.ndarray, strength: flo
     return (
         Model(
             start / start.sum(),
-            occupied / occupied.sum(),
             move / move.sum(axis=1, keepdims=True),
             emit / occupied[:, None],
         ),

@@ -128,3 +128,22 @@ def forward(model, symbols):
             [np.logaddexp.reduce(state + np.log(model.move[:, k])) for k in range(len(state))]
         ) + np.log(model.emit[:, s])
     return np.logaddexp.reduce(state) / math.log(10)
+
+
+def baum_welch(model, symbols, sums):
+    """Adds the expected counts of one whole sequence, by plain forward and backward recursions in logarithms."""
+    move, emit, n = np.log(model.move), np.log(model.emit), len(symbols)
+    ahead = [np.log(model.start) + emit[:, symbols[0]]]
+    for s in symbols[1:]:
+        ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + move, axis=0) + emit[:, s])
+    behind = [np.zeros(len(move))]
+    for s in symbols[:0:-1]:
+        behind.insert(0, np.logaddexp.reduce(move + emit[:, s] + behind[0], axis=1))
+    total = np.logaddexp.reduce(ahead[-1])
+    for t, s in enumerate(symbols):
+        sums["emit"][:, s] += np.exp(ahead[t] + behind[t] - total)
+    for t in range(n - 1):
+        sums["move"] += np.exp(ahead[t][:, None] + move + emit[:, symbols[t + 1]] + behind[t + 1] - total)
+    sums["start"] += np.exp(ahead[0] + behind[0] - total)
+    sums["log"] += total / math.log(10)
+    sums["tokens"] += n

@@ -107,7 +107,23 @@ def test_forward_is_exact_and_training_climbs():
     assert sums["emit"].sum() == pytest.approx(len(symbols))
     assert sums["emit"].sum(axis=0) == pytest.approx(np.bincount(symbols, minlength=12))
     assert sums["start"].sum() == pytest.approx(len(lengths))
-    assert sums["move"].sum() == pytest.approx(len(symbols) - len(lengths) - 2)  # two segment borders
+    assert sums["move"].sum() == pytest.approx(len(symbols) - len(lengths))
+
+
+@pytest.mark.parametrize("segment", [1, 4, 7, 1000])
+def test_baum_welch_counts_of_whole_texts(segment):
+    rng = np.random.default_rng(5)
+    model = hmm.first_model(3, np.full(9, 1 / 9), 2)
+    lengths = np.array([1, 9, 8, 40, 4])
+    symbols = rng.integers(0, 9, lengths.sum())
+    begin = np.cumsum(lengths) - lengths
+    sums = hmm.no_counts(3, 9)
+    hmm.expected_counts(model, symbols, begin, lengths, sums, segment)
+    want = hmm.no_counts(3, 9)
+    for b, n in zip(begin, lengths, strict=True):
+        brute.baum_welch(model, symbols[b : b + n], want)
+    for name in ("emit", "move", "start", "log", "tokens"):
+        assert sums[name] == pytest.approx(want[name], rel=1e-9)
 
 
 def test_each_round_raises_the_likelihood(docs):
