@@ -6,10 +6,16 @@ every score from both sides, and what cannot be among the best is left out.
 Exact vectors are then read in the order of their bounds until the k-th result
 is certain: first the most promising of each query, then only those whose
 bound still reaches the k-th exact score found.
+
+Vectors with components too large for a score in a long have no cells. They
+are few or none in embeddings; each is multiplied with every query, and every
+vector with such a query, in unbounded integers.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,23 +32,33 @@ from posigauge.session import materialize
 CELL_BITS = 8
 BLOCK = 8192  # approximations per block
 QUERY_BLOCK = 512
-LIMIT = 1 << 26  # components this large take no part, so that every score is an exact long
+LIMIT = 1 << 26  # vectors with components this large have no cells, so that every bound is an exact long
+WIDE_BLOCK = 1024  # vectors without cells, or compared with one, per block
+WIDE_QUERIES = 64
+WHOLE = float(1 << 53)  # doubles from here on are whole
+LONGEST = (1 << 63) - 1
+SCORE_BYTES = 280  # of a shifted exact score: products of two scaled doubles stay below 2^2200
 
 
 def integer_vectors(vectors: DataFrame, scale: int, key: str, column: str) -> DataFrame:
-    """(key, v): floor(scale * x) of every usable vector."""
-    scaled = F.transform(column, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    unusable = F.exists(
-        column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) * float(scale) >= float(LIMIT))
-    )
-    rows = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0) & ~unusable)
-    return rows.select(F.col(key).alias("key"), scaled.cast("array<int>").alias("v"))
+    """(key, v, z) of every usable vector: v is floor(scale * x), or null if a component is too large for cells.
+
+    Then z is the vector that v would be of, as doubles: v / scale, or x where x is whole.
+    """
+    infinite = float("inf")
+    unusable = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == infinite))
+    rows = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull() & ~unusable)
+    rows = rows.select(F.col(key).alias("key"), F.transform(column, lambda x: x.cast("double")).alias("x"))
+    large = F.exists("x", lambda x: F.abs(x) * float(scale) >= float(LIMIT))
+    cells = F.transform("x", lambda x: F.floor(F.lit(float(scale)) * x))
+    whole = F.transform("x", lambda x: F.when(F.abs(x) < WHOLE, F.floor(x * float(scale)) / float(scale)).otherwise(x))
+    return rows.select("key", F.when(~large, cells).cast("array<int>").alias("v"), F.when(large, whole).alias("z"))
 
 
 def _padded(vectors: pa.Array) -> np.ndarray:
     """Rows of equal length; shorter vectors end in zeros, which add nothing to a product."""
     lengths = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
-    width = int(lengths.max(initial=0))
+    width = max(1, int(lengths.max(initial=0)))
     out = np.zeros((len(lengths), width), np.int32)
     out[np.arange(width) < lengths[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
     return out
@@ -125,6 +141,73 @@ def _scan(cell_blocks: DataFrame, query_blocks: DataFrame, groups: int, shift: i
     return pairs.mapInArrow(bound, "query_id long, node long, lower long, upper long")
 
 
+def whole_numbers(vectors: list[list[float]], scale: int) -> np.ndarray:
+    """Unbounded integers floor(scale * x); shorter vectors end in zeros."""
+    out = np.zeros((len(vectors), max(1, *map(len, vectors))), object)
+    for row, vector in enumerate(vectors):
+        out[row, : len(vector)] = [int(x) * scale if abs(x) >= WHOLE else math.floor(x * scale) for x in vector]
+    return out
+
+
+def _listed(frame: DataFrame, key: str, rows: int, groups: int) -> DataFrame:
+    """(g, ids, vectors): blocks of (key, z)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, number = TaskContext.get(), 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield pa.record_batch(
+                    [
+                        pa.array([((context.partitionId() if context else 0) + number) % groups], pa.int32()),
+                        *(pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c) for c in part.columns),
+                    ],
+                    names=["g", "ids", "vectors"],
+                )
+                number += 1
+
+    ids = "array<struct<query: long, query_id: long>>" if key == "query" else "array<long>"
+    named = F.struct("query", "query_id") if key == "query" else F.col(key)
+    return frame.select(named, "z").mapInArrow(pack, f"g int, ids {ids}, vectors array<array<double>>")
+
+
+def _exact_scan(rows: DataFrame, queries: DataFrame, scale: int, groups: int, k: int) -> DataFrame:
+    """(query, query_id, key, score, beyond): the k best rows of every block for every query, without bounds.
+
+    ``beyond`` orders scores that a long cannot hold; others have none.
+    """
+    copies = _listed(queries, "query", WIDE_QUERIES, groups).select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
+        F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"),
+    )
+    pairs = _listed(rows, "key", WIDE_BLOCK, groups).join(copies, "g")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in range(batch.num_rows):
+                keys, vectors, qids, qvectors = (
+                    batch.column(c)[pair].as_py() for c in ("ids", "vectors", "qids", "qvectors")
+                )
+                here, there = whole_numbers(vectors, scale), whole_numbers(qvectors, scale)
+                width = min(here.shape[1], there.shape[1])
+                found = there[:, :width] @ here[:, :width].T
+                out = []
+                for query, scores in zip(qids, found.tolist(), strict=True):
+                    others = ((-s, i) for s, i in zip(scores, keys, strict=True) if i != query["query_id"])
+                    for s, i in heapq.nsmallest(k, others):
+                        bound = max(-LONGEST, min(LONGEST, -s))
+                        beyond = b"" if bound == -s else (-s + (1 << (8 * SCORE_BYTES - 1))).to_bytes(SCORE_BYTES, "big")
+                        out.append((query["query"], query["query_id"], i, bound, beyond))
+                kinds = [pa.int64()] * 4 + [pa.binary()]
+                columns = zip(*out, strict=True) if out else [[]] * 5
+                yield pa.record_batch(
+                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                    names=["query", "query_id", "key", "score", "beyond"],
+                )
+
+    return pairs.mapInArrow(score, "query long, query_id long, key long, score long, beyond binary")
+
+
 def _product(a: str, b: str) -> Column:
     terms = F.zip_with(a, b, lambda x, y: x.cast("long") * y.cast("long"))
     return F.aggregate(terms, F.lit(0).cast("long"), lambda total, x: total + F.coalesce(x, F.lit(0)))
@@ -143,16 +226,22 @@ def top_k(
 
     Queries are the rows whose key is divisible by ``query_step``; candidates
     are all rows with another key. Ties go to the smaller key. Fewer than k
-    candidates give fewer rows. Vectors that are null or empty, hold a null or
-    non-finite component, or one of magnitude 65,536 or more at the usual
-    scale take no part, nor do null keys. Repeated rows count once; a key with
-    several vectors is a candidate with each. A shorter vector counts as
-    ending in zeros. Equal vectors are one node that keeps its k + 1 smallest
-    keys, which are all that can be among the best.
+    candidates give fewer rows. Vectors that are null or hold a null or
+    non-finite component take no part, nor do null keys; an empty vector has
+    the score 0 with every other. Any finite component takes part exactly
+    (beyond 2^26 / scale for a whole scale that is a power of two); a score
+    that a long cannot hold is ranked by its exact value and given as the
+    largest long, or minus that. Repeated rows count once; a key with several
+    vectors is a candidate with each. A shorter vector counts as ending in
+    zeros. Equal vectors are one node that keeps its k + 1 smallest keys,
+    which are all that can be among the best. Columns of other names are not
+    read. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = materialize(integer_vectors(vectors, scale, key, column).distinct())
-    largest = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] or 0
+    both = materialize(integer_vectors(vectors, scale, key, column).distinct())
+    found = both.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.count("z")).first()
+    largest, n_wide = found[0] or 0, found[1]
+    rows = both.where("v is not null").select("key", "v")
     shift = max(0, int(largest).bit_length() + 1 - CELL_BITS)
     order = Window.partitionBy("v").orderBy("key")
     smallest = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
@@ -190,12 +279,26 @@ def top_k(
     certain = first.groupBy("query").agg(F.min("score").alias("_least"))
     rest = hopeful.where(F.col("_n") > k + 1).join(certain, "query").where(F.col("upper") >= F.col("_least"))
     scored = first.unionByName(exact(rest.select("query", "node")))
-    scored = scored.select("query", "query_id", F.explode("keys").alias(key), "score").where(
-        F.col(key) != F.col("query_id")
-    )
-    best = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    scored = scored.select("query", "query_id", F.explode("keys").alias("key"), "score", F.lit(b"").alias("beyond"))
+    scored = scored.where(F.col("key") != F.col("query_id"))
+    if n_wide:
+        wide = both.where("z is not null").select("key", "z")
+        wide_queries = materialize(
+            wide.where(F.col("key") % query_step == 0).select(
+                (-1 - F.monotonically_increasing_id()).alias("query"), F.col("key").alias("query_id"), "z"
+            )
+        )
+        narrow = rows.select("key", F.transform("v", lambda x: x / F.lit(float(scale))).alias("z"))
+        narrow_queries = queries.select(
+            "query", "query_id", F.transform("qv", lambda x: x / F.lit(float(scale))).alias("z")
+        )
+        every_query = narrow_queries.unionByName(wide_queries)
+        scored = scored.unionByName(_exact_scan(wide, every_query, scale, groups, k)).unionByName(
+            _exact_scan(narrow, wide_queries, scale, groups, k)
+        )
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("beyond"), "key")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("query_id").cast("long"), "rank", key, "score")
+    return ranked.select(F.col("query_id").cast("long"), "rank", F.col("key").alias(key), "score")
 
 
 ship_by_value(__name__)

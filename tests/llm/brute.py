@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -49,9 +50,9 @@ def unigrams(rows, is_train):
 
 def top_k(rows, k=10, step=100, scale=1024):
     usable = [
-        (i, [math.floor(scale * float(x)) for x in v])
+        (i, [math.floor(scale * Fraction(float(x))) for x in v])
         for i, v in rows
-        if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v)
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
     out = set()
     for q, qv in usable:

@@ -175,6 +175,19 @@ def test_search_is_exact(spark):
     assert few.count() == 2
 
 
+def test_search_takes_every_finite_vector(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 2.0 ** rng.integers(-3, 30), 4)]) for i in range(120)]
+    rows += [(120, [1e300, 1e300, 0.0, 0.0]), (121, [-1e300, 0.0, 1.5, 0.0]), (122, [1.7e308]), (130, [1e300] * 5)]
+    rows += [(140, []), (141, [0.1, 0.2]), (142, [2.0**52 + 0.5, -0.001]), (143, None), (144, [1e9, None]), (145, rows[0][1])]
+    got = {tuple(r) for r in vafile.top_k(spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<double>"),
+                                          k=7, query_step=10).collect()}
+    longest = (1 << 63) - 1
+    want = {(q, n, i, max(-longest, min(longest, s))) for q, n, i, s in brute.top_k(rows, k=7, step=10)}
+    assert got == want
+    assert {q for q, *_ in got} >= {0, 120, 130, 140}
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     values, queries = rng.integers(-900, 900, (200, 6)), rng.integers(-900, 900, (7, 6))
