@@ -4,10 +4,11 @@ Words are told apart by 64-bit hashes and counted over all training texts. A
 hidden state emits a symbol: one of the most frequent words, or a class of the
 other words by their ending. A class word is then drawn by its smoothed
 frequency in the class, so every word, seen or not, has a probability.
-Baum-Welch counts of whole texts are computed per chunk and summed by Spark:
-segments of all texts are worked on at once, and products of their transition
-matrices carry the state over the cuts. The scaled forward recursion gives the
-exact probability of a whole text.
+Baum-Welch counts of whole texts are computed per task and summed by Spark: the
+texts of several chunks are worked on at once, token by token. Only very long
+ones are cut into segments; products of their transition matrices carry the
+state over the cuts. The scaled forward recursion gives the exact probability
+of a whole text.
 
 Texts are encoded once and written to the shared folder. Word counts come back
 to each chunk through hash buckets, so no task needs the whole vocabulary.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,12 @@ from posigauge.session import scratch_path
 
 CHUNK_BYTES = 4 << 20
 BUCKET_WORDS = 400_000
-SEGMENT = 128  # tokens of a training segment
-BATCH_SEGMENTS = 1 << 10
+SEGMENT = 512  # tokens of a segment of a text that is cut
+WHOLE = 4  # segments up to which a text is not cut
+BATCH_SEGMENTS = 1 << 9
+BATCH_TOKENS = 1 << 18  # tokens whose state shares are held at once
+POOL_TOKENS = 1 << 22  # tokens of chunks that are counted together
+RESCALE = 8  # steps from one scaling to the next, at most
 END = np.uint64(0x5DEECE66D1CE4E5B)  # the token after the last word
 STARTS, TOTALS = -1000, -1001  # rows of the expected counts that are not symbols
 
@@ -60,16 +66,24 @@ def wide(planes: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u4").astype(np.int64)
 
 
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with first places and ranks, through a hash table: texts repeat their words."""
+    table = pa.array(values).dictionary_encode()
+    distinct, codes = table.dictionary.to_numpy(), table.indices.to_numpy()
+    first = np.empty(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], first[order], rank[codes]
+
+
 def encode_block(block: pa.RecordBatch, classes: int) -> dict:
     """One chunk: its documents, its distinct tokens with training counts and classes, and its token sequence."""
     data, offsets = raw_text(block.column("text"))
     data = lower_ascii(data)
     starts, ends, word_at = word_spans(data, offsets)
     hashes = word_hashes(data, starts, ends)
-    ending = np.zeros(len(starts), np.uint64)
-    for back in (1, 2, 3):
-        reach = ends - back >= starts
-        ending[reach] += (data[(ends - back)[reach]].astype(np.uint64) + np.uint64(1)) << np.uint64(9 * back)
     words = np.diff(word_at)
     lengths = words + 1
     last = np.cumsum(lengths) - 1
@@ -77,12 +91,17 @@ def encode_block(block: pa.RecordBatch, classes: int) -> dict:
     ends_here = np.zeros(len(tokens), bool)
     ends_here[last] = True
     tokens[ends_here], tokens[~ends_here] = END, hashes
-    suffix = np.zeros(len(tokens), np.uint64)
-    suffix[~ends_here] = ending
     train = block.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
-    distinct, first, place = np.unique(tokens, return_index=True, return_inverse=True)
+    distinct, first, place = ranked(tokens)
     counts = np.bincount(place, np.repeat(train, lengths), len(distinct)).astype("<i8")
-    form = (mix(suffix[first]) % np.uint64(classes)).astype("<u2")
+    ending = np.zeros(len(distinct), np.uint64)
+    is_word = ~ends_here[first]
+    word = (first - np.searchsorted(last, first))[is_word]  # without the ends before it
+    for back in (1, 2, 3):
+        at = ends[word] - back
+        reach = at >= starts[word]
+        ending[np.flatnonzero(is_word)[reach]] += (data[at[reach]].astype(np.uint64) + np.uint64(1)) << np.uint64(9 * back)
+    form = (mix(ending) % np.uint64(classes)).astype("<u2")
     key = block.column("key")
     return {
         "docs": len(lengths),
@@ -268,6 +287,12 @@ class Model:
     move: np.ndarray
     emit: np.ndarray  # states x symbols
 
+    @property
+    def rescale(self) -> int:
+        """Steps from one scaling to the next: a step leaves at least the smallest emission of the weights' sum."""
+        smallest = -np.log10(max(self.emit.min(), np.finfo(float).tiny))
+        return int(np.clip(200 / max(smallest, 1e-9), 1, RESCALE))
+
 
 def first_model(states: int, share: np.ndarray, seed: int) -> Model:
     """Symbol shares with seeded noise, and states that last."""
@@ -279,6 +304,49 @@ def first_model(states: int, share: np.ndarray, seed: int) -> Model:
     return Model(even, move, emit / emit.sum(axis=1, keepdims=True))
 
 
+@dataclass
+class Segments:
+    """Sequences cut for work on many at once; short ones are a single segment."""
+
+    owner: np.ndarray  # the sequence of each segment
+    number: np.ndarray  # its place in the sequence
+    at: np.ndarray
+    length: np.ndarray
+    last: np.ndarray
+
+
+def cut(begin: np.ndarray, lengths: np.ndarray, segment: int) -> Segments:
+    """Segments of ``segment`` tokens of the sequences longer than WHOLE of them, the others whole."""
+    size = np.where(lengths > WHOLE * segment, segment, lengths)
+    pieces = -(-lengths // size)
+    owner = np.repeat(np.arange(len(lengths)), pieces)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    size = size[owner]
+    length = np.minimum(size, lengths[owner] - number * size)
+    return Segments(owner, number, begin[owner] + number * size, length, number == pieces[owner] - 1)
+
+
+def batches_by_length(length: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows with the longest first, in runs of at most BATCH_TOKENS tokens (one row at least)."""
+    order = np.argsort(-length, kind="stable")
+    ends = np.cumsum(length[order])
+    low = 0
+    while low < len(order):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + BATCH_TOKENS, side="right")))
+        yield order[low:high]
+        low = high
+
+
+def by_time(symbols: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All first symbols, all second ones and so on, without padding, and where each time begins; longest rows first."""
+    running = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # rows longer than t
+    offset = np.concatenate([[0], np.cumsum(running)])
+    row = np.arange(offset[-1]) - np.repeat(offset[:-1], running)
+    places = at[row] + np.repeat(np.arange(len(running)), running)
+    return symbols[places].astype(np.int64), offset
+
+
 def _symbol_grid(symbols: np.ndarray, at: np.ndarray, length: np.ndarray, padding: int) -> np.ndarray:
     """Symbols by time and segment; places after a segment's end hold ``padding``."""
     time = np.arange(int(length.max()))[:, None]
@@ -302,97 +370,107 @@ def transfers(model: Model, emit: np.ndarray, seen: np.ndarray) -> np.ndarray:
     states, n = len(model.move), seen.shape[1]
     e = _emissions(emit, seen)
     product = np.repeat(np.eye(states)[:, :, None], n, axis=2)  # (state reached, state left, segment)
-    step = model.move.T.copy()
+    step, every = model.move.T.copy(), model.rescale
     for t in range(len(e)):
         product *= e[t][:, None]
         product = (step @ product.reshape(states, -1)).reshape(states, states, n)
-        if t % 8 == 7:
+        if t % every == every - 1:
             product /= product.sum(axis=(0, 1))
     return (product / product.sum(axis=(0, 1))).transpose(2, 1, 0)
 
 
-def segment_borders(
-    model: Model, symbols: np.ndarray, at: np.ndarray, length: np.ndarray, number: np.ndarray, last: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
+def segment_borders(model: Model, symbols: np.ndarray, segments: Segments) -> tuple[np.ndarray, np.ndarray]:
     """State shares before each segment, and the weight of what follows it by state.
 
     Both are exact: segments of a text that has several are multiplied out at
     the same time, then the products are applied one after the other.
     """
+    at, length, number, last = segments.at, segments.length, segments.number, segments.last
     states, size = model.emit.shape
     emit = np.concatenate([model.emit, np.ones((states, 1))], axis=1)
     before, after = np.tile(model.start, (len(at), 1)), np.ones((len(at), states))
     parts = np.flatnonzero((number > 0) | ~last)
     if not len(parts):
         return before, after
-    product = np.empty((len(at), states, states))
+    place = np.empty(len(at), np.int64)
+    place[parts] = np.arange(len(parts))
+    product = np.empty((len(parts), states, states))
     by_length = parts[np.argsort(length[parts], kind="stable")]
     for low in range(0, len(by_length), BATCH_SEGMENTS):
         rows = by_length[low : low + BATCH_SEGMENTS]
-        product[rows] = transfers(model, emit, _symbol_grid(symbols, at[rows], length[rows], size))
+        product[place[rows]] = transfers(model, emit, _symbol_grid(symbols, at[rows], length[rows], size))
     by_number = parts[np.argsort(number[parts], kind="stable")]
     waves = np.split(by_number, np.cumsum(np.bincount(number[parts]))[:-1])
     for wave in waves:
         rows = wave[~last[wave]]
-        state = (before[rows][:, None] @ product[rows])[:, 0]
+        state = (before[rows][:, None] @ product[place[rows]])[:, 0]
         before[rows + 1] = state / state.sum(axis=1, keepdims=True)
     for rows in reversed(waves[1:]):
-        weight = (product[rows] @ after[rows][:, :, None])[:, :, 0]
+        weight = (product[place[rows]] @ after[rows][:, :, None])[:, :, 0]
         after[rows - 1] = weight / weight.sum(axis=1, keepdims=True)
     return before, after
 
 
+def forward_steps(model: Model, emit: np.ndarray, state: np.ndarray, offset: np.ndarray, out: np.ndarray) -> list[np.ndarray]:
+    """The forward recursion over rows in the order of ``by_time``; steps ``model.rescale`` apart are scaled, by the sums returned.
+
+    ``emit`` holds every token's emissions by state. ``out`` gets the weights
+    of the states after each token; it may be ``emit`` itself.
+    """
+    scales, ones, every = [], np.ones(len(model.move)), model.rescale
+    for t, (low, high) in enumerate(pairwise(offset.tolist())):
+        now = np.multiply(emit[low:high], state[: high - low], out=out[low:high])
+        if t % every == every - 1:
+            scales.append(now.dot(ones))
+            now /= scales[-1][:, None]
+        state = now.dot(model.move)
+    return scales
+
+
 def expected_counts(
     model: Model, symbols: np.ndarray, begin: np.ndarray, lengths: np.ndarray, sums: dict, segment: int = SEGMENT
 ) -> None:
     """Adds the forward-backward counts of whole sequences to ``sums``.
 
-    Sequences are cut into segments only to work on many at once; the state is
-    carried over the cuts in both directions, and the moves at them count.
+    Long sequences are cut into segments only to work on many at once; the state
+    is carried over the cuts in both directions, and the moves at them count.
     """
     states, size = model.emit.shape
-    emit = np.concatenate([model.emit, np.ones((states, 1))], axis=1)  # the last symbol pads
-    pieces = -(-lengths // segment)
-    owner = np.repeat(np.arange(len(lengths)), pieces)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    at = begin[owner] + number * segment
-    length = np.minimum(segment, lengths[owner] - number * segment)
-    last = number == pieces[owner] - 1
-    before, after = segment_borders(model, symbols, at, length, number, last)
-    step = model.move.T.copy()
+    every = model.rescale
+    segments = cut(begin, lengths, segment)
+    before, after = segment_borders(model, symbols, segments)
+    by_symbol, back_move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     moves = np.zeros((states, states))
-    order = np.argsort(length, kind="stable")
-    for low in range(0, len(order), BATCH_SEGMENTS):
-        rows = order[low : low + BATCH_SEGMENTS]
-        seen = _symbol_grid(symbols, at[rows], length[rows], size)
-        longest, shortest = len(seen), int(length[rows].min())
-        alpha = _emissions(emit, seen)
-        follows = alpha.copy()
-        scale = np.empty((longest, len(rows)))
-        state = before[rows].T
-        for t in range(longest):
-            now = alpha[t]
-            now *= state
-            now.sum(axis=0, out=scale[t])
-            now /= scale[t]
-            state = step @ now
-        further = after[rows].T
-        further = further / (state * further).sum(axis=0)
-        moves += now @ np.where(last[rows], 0.0, further).T  # to the next segment's first token
-        back = model.move @ further
-        for t in range(longest - 1, -1, -1):
-            what = follows[t]  # this token and all that follows, by state
-            what *= back
-            what /= scale[t]
-            alpha[t] *= back
+    room = np.empty((2, min(int(lengths.sum()), max(BATCH_TOKENS, int(segments.length.max()))), states))
+    for rows in batches_by_length(segments.length):
+        length = segments.length[rows]
+        seen, offset = by_time(symbols, segments.at[rows], length)
+        emit, alpha = room[:, : len(seen)]
+        np.take(by_symbol, seen, axis=0, out=emit, mode="clip")
+        scales = forward_steps(model, emit, before[rows], offset, alpha)
+        final = alpha[offset[length - 1] + np.arange(len(rows))]
+        sums["log"] += np.log10(final.sum(axis=1)).sum() + sum(np.log10(s).sum() for s in scales)
+        further = after[rows]
+        further = further / (final.dot(model.move) * further).sum(axis=1, keepdims=True)
+        moves += final.T @ np.where(segments.last[rows][:, None], 0.0, further)  # to the next segment's first token
+        back = further.dot(back_move)
+        bounds = offset.tolist()
+        for t in range(len(bounds) - 2, -1, -1):
+            low, high = bounds[t], bounds[t + 1]
+            follows = back[: high - low]
+            what = emit[low:high]  # this token and all that follows, by state
+            what *= follows
+            shares = alpha[low:high]
+            shares *= follows
+            if t % every == every - 1:
+                what /= scales[t // every][:, None]
             if t:
-                moves += alpha[t - 1] @ (what.T if t < shortest else (what * (t < length[rows])).T)
-                back = model.move @ what
-        flat = seen.reshape(-1)
+                earlier = bounds[t - 1]
+                moves += alpha[earlier : earlier + high - low].T.dot(what)
+                what.dot(back_move, out=follows)
         for k in range(states):
-            sums["emit"][k] += np.bincount(flat, alpha[:, k].reshape(-1), size + 1)[:size]
-        sums["start"] += alpha[0][:, number[rows] == 0].sum(axis=1)
-        sums["log"] += np.log10(scale).sum()  # 1 at padded places
+            sums["emit"][k] += np.bincount(seen, alpha[:, k], size)
+        sums["start"] += alpha[: len(rows)][segments.number[rows] == 0].sum(axis=0)
     sums["move"] += model.move * moves
     sums["tokens"] += int(lengths.sum())
 
@@ -401,6 +479,28 @@ def no_counts(states: int, size: int) -> dict:
     return {"emit": np.zeros((states, size)), "move": np.zeros((states, states)), "start": np.zeros(states), "log": 0.0, "tokens": 0}
 
 
+def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, begin, lengths) of the training texts of chunks in a row, POOL_TOKENS tokens or a little more at once."""
+    symbols, begin, lengths, held = [], [], [], 0
+    for batch in batches:
+        for n, documents, sequence in zip(*(batch.column(c) for c in ("docs", "documents", "symbols")), strict=True):
+            n = n.as_py()
+            parts = ("<i8", n), ("u1", n), ("u1", n), ("<i4", n)
+            _, _, train, sizes = from_bytes(documents.as_py(), *parts)
+            chosen = np.flatnonzero(train)
+            if len(chosen):
+                sizes = sizes.astype(np.int64)
+                begin.append(held + (np.cumsum(sizes) - sizes)[chosen])
+                lengths.append(sizes[chosen])
+                symbols.append(np.frombuffer(sequence.as_py(), "<u2"))
+                held += len(symbols[-1])
+            if held >= POOL_TOKENS:
+                yield np.concatenate(symbols), np.concatenate(begin), np.concatenate(lengths)
+                symbols, begin, lengths, held = [], [], [], 0
+    if held:
+        yield np.concatenate(symbols), np.concatenate(begin), np.concatenate(lengths)
+
+
 def improve(sequences: DataFrame, model: Model, share: np.ndarray, strength: float) -> tuple[Model, float]:
     """One Baum-Welch round over all training texts: the new model and log10 probability per token of the old one.
 
@@ -413,17 +513,8 @@ def improve(sequences: DataFrame, model: Model, share: np.ndarray, strength: flo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums = Model(**shared.value), no_counts(states, size)
-        for batch in batches:
-            for row in batch.to_pylist():
-                docs = row["docs"]
-                _, _, train, lengths = from_bytes(
-                    row["documents"], ("<i8", docs), ("u1", docs), ("u1", docs), ("<i4", docs)
-                )
-                chosen = np.flatnonzero(train)
-                if len(chosen):
-                    symbols = np.frombuffer(row["symbols"], "<u2").astype(np.int64)
-                    begin = np.cumsum(lengths) - lengths
-                    expected_counts(now, symbols, begin[chosen], lengths[chosen].astype(np.int64), sums)
+        for symbols, begin, lengths in pooled(batches):
+            expected_counts(now, symbols, begin, lengths, sums)
         if sums["tokens"]:
             seen = np.flatnonzero(sums["emit"].any(axis=0))
             totals = np.zeros(states)
@@ -473,22 +564,20 @@ def train_model(
 
 def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of every whole sequence, by the scaled forward recursion; all sequences step together."""
-    order = np.argsort(-lengths, kind="stable")
-    sizes = lengths[order]
-    begin = (np.cumsum(lengths) - lengths)[order]
-    emit = np.ascontiguousarray(model.emit.T)
-    logs = np.zeros(len(lengths))
-    state = np.broadcast_to(model.start, (len(lengths), len(model.start)))
-    running = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # sequences longer than t
-    for t, n in enumerate(running.tolist()):
-        e = emit[symbols[begin[:n] + t]]
-        state = (state[:n] if t == 0 else state[:n] @ model.move) * e
-        scale = state.sum(axis=1)
-        state /= scale[:, None]
-        logs[:n] += np.log10(scale)
-    out = np.empty(len(lengths))
-    out[order] = logs
-    return out
+    segments = cut(np.cumsum(lengths) - lengths, lengths, SEGMENT)
+    before, _ = segment_borders(model, symbols, segments)
+    by_symbol = np.ascontiguousarray(model.emit.T)
+    logs = np.empty(len(segments.at))
+    for rows in batches_by_length(segments.length):
+        length = segments.length[rows]
+        seen, offset = by_time(symbols, segments.at[rows], length)
+        alpha = np.take(by_symbol, seen, axis=0, mode="clip")
+        scales = forward_steps(model, alpha, before[rows], offset, alpha)
+        log = np.log10(alpha[offset[length - 1] + np.arange(len(rows))].sum(axis=1))
+        for scale in scales:
+            log[: len(scale)] += np.log10(scale)
+        logs[rows] = log
+    return np.bincount(segments.owner, logs, len(lengths))
 
 
 def score_chunks(sequences: DataFrame, model: Model, words: Vocabulary) -> DataFrame:
@@ -504,7 +593,7 @@ def score_chunks(sequences: DataFrame, model: Model, words: Vocabulary) -> DataF
                     row["documents"], ("<i8", n), ("u1", n), ("u1", n), ("<i4", n)
                 )
                 known, base, inside = from_bytes(row["figures"], ("<f8", n), ("<f8", n), ("<f8", n))
-                symbols = np.frombuffer(row["symbols"], "<u2").astype(np.int64)
+                symbols = np.frombuffer(row["symbols"], "<u2")
                 logs = forward(now, symbols, lengths.astype(np.int64)) + inside
                 yield pa.record_batch(
                     [

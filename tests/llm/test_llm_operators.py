@@ -7,6 +7,7 @@ from pathlib import Path
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +127,66 @@ def test_baum_welch_counts_of_whole_texts(segment):
         assert sums[name] == pytest.approx(want[name], rel=1e-9)
 
 
+def test_usual_texts_are_not_multiplied_out(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = hmm.first_model(3, np.full(9, 1 / 9), 2)
+    lengths = np.array([700, 2048, 1, 300])
+    symbols = rng.integers(0, 9, lengths.sum()).astype("<u2")
+    begin = np.cumsum(lengths) - lengths
+    monkeypatch.delattr(hmm, "transfers")
+    monkeypatch.setattr(hmm, "BATCH_TOKENS", 1000)
+    sums, want = hmm.no_counts(3, 9), hmm.no_counts(3, 9)
+    hmm.expected_counts(model, symbols, begin, lengths, sums)
+    for b, n in zip(begin, lengths, strict=True):
+        brute.baum_welch(model, symbols[b : b + n], want)
+    for name in ("emit", "move", "start", "log", "tokens"):
+        assert sums[name] == pytest.approx(want[name], rel=1e-9)
+
+
+@pytest.mark.parametrize("rare", [0.1, 1e-30, 1e-60, 1e-120])
+def test_long_texts_and_rare_symbols(rare):
+    rng = np.random.default_rng(8)
+    model = hmm.first_model(3, np.array([0.5, 0.3, 0.2, rare]), 2)
+    lengths = np.array([2500, 40, 5000, 2049, 16])
+    symbols = rng.integers(0, 4, lengths.sum()).astype("<u2")
+    begin = np.cumsum(lengths) - lengths
+    symbols[begin[-1] :] = 3
+    got = hmm.forward(model, symbols, lengths)
+    want = [brute.forward(model, symbols[b : b + n]) for b, n in zip(begin, lengths, strict=True)]
+    assert got == pytest.approx(want, rel=1e-9)
+    sums, plain = hmm.no_counts(3, 4), hmm.no_counts(3, 4)
+    hmm.expected_counts(model, symbols, begin, lengths, sums)
+    for b, n in zip(begin, lengths, strict=True):
+        brute.baum_welch(model, symbols[b : b + n], plain)
+    for name in ("emit", "move", "start", "log", "tokens"):  # the plain version's logarithms reach a million
+        assert sums[name] == pytest.approx(plain[name], rel=1e-7)
+
+
+@pytest.mark.parametrize("tokens", [1, 25, 10**6])
+def test_chunks_are_counted_together(monkeypatch, tokens):
+    monkeypatch.setattr(hmm, "POOL_TOKENS", tokens)
+    rng, rows, want = np.random.default_rng(9), [], []
+    for docs in (3, 1, 2, 4):
+        train, lengths = rng.integers(0, 2, docs), rng.integers(1, 12, docs)
+        symbols = rng.integers(0, 9, lengths.sum())
+        documents = hmm.to_bytes(np.zeros(docs, "<i8"), np.ones(docs, "u1"), train.astype("u1"), lengths.astype("<i4"))
+        rows.append({"docs": docs, "documents": documents, "symbols": hmm.to_bytes(symbols.astype("<u2"))})
+        texts = np.split(symbols, np.cumsum(lengths)[:-1])
+        want += [t.tolist() for t, chosen in zip(texts, train, strict=True) if chosen]
+    table = pa.Table.from_pylist(rows)
+    pools = list(hmm.pooled(iter(table.to_batches(max_chunksize=2))))
+    got = [s[b : b + n].tolist() for s, begin, lengths in pools for b, n in zip(begin, lengths, strict=True)]
+    assert got == want and len(want) > 2
+    assert len(pools) == 1 if tokens > 1000 else len(pools) > 1
+
+
+def test_ranks_are_those_of_unique():
+    values = np.random.default_rng(3).integers(0, 40, 500).astype(np.uint64) << np.uint64(58)
+    for some in (values, values[:1]):
+        for got, want in zip(hmm.ranked(some), np.unique(some, return_index=True, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 def test_each_round_raises_the_likelihood(docs):
     encoded = hmm.encode(docs, fold("doc_id", 7) != 2, 16, "doc_id")
     counted = hmm.count_words(encoded, 16, 50)
